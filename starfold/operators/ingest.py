@@ -81,6 +81,11 @@ def merge_reduced(current: DataFrame, reduced: DataFrame) -> DataFrame:
     return kept.unionByName(schemas.conform(fresh, current.schema))
 
 
+def merge_reviews_with_defaults(current: DataFrame, reduced: DataFrame) -> DataFrame:
+    """``merge_reduced`` with the table's defaults for columns a batch left empty."""
+    return merge_reduced(current, reduced).na.fill(0, ["likes", "dislikes"])
+
+
 def upsert_reviews(current: DataFrame, batch: DataFrame, order_by: Sequence[str]) -> DataFrame:
     """Current reviews with a batch merged in by review key."""
     return merge_reduced(current, reduce_batch(batch, order_by))

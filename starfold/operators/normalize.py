@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,7 +55,10 @@ def reaction_count(reactions: Column, label: str) -> Column:
     return F.coalesce(nm.leading_int(F.try_element_at(hits, F.lit(-1))["count_text"]), F.lit(0))
 
 
-def normalize_reviews(raw: DataFrame, url_template: str = REVIEW_URL) -> DataFrame:
+def normalize_reviews(
+    raw: DataFrame, url_template: str = REVIEW_URL, extra: Sequence[str] = ()
+) -> DataFrame:
+    """Clean reviews of raw attributes; ``extra`` columns are carried along."""
     c = F.col
     stars = F.when(
         c("has_rating_tag"), F.coalesce(nm.leading_number(c("rating_content")), F.lit(0.0))
@@ -70,6 +75,7 @@ def normalize_reviews(raw: DataFrame, url_template: str = REVIEW_URL) -> DataFra
         reaction_count(c("reactions"), DISLIKE_LABEL).alias("dislikes"),
         review_url(c("org_id"), c("profile_href"), url_template).alias("review_url"),
         tx.trim_to_null(c("response_text")).alias("business_response"),
+        *extra,
     )
 
 

@@ -6,6 +6,7 @@ The SQL may use the CTEs of ``PRELUDE``. Queries without SQL give ``None``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,7 @@ from starfold.operators import (
     topics as topic_ops,
 )
 from starfold.plans import sqlsurface
+from starfold.session import shared_dir
 from starfold.sources.samples import AS_OF, BULK_ORDER, BULK_SPLIT, Samples
 
 Plan = Callable[[Samples], DataFrame]
@@ -286,6 +288,24 @@ def _(s: Samples) -> DataFrame:
     )
 
 
+@query("stream_ingest", SQL["review_upsert"].removeprefix(PRELUDE))
+def _(s: Samples) -> DataFrame:
+    """The feed read as a stream and merged into a stored table, micro-batch by micro-batch."""
+    from starfold.sources.store import Store
+    from starfold.streaming import ingest as stream
+
+    lines = s.raw("lineitem")
+    feed = (
+        s.spark.readStream.schema(lines.schema)
+        .option("pathGlobFilter", "lineitem.parquet").parquet(s.path)
+    )
+    root = f"{shared_dir(s.spark)}/stream-{uuid.uuid4().hex}"
+    store = Store(s.spark, f"{root}/tables", buckets=8)
+    step = stream.ReviewIngest(store, prepare=s.bulk, order_by=BULK_ORDER)
+    stream.start(feed, step, f"{root}/progress").awaitTermination()
+    return store.read("reviews").select("review_key", "org_id", "date", "text", "stars", "business_response")
+
+
 @query("review_upsert_counts", f"""
 , keyed AS (
   SELECT review_key, count(*) FILTER (WHERE l_shipdate < '{BULK_SPLIT}') AS c1,
