@@ -54,20 +54,22 @@ def utc_seconds(text: Column) -> Column:
     )
 
 
+def _padded(number: Column, width: int) -> Column:
+    return F.lpad(number.cast("string"), width, "0")
+
+
 def month_label(day: Column) -> Column:
-    return F.date_format(day, "yyyy-MM")
+    return F.concat(_padded(F.year(day), 4), F.lit("-"), _padded(F.month(day), 2))
 
 
 def week_label(day: Column) -> Column:
     """``YYYY-Www`` with weeks starting on Monday; days before the first Monday are week 00."""
     week = F.floor((F.dayofyear(day) + 6 - F.weekday(day)) / 7)
-    return F.concat(
-        F.date_format(day, "yyyy"), F.lit("-W"), F.lpad(week.cast("string"), 2, "0")
-    )
+    return F.concat(_padded(F.year(day), 4), F.lit("-W"), _padded(week, 2))
 
 
 def quarter_label(day: Column) -> Column:
-    return F.concat(F.date_format(day, "yyyy"), F.lit("-Q"), F.quarter(day).cast("string"))
+    return F.concat(_padded(F.year(day), 4), F.lit("-Q"), F.quarter(day).cast("string"))
 
 
 PERIOD_LABELS = {"month": month_label, "week": week_label, "quarter": quarter_label}

@@ -60,15 +60,40 @@ def _known_keys(current: DataFrame, reduced: DataFrame) -> DataFrame:
     return current.select(REVIEW_KEY).join(reduced.select(REVIEW_KEY), REVIEW_KEY, "left_semi")
 
 
+def _moving(current: DataFrame, reduced: DataFrame) -> list[str]:
+    have = set(reduced.columns)
+    return [c for c in current.columns if c in MUTABLE and c in have]
+
+
 def merge_reduced(current: DataFrame, reduced: DataFrame) -> DataFrame:
-    """Current reviews with a reduced batch merged in.
+    """Current reviews with a reduced batch merged in, by one join that reads each side once."""
+    have, moving = set(reduced.columns), set(_moving(current, reduced))
+    hit = F.col("inc._hit")
+
+    def pick(c: str) -> Column:
+        if c == REVIEW_KEY:
+            return F.col(c)
+        if c in moving:
+            return F.when(hit, F.col(f"inc.{c}")).otherwise(F.col(f"cur.{c}")).alias(c)
+        if c in have:
+            return F.when(F.col("cur._old"), F.col(f"cur.{c}")).otherwise(F.col(f"inc.{c}")).alias(c)
+        return F.col(f"cur.{c}").alias(c)
+
+    return (
+        current.withColumn("_old", F.lit(True)).alias("cur")
+        .join(reduced.withColumn("_hit", F.lit(True)).alias("inc"), REVIEW_KEY, "full")
+        .select(*[pick(c) for c in current.columns])
+    )
+
 
-    ``reduced`` is read several times: store it first when it is costly to
-    compute. Its stored size then also tells Spark whether to broadcast it.
+def merge_staged(current: DataFrame, staged: DataFrame) -> DataFrame:
+    """The same for a reduced batch that is stored and therefore cheap to read repeatedly.
+
+    Spark knows its size: when it fits a broadcast, the current table is only
+    probed and streams through without a shuffle.
     """
-    have = set(reduced.columns)
-    moving = [c for c in current.columns if c in MUTABLE and c in have]
-    incoming = reduced.select(
+    moving = _moving(current, staged)
+    incoming = staged.select(
         REVIEW_KEY, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in moving]
     )
     kept = current.join(incoming, REVIEW_KEY, "left").select(*[
@@ -77,13 +102,9 @@ def merge_reduced(current: DataFrame, reduced: DataFrame) -> DataFrame:
         else F.col(c)
         for c in current.columns
     ])
-    fresh = reduced.join(_known_keys(current, reduced), REVIEW_KEY, "left_anti")
-    return kept.unionByName(schemas.conform(fresh, current.schema))
-
-
-def merge_reviews_with_defaults(current: DataFrame, reduced: DataFrame) -> DataFrame:
-    """``merge_reduced`` with the table's defaults for columns a batch left empty."""
-    return merge_reduced(current, reduced).na.fill(0, ["likes", "dislikes"])
+    fresh = staged.join(_known_keys(current, staged), REVIEW_KEY, "left_anti")
+    merged = kept.unionByName(schemas.conform(fresh, current.schema))
+    return merged.na.fill(0, ["likes", "dislikes"])
 
 
 def upsert_reviews(current: DataFrame, batch: DataFrame, order_by: Sequence[str]) -> DataFrame:
@@ -91,22 +112,26 @@ def upsert_reviews(current: DataFrame, batch: DataFrame, order_by: Sequence[str]
     return merge_reduced(current, reduce_batch(batch, order_by))
 
 
-def counts_of_reduced(current: DataFrame, reduced: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Rows added and updated: the first row of an unknown key adds, all others update."""
-    known = _known_keys(current, reduced).withColumn("_known", F.lit(1))
+def _counts(joined: DataFrame, by: Sequence[str]) -> DataFrame:
     added = F.when(F.col("_known").isNull(), 1).otherwise(0)
     totals = (
         F.coalesce(F.sum(added), F.lit(0)).cast("bigint").alias("added"),
         F.coalesce(F.sum(F.col("n") - added), F.lit(0)).cast("bigint").alias("updated"),
     )
-    joined = reduced.select(*by, REVIEW_KEY, "n").join(known, REVIEW_KEY, "left")
     return joined.groupBy(*by).agg(*totals) if by else joined.agg(*totals)
 
 
+def counts_of_staged(current: DataFrame, staged: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Rows added and updated by a stored reduced batch: the first row of an unknown key adds, all others update."""
+    known = _known_keys(current, staged).withColumn("_known", F.lit(1))
+    return _counts(staged.select(*by, REVIEW_KEY, "n").join(known, REVIEW_KEY, "left"), by)
+
+
 def upsert_counts(current: DataFrame, batch: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Counts of a raw batch; ``by`` may name columns that are fixed per key, such as the org."""
     reduced = batch.groupBy(*by, REVIEW_KEY).agg(F.count(F.lit(1)).alias("n"))
-    return counts_of_reduced(current, reduced, by)
+    known = current.select(REVIEW_KEY, F.lit(1).alias("_known"))
+    return _counts(reduced.join(known, REVIEW_KEY, "left"), by)
 
 
 def upsert_companies(current: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from starfold.functions import calendar as cal
 from starfold.functions import numbers as nm
-from starfold.operators.topics import parents, subtopics
 
 # Fixed values.
 POINTS_PER_STAR = 2
@@ -40,10 +39,14 @@ def _mean_of_tenths(total: Column, count: Column) -> Column:
     )
 
 
-def subtopic_tenths(
+def topic_levels(
     topics: DataFrame, assignments: DataFrame, reviews: DataFrame, as_of: str
 ) -> DataFrame:
-    """Every subtopic with its score in tenths and its number of dated reviews."""
+    """Every topic with its score in tenths and its number of dated reviews.
+
+    Subtopics score their own reviews; parents average their subtopics. Both
+    levels come out of one pass over the reviews.
+    """
     weight = cal.recency_weight(F.col("date"), as_of)
     weighed = reviews.filter(F.col("date").isNotNull()).select(
         F.col("id").alias("review_id"),
@@ -56,29 +59,24 @@ def subtopic_tenths(
         .groupBy("id")
         .agg(F.sum("bw").alias("bw"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"))
     )
-    return subtopics(topics).join(sums, "id", "left").select(
-        "org_id",
-        F.col("id").alias("topic_id"),
-        "parent_id",
-        "name",
-        "position",
-        F.coalesce(nm.tenths(F.col("bw") / F.col("w")), _zero()).alias("t10"),
-        F.coalesce("n", _zero()).alias("review_count"),
-    )
-
-
-def parent_tenths(topics: DataFrame, leaves: DataFrame) -> DataFrame:
-    sums = leaves.groupBy(F.col("parent_id").alias("id")).agg(
-        F.sum(F.col("t10") * F.col("review_count")).alias("total"), F.sum("review_count").alias("n")
-    )
-    return parents(topics).join(sums, "id", "left").select(
-        "org_id",
-        F.col("id").alias("topic_id"),
-        F.lit(None).cast("bigint").alias("parent_id"),
-        "name",
-        "position",
-        _mean_of_tenths(F.col("total"), F.col("n")).alias("t10"),
-        F.coalesce("n", _zero()).alias("review_count"),
+    is_leaf = F.col("parent_id").isNotNull()
+    family = Window.partitionBy(F.coalesce("parent_id", "id"))
+    return (
+        topics.select("org_id", "id", "parent_id", "name", "position")
+        .join(sums, "id", "left")
+        .withColumn("t", F.when(is_leaf, F.coalesce(nm.tenths(F.col("bw") / F.col("w")), _zero())))
+        .withColumn("k", F.when(is_leaf, F.coalesce("n", _zero())))
+        .withColumn("total", F.sum(F.col("t") * F.col("k")).over(family))
+        .withColumn("all", F.sum("k").over(family))
+        .select(
+            "org_id",
+            F.col("id").alias("topic_id"),
+            "parent_id",
+            "name",
+            "position",
+            F.coalesce("t", _mean_of_tenths(F.col("total"), F.col("all"))).alias("t10"),
+            F.coalesce("k", "all", _zero()).alias("review_count"),
+        )
     )
 
 
@@ -97,25 +95,26 @@ def _present(levels: DataFrame, *extra: str) -> DataFrame:
 def subtopic_scores(
     topics: DataFrame, assignments: DataFrame, reviews: DataFrame, as_of: str
 ) -> DataFrame:
-    return _present(subtopic_tenths(topics, assignments, reviews, as_of))
-
-
-def _by_score() -> Window:
-    return Window.partitionBy("org_id").orderBy(F.col("t10").desc(), "position", "topic_id")
+    levels = topic_levels(topics, assignments, reviews, as_of)
+    return _present(levels.filter(F.col("parent_id").isNotNull()))
 
 
 def parent_scores(
     topics: DataFrame, assignments: DataFrame, reviews: DataFrame, as_of: str
 ) -> DataFrame:
     """Parents with ``rank`` from 1 per org, best first, ties in the order of the topic list."""
-    leaves = subtopic_tenths(topics, assignments, reviews, as_of)
-    heads = parent_tenths(topics, leaves).withColumn("rank", F.row_number().over(_by_score()))
-    return _present(heads, "rank")
+    best = Window.partitionBy("org_id").orderBy(F.col("t10").desc(), "position", "topic_id")
+    levels = topic_levels(topics, assignments, reviews, as_of)
+    heads = levels.filter(F.col("parent_id").isNull())
+    return _present(heads.withColumn("rank", F.row_number().over(best)), "rank")
 
 
-def overall_from_parents(companies: DataFrame, heads: DataFrame) -> DataFrame:
+def overall_scores(
+    companies: DataFrame, topics: DataFrame, assignments: DataFrame, reviews: DataFrame, as_of: str
+) -> DataFrame:
     """Company score over rounded parent scores; the name falls back to the org id."""
-    sums = heads.groupBy("org_id").agg(
+    levels = topic_levels(topics, assignments, reviews, as_of)
+    sums = levels.filter(F.col("parent_id").isNull()).groupBy("org_id").agg(
         F.sum(F.col("t10") * F.col("review_count")).alias("total"), F.sum("review_count").alias("n")
     )
     return companies.select("org_id", "name").join(sums, "org_id", "left").select(
@@ -126,28 +125,43 @@ def overall_from_parents(companies: DataFrame, heads: DataFrame) -> DataFrame:
     )
 
 
-def overall_scores(
-    companies: DataFrame, topics: DataFrame, assignments: DataFrame, reviews: DataFrame, as_of: str
-) -> DataFrame:
-    leaves = subtopic_tenths(topics, assignments, reviews, as_of)
-    return overall_from_parents(companies, parent_tenths(topics, leaves))
-
-
 def score_rows(
     companies: DataFrame, topics: DataFrame, assignments: DataFrame, reviews: DataFrame, as_of: str
 ) -> DataFrame:
-    """Rows of the score table: subtopics, parents, and the company itself with a NULL topic."""
-    leaves = subtopic_tenths(topics, assignments, reviews, as_of)
-    heads = parent_tenths(topics, leaves)
-    both = leaves.unionByName(heads)
-    overall = overall_from_parents(companies, heads).select(
+    """Rows of the score table: subtopics, parents, and the company itself with a NULL topic.
+
+    A parent counts once for itself and once for its company, so one aggregation
+    yields all three levels. Companies without topics score 0.
+    """
+    none = F.lit(None).cast("bigint")
+    levels = topic_levels(topics, assignments, reviews, as_of)
+    own = F.array("topic_id")
+    counted = levels.select(
         "org_id",
-        F.lit(None).cast("bigint").alias("topic_id"),
-        F.col("overall_score").alias("score"),
-        F.col("total_reviews").alias("review_count"),
-        confidence(F.col("total_reviews")).alias("confidence"),
+        "t10",
+        "review_count",
+        F.explode(F.when(F.col("parent_id").isNull(), F.concat(own, F.array(none))).otherwise(own)).alias("topic_id"),
+    )
+    listed = companies.select(
+        "org_id", _zero().alias("t10"), _zero().alias("review_count"), none.alias("topic_id")
+    )
+    mean = _mean_of_tenths(F.col("total"), F.col("n"))
+    return (
+        counted.unionByName(listed)
+        .groupBy("org_id", "topic_id")
+        .agg(
+            F.sum(F.col("t10") * F.col("review_count")).alias("total"),
+            F.sum("review_count").alias("n"),
+            F.max("t10").alias("t10"),
+        )
+        .select(
+            "org_id",
+            "topic_id",
+            _shown(F.when(F.col("topic_id").isNull(), mean).otherwise(F.col("t10"))).alias("score"),
+            F.col("n").alias("review_count"),
+            confidence(F.col("n")).alias("confidence"),
+        )
     )
-    return _present(both).drop("name").unionByName(overall)
 
 
 def compare_scores(heads: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -158,21 +172,27 @@ def compare_scores(heads: DataFrame, pairs: DataFrame) -> DataFrame:
     those only B has.
     """
     named = heads.groupBy("org_id", "name").agg(
-        F.min_by(F.struct("score", "rank"), "rank").alias("h")
-    ).select("org_id", "name", "h.score", "h.rank")
-
-    def side(s: str) -> DataFrame:
-        rows = named.select(
-            F.col("org_id").alias(f"org_{s}"),
-            "name",
-            F.col("score").alias(f"score_{s}"),
-            F.col("rank").alias(f"rank_{s}"),
-        )
-        return pairs.select("org_a", "org_b").distinct().join(rows, f"org_{s}")
-
-    both = side("a").join(side("b"), ["org_a", "org_b", "name"], "full")
-    a, b = (F.coalesce(f"score_{s}", F.lit(0.0)) for s in "ab")
-    gap = nm.tenths(a) - nm.tenths(b)
+        F.min_by("score", "rank").alias("score"), F.min("rank").alias("rank")
+    )
+    sides = pairs.select("org_a", "org_b").distinct().select(
+        "org_a",
+        "org_b",
+        F.explode(F.array(
+            F.struct(F.lit("a").alias("side"), F.col("org_a").alias("org_id")),
+            F.struct(F.lit("b").alias("side"), F.col("org_b").alias("org_id")),
+        )).alias("s"),
+    ).select("org_a", "org_b", "s.side", "s.org_id")
+
+    def of(side: str, value: str) -> Column:
+        return F.max(F.when(F.col("side") == side, F.col(value)))
+
+    both = sides.join(named, "org_id").groupBy("org_a", "org_b", "name").agg(
+        F.coalesce(of("a", "score"), F.lit(0.0)).alias("score_a"),
+        F.coalesce(of("b", "score"), F.lit(0.0)).alias("score_b"),
+        of("a", "rank").alias("rank_a"),
+        of("b", "rank").alias("rank_b"),
+    )
+    gap = nm.tenths(F.col("score_a")) - nm.tenths(F.col("score_b"))
     order = Window.partitionBy("org_a", "org_b").orderBy(
         F.col("rank_a").asc_nulls_last(), F.col("rank_b").asc(), "name"
     )
@@ -181,8 +201,8 @@ def compare_scores(heads: DataFrame, pairs: DataFrame) -> DataFrame:
         "org_b",
         F.row_number().over(order).alias("place"),
         "name",
-        a.alias("score_a"),
-        b.alias("score_b"),
+        "score_a",
+        "score_b",
         _shown(gap).alias("delta"),
         F.when(gap >= MARKED_TENTHS, BETTER).when(gap <= -MARKED_TENTHS, WORSE).otherwise("").alias("marker"),
     )

@@ -80,20 +80,11 @@ def trends(
 
     Reviews without a date are left out; dates that cannot be read form a NULL period.
     """
-    label = cal.PERIOD_LABELS[period](F.col("day"))
-    # Reviews are reduced to distinct dates first, so labels are computed once per date.
-    by_date = (
-        filter_reviews(reviews, org_id, since).filter(F.col("date").isNotNull())
-        .groupBy("org_id", "date")
-        .agg(F.count(F.lit(1)).alias("n"), F.count("stars").alias("k"), F.sum("stars").alias("s"))
-    )
+    label = cal.PERIOD_LABELS[period](cal.utc_day(F.col("date")))
     out = (
-        by_date.withColumn("day", cal.utc_day(F.col("date")))
+        filter_reviews(reviews, org_id, since).filter(F.col("date").isNotNull())
         .groupBy("org_id", label.alias("period"))
-        .agg(
-            F.sum("n").alias("review_count"),
-            F.round(F.sum("s") / F.nullif(F.sum("k"), F.lit(0)), 2).alias("avg_stars"),
-        )
+        .agg(F.count(F.lit(1)).alias("review_count"), F.round(F.avg("stars"), 2).alias("avg_stars"))
     )
     newest = F.col("period").desc_nulls_last()
     if limit is not None:

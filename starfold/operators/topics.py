@@ -41,12 +41,12 @@ def _star_sums(assignments: DataFrame, reviews: DataFrame) -> DataFrame:
     )
 
 
-def _leaf_sums(topics: DataFrame, assignments: DataFrame, reviews: DataFrame) -> DataFrame:
-    """Subtopics with count ``n``, mean ``m`` and count-weighted mean ``w`` (0 where unassigned)."""
+def _with_sums(topics: DataFrame, assignments: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Topics with count ``n``, mean ``m`` and count-weighted mean ``w`` (0 where unassigned)."""
     sums = _star_sums(assignments, reviews).withColumnRenamed("topic_id", "id")
     mean = F.coalesce(F.col("s") / F.nullif(F.col("k"), F.lit(0)), F.lit(0.0))
     return (
-        subtopics(topics)
+        topics.drop("embedding")
         .join(sums, "id", "left")
         .withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
         .withColumn("m", mean)
@@ -57,7 +57,7 @@ def _leaf_sums(topics: DataFrame, assignments: DataFrame, reviews: DataFrame) ->
 
 def topic_stats(topics: DataFrame, assignments: DataFrame, reviews: DataFrame) -> DataFrame:
     """Reviews and mean stars of every subtopic."""
-    return _leaf_sums(topics, assignments, reviews).select(
+    return _with_sums(subtopics(topics), assignments, reviews).select(
         "org_id",
         F.col("id").alias("topic_id"),
         "parent_id",
@@ -73,48 +73,32 @@ def topic_tree(
     """Parents, most reviewed first (``rank`` from 1 per org), each followed by its subtopics.
 
     Parent means are weighted by reviews over unrounded subtopic means.
-    ``limit`` counts parents per org.
+    ``limit`` counts parents per org. Both levels come out of one pass.
     """
-    leaves = _leaf_sums(topics, assignments, reviews)
-    sums = leaves.groupBy("parent_id").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
-    order = Window.partitionBy("org_id").orderBy(F.col("review_count").desc(), "position", "topic_id")
-    heads = (
-        parents(topics)
-        .select("org_id", F.col("id").alias("topic_id"), "name", "position")
-        .join(sums.withColumnRenamed("parent_id", "topic_id"), "topic_id", "left")
-        .withColumn("review_count", F.coalesce("n", F.lit(0).cast("bigint")))
-        .withColumn(
-            "avg_stars",
-            nm.round_half_up(
-                F.coalesce(F.col("w") / F.nullif(F.col("n"), F.lit(0)), F.lit(0.0)), 1
-            ),
-        )
-        .withColumn("rank", F.row_number().over(order))
+    is_leaf = F.col("parent_id").isNotNull()
+    head_id = F.coalesce("parent_id", "id")
+    family = Window.partitionBy(head_id)
+    order = Window.partitionBy("org_id").orderBy(F.col("all").desc(), "head_position", head_id)
+    mean = F.coalesce(F.col("weighted") / F.nullif(F.col("all"), F.lit(0)), F.lit(0.0))
+    tree = (
+        _with_sums(topics, assignments, reviews)
+        .withColumn("all", F.coalesce(F.sum(F.when(is_leaf, F.col("n"))).over(family), F.lit(0)))
+        .withColumn("weighted", F.sum(F.when(is_leaf, F.col("w"))).over(family))
+        .withColumn("head_position", F.max(F.when(~is_leaf, F.col("position"))).over(family))
+        .withColumn("rank", F.dense_rank().over(order))
     )
     if limit is not None:
-        heads = heads.filter(F.col("rank") <= limit)
-    children = leaves.join(
-        heads.select(F.col("topic_id").alias("parent_id"), "rank"), "parent_id"
-    ).select(
+        tree = tree.filter(F.col("rank") <= limit)
+    return tree.select(
         "org_id",
         "rank",
-        F.lit(1).alias("level"),
+        F.when(is_leaf, 1).otherwise(0).alias("level"),
         F.col("id").alias("topic_id"),
         "parent_id",
         "name",
-        F.col("n").alias("review_count"),
-        nm.round_half_up(F.col("m"), 1).alias("avg_stars"),
+        F.when(is_leaf, F.col("n")).otherwise(F.col("all")).alias("review_count"),
+        nm.round_half_up(F.when(is_leaf, F.col("m")).otherwise(mean), 1).alias("avg_stars"),
     )
-    return heads.select(
-        "org_id",
-        "rank",
-        F.lit(0).alias("level"),
-        "topic_id",
-        F.lit(None).cast("bigint").alias("parent_id"),
-        "name",
-        "review_count",
-        "avg_stars",
-    ).unionByName(children)
 
 
 def topic_tree_nested(

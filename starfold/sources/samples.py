@@ -8,8 +8,12 @@ and half stars are introduced by rule, since the generated tables hold none.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from starfold.functions import text as tx
 
@@ -18,17 +22,36 @@ BULK_ORDER = ("l_shipdate", "l_suppkey", "l_partkey")
 BULK_SPLIT = "1998-06-01"
 
 
+def once(build: Callable[[Samples], DataFrame]) -> Callable[[Samples], DataFrame]:
+    """Build a table's plan on first use and hand out the same plan afterwards."""
+
+    @wraps(build)
+    def get(self: Samples) -> DataFrame:
+        if build.__name__ not in self._plans:
+            self._plans[build.__name__] = build(self)
+        return self._plans[build.__name__]
+
+    return get
+
+
 class Samples:
     """Lazy tables over one data directory."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self._schemas: dict[str, StructType] = {}
+        self._plans: dict[str, DataFrame] = {}
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        """A generated table. Its schema is read from the file once."""
+        file = f"{self.path}/{name}.parquet"
+        if name not in self._schemas:
+            self._schemas[name] = self.spark.read.parquet(file).schema
+        return self.spark.read.schema(self._schemas[name]).parquet(file)
 
     # -- organisations -------------------------------------------------------
 
+    @once
     def companies(self) -> DataFrame:
         per = self.raw("documents").groupBy(F.col("source").alias("org_id")).agg(
             F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("docs")
@@ -44,6 +67,7 @@ class Samples:
             n.alias("n"),
         )
 
+    @once
     def relations(self) -> DataFrame:
         """Each own company against the orgs one and five places further on."""
         orgs = self.companies().select("org_id", "role", "n")
@@ -74,6 +98,7 @@ class Samples:
             )
         )
 
+    @once
     def sync_log(self) -> DataFrame:
         o = F.col
         day = o("o_orderdate").cast("date").cast("string")
@@ -92,6 +117,7 @@ class Samples:
 
     # -- reviews ---------------------------------------------------------------
 
+    @once
     def reviews(self) -> DataFrame:
         d, chars = F.col("doc_id"), F.col("n_chars")
         visit = F.expr("doc_id div 20")
@@ -148,6 +174,7 @@ class Samples:
             *BULK_ORDER,
         )
 
+    @once
     def bulk_reviews(self) -> DataFrame:
         """The feed as plain reviews, one per row."""
         return self.bulk().drop(*BULK_ORDER)
@@ -185,6 +212,7 @@ class Samples:
 
     # -- vectors and topics ------------------------------------------------------
 
+    @once
     def vectors(self) -> DataFrame:
         docs = self.raw("documents").select(F.col("doc_id").alias("review_id"))
         return self.raw("embeddings").select(
@@ -193,6 +221,7 @@ class Samples:
             F.col("embedding").alias("text_embedding"),
         ).join(docs, "review_id", "left_semi")
 
+    @once
     def _labels(self) -> DataFrame:
         """Each label an org's reviews carry, with the vector of its first review."""
         docs = self.raw("documents").select(F.col("doc_id").alias("vec_id"), F.col("source").alias("org_id"))
@@ -204,6 +233,7 @@ class Samples:
             .withColumn("grp", F.col("label") % 4)
         )
 
+    @once
     def topics(self) -> DataFrame:
         """Two levels per org: labels under four groups, plus a group without subtopics.
 

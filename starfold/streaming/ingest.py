@@ -84,7 +84,7 @@ class ReviewIngest:
         """One log row per org, counted against the table as it was before the batch."""
         store = self.store
         before = store.read("reviews", store.version_before("reviews", batch_id), parts)
-        counts = ingest.counts_of_reduced(before, reduced, ["org_id"])
+        counts = ingest.counts_of_staged(before, reduced, ["org_id"])
         modes = ingest.sync_mode(counts, store.read("sync_log"))
         stamp: Column = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
         entries = modes.join(counts, "org_id").select(
