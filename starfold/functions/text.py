@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values.
-UPPER_ASCII = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-LOWER_ASCII = "abcdefghijklmnopqrstuvwxyz"
 KEY_PREFIX = "sha256:"
 KEY_TEXT_CHARS = 100
 DIGEST_CHARS = 200
@@ -19,6 +17,14 @@ def is_filled(col: Column) -> Column:
     return col.isNotNull() & (col != "")
 
 
+def has_text(rows: DataFrame) -> Column:
+    """Whether a review has text: read from the stored flag where the table keeps one.
+
+    With the flag, counting texts does not read the texts.
+    """
+    return F.col("has_text") if "has_text" in rows.columns else is_filled(F.col("text"))
+
+
 def trim_to_null(col: Column) -> Column:
     """Strip Unicode white space; an empty remainder becomes NULL."""
     return F.nullif(
@@ -38,26 +44,26 @@ def date_part(col: Column) -> Column:
     return F.substring_index(col, "T", 1)
 
 
-def ascii_lower(col: Column) -> Column:
-    return F.translate(col, UPPER_ASCII, LOWER_ASCII)
+def _literal(text: str) -> str:
+    """A regular expression for one run of plain characters and ``_`` wildcards."""
+    quoted = ["" if not t else "\\Q" + t.replace("\\E", "\\E\\\\E\\Q") + "\\E" for t in text.split("_")]
+    return ".".join(quoted)
 
 
 def contains_caseless(col: Column, query: str, fold: str = "ascii") -> Column:
     """``%query%`` match. ``%`` and ``_`` in the query stay wildcards, a backslash is literal.
 
     ``fold='ascii'`` ignores case for A-Z only, ``fold='unicode'`` for all letters.
+    Runs between ``%`` are found one after the other without backtracking, so
+    long texts cost linear time.
     """
-    if fold == "ascii":
-        table = str.maketrans(UPPER_ASCII, LOWER_ASCII)
-        hay, needle = ascii_lower(col), query.translate(table)
-    elif fold == "unicode":
-        hay, needle = F.lower(col), query.lower()
-    else:
+    flags = {"ascii": "(?is)", "unicode": "(?isu)"}.get(fold)
+    if flags is None:
         raise ValueError(f"unknown fold: {fold!r}")
-    pattern = needle.replace("\\", "\\\\")
-    if "%" not in needle and "_" not in needle:
-        return F.contains(hay, F.lit(needle))
-    return hay.like(f"%{pattern}%")
+    runs = [_literal(r) for r in query.split("%") if r]
+    if len(runs) > 1:
+        return col.rlike(flags + "\\A" + "".join(f"(?>.*?{r})" for r in runs))
+    return col.rlike(flags + "".join(runs))
 
 
 def review_key(org_id: Column, url: Column, author: Column, date: Column, text: Column) -> Column:

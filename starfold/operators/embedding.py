@@ -75,7 +75,7 @@ class BatchEmbedder:
 
 def unembedded(reviews: DataFrame, vectors: DataFrame, force: bool = False) -> DataFrame:
     """Reviews with text that have no vector yet; with ``force`` all reviews with text."""
-    todo = reviews.filter(tx.is_filled(F.col("text"))).select("id", "org_id", "text")
+    todo = reviews.filter(tx.has_text(reviews)).select("id", "org_id", "text")
     if force:
         return todo
     return todo.join(vectors.select(F.col("review_id").alias("id")), "id", "left_anti")
@@ -108,7 +108,7 @@ def embed_query(spark, text: str, embedder: Embedder) -> DataFrame:
 def coverage(companies: DataFrame, reviews: DataFrame, vectors: DataFrame, topics: DataFrame) -> DataFrame:
     """Per company: reviews with text, reviews with a vector, topics, topics with a vector."""
     texts = reviews.groupBy("org_id").agg(
-        F.count(F.when(tx.is_filled(F.col("text")), 1)).alias("reviews_with_text")
+        F.count(F.when(tx.has_text(reviews), 1)).alias("reviews_with_text")
     )
     done = (
         reviews.select(F.col("id").alias("review_id"), "org_id")

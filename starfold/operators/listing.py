@@ -50,16 +50,36 @@ def filter_reviews(
     return reviews
 
 
+#: Spark cuts input partitions to the wanted rows per group up to this rank
+#: (spark.sql.optimizer.windowGroupLimitThreshold).
+PRUNED_RANK = 1000
+SLICES = 256
+
+
+def _cut(df: DataFrame, limit: int, group: list[str], order: list[Column]) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    return df.withColumn("_rank", rank).filter(F.col("_rank") <= limit).drop("_rank")
+
+
 def first_per_org(df: DataFrame, limit: int | None, order: list[Column]) -> DataFrame:
     """At most ``limit`` rows of every org.
 
     Spark cuts each input partition to ``limit`` rows per org before the
     shuffle (WindowGroupLimit), so a dominant org sends few rows to its task.
+    Above the rank Spark does this for, slices of an org are cut first.
     """
     if limit is None:
         return df
-    rank = F.row_number().over(Window.partitionBy("org_id").orderBy(*order))
-    return df.withColumn("_rank", rank).filter(F.col("_rank") <= limit).drop("_rank")
+    if limit > PRUNED_RANK:
+        sliced = df.withColumn("_slice", F.pmod(F.xxhash64("id"), F.lit(SLICES)))
+        df = _cut(sliced, limit, ["org_id", "_slice"], order).drop("_slice")
+    return _cut(df, limit, ["org_id"], order)
+
+
+def newest(reviews: DataFrame, limit: int | None = None) -> DataFrame:
+    """The newest reviews of all, whatever their org."""
+    rows = reviews.orderBy(*newest_first())
+    return rows if limit is None else rows.limit(limit)
 
 
 def list_reviews(
@@ -73,8 +93,7 @@ def list_reviews(
     """Reviews newest first, for one org or for every org; ``limit`` counts per org."""
     rows = filter_reviews(reviews, org_id, since, stars)
     if org_id is not None:
-        rows = rows.orderBy(*newest_first()) if ordered or limit is not None else rows
-        return rows if limit is None else rows.limit(limit)
+        return newest(rows, limit) if ordered or limit is not None else rows
     rows = first_per_org(rows, limit, newest_first())
     return rows.orderBy("org_id", *newest_first()) if ordered else rows
 
@@ -144,8 +163,7 @@ def search_text(
     hits = filter_reviews(reviews, org_id, None, stars).filter(
         tx.contains_caseless(F.col("text"), query, fold)
     )
-    rows = hits.select(*search_columns()).orderBy(*newest_first())
-    return rows if limit is None else rows.limit(limit)
+    return newest(hits.select(*search_columns()), limit)
 
 
 def list_companies(companies: DataFrame, role: str | None = None) -> DataFrame:

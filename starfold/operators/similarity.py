@@ -32,32 +32,39 @@ def similarity_pairs(left: DataFrame, right: DataFrame, on: Sequence[str]) -> Da
     return a.join(b, list(on)).withColumn("similarity", sim).drop("a", "b", "_na", "_nb")
 
 
-def _top_reviews(
+def closest(
     reviews: DataFrame,
     vectors: DataFrame,
     similarity: Column,
-    org_id: str | None,
-    stars: str | None,
-    limit: int,
+    org_id: str | None = None,
+    stars: str | None = None,
+    limit: int = DEFAULT_ROWS,
 ) -> DataFrame:
-    """The ``limit`` most similar reviews that have text.
+    """``(id, review_key, similarity)`` of the ``limit`` most similar reviews that have text.
 
-    Review ids alone meet the vectors; the texts are fetched for the winners only.
+    Only narrow review columns meet the vectors; texts stay where they are.
     """
-    ids = (
+    candidates = (
         filter_reviews(reviews, org_id, None, stars)
-        .filter(tx.is_filled(F.col("text")))
-        .select(F.col("id").alias("review_id"))
+        .filter(tx.has_text(reviews))
+        .select(F.col("id").alias("review_id"), "review_key")
     )
-    order = [F.col("similarity").desc(), F.col("id").asc()]
-    best = (
-        vectors.join(ids, "review_id", "left_semi")
-        .select(F.col("review_id").alias("id"), similarity.alias("similarity"))
+    return (
+        vectors.join(candidates, "review_id")
+        .select(F.col("review_id").alias("id"), "review_key", similarity.alias("similarity"))
         .filter(F.col("similarity").isNotNull())
-        .orderBy(*order)
+        .orderBy(F.col("similarity").desc(), F.col("id").asc())
         .limit(limit)
     )
-    return best.join(reviews.select(*search_columns()), "id").orderBy(*order)
+
+
+def with_details(best: DataFrame, reviews: DataFrame) -> DataFrame:
+    """The listed columns of the reviews found, most similar first."""
+    return (
+        best.select("id", "similarity")
+        .join(reviews.select(*search_columns()), "id")
+        .orderBy(F.col("similarity").desc(), F.col("id").asc())
+    )
 
 
 def semantic_search(
@@ -69,9 +76,8 @@ def semantic_search(
     limit: int = DEFAULT_ROWS,
 ) -> DataFrame:
     """Reviews most similar to a query vector, by exact cosine over every vector."""
-    return _top_reviews(
-        reviews, vectors, vec.cosine_to(query)(F.col("text_embedding")), org_id, stars, limit
-    )
+    sim = vec.cosine_to(query)(F.col("text_embedding"))
+    return with_details(closest(reviews, vectors, sim, org_id, stars, limit), reviews)
 
 
 def similar_to_review(
@@ -100,7 +106,7 @@ def similar_to_row(
     """
     wanted = query.select(query.columns[0]).scalar()
     sim = vec.cosine_batch(F.col("text_embedding"), wanted)
-    return _top_reviews(reviews, vectors, sim, org_id, stars, limit)
+    return with_details(closest(reviews, vectors, sim, org_id, stars, limit), reviews)
 
 
 def has_vectors(vectors: DataFrame) -> bool:

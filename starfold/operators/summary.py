@@ -27,7 +27,7 @@ def org_stats(companies: DataFrame, reviews: DataFrame, since: str | None = None
         F.count(one).alias("n"),
         F.avg("stars").alias("mean"),
         F.count("business_response").alias("responded"),
-        F.count(F.when(tx.is_filled(F.col("text")), one)).alias("texts"),
+        F.count(F.when(tx.has_text(reviews), one)).alias("texts"),
         F.min("date").alias("first_date"),
         F.max("date").alias("last_date"),
     )

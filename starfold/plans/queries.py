@@ -214,9 +214,9 @@ def _(s: Samples) -> DataFrame:
     return listing.list_reviews(s.reviews(), since="2024-01-01", stars="4-5", limit=20).select(*REVIEW_COLUMNS)
 
 
-@query("reviews_recent", f"SELECT {_REVIEWS} FROM reviews WHERE org_id = 'src3' {_NEWEST} LIMIT 25")
+@query("reviews_recent", f"SELECT {_REVIEWS} FROM reviews {_NEWEST} LIMIT 25")
 def _(s: Samples) -> DataFrame:
-    return listing.list_reviews(s.reviews(), org_id="src3", limit=25).select(*REVIEW_COLUMNS)
+    return listing.newest(s.reviews(), 25).select(*REVIEW_COLUMNS)
 
 
 @query("unanswered", f"""
@@ -249,11 +249,11 @@ def _(s: Samples) -> DataFrame:
 @query("search_text_filtered", """
 SELECT id, org_id, date, stars, text, author_name, business_response IS NOT NULL AS has_response
 FROM reviews
-WHERE translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%re%'
+WHERE translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%re%the%'
   AND stars >= 2 AND stars <= 4 AND org_id = 'src7'
 ORDER BY date DESC NULLS LAST, id LIMIT 50""")
 def _(s: Samples) -> DataFrame:
-    return listing.search_text(s.reviews(), "RE", org_id="src7", stars="2-4")
+    return listing.search_text(s.reviews(), "RE%thE", org_id="src7", stars="2-4")
 
 
 @query("competitors_of", """

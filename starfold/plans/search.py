@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import logging
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from starfold.functions import vectors as vec
 from starfold.operators import embedding, listing, similarity
 from starfold.operators.embedding import Embedder
+from starfold.sources.store import Store
 
 
 def search(
@@ -53,3 +57,19 @@ def similar(
         raise ValueError("give a review id, or a text and an embedder")
     wanted = embedding.embed_query(spark, text, embedder)
     return similarity.similar_to_row(reviews, vectors, wanted, org_id, None, limit)
+
+
+def semantic_in_store(
+    store: Store,
+    query: list[float],
+    org_id: str | None = None,
+    stars: str | None = None,
+    limit: int = listing.DEFAULT_ROWS,
+) -> DataFrame:
+    """Semantic search over stored tables. Texts are read from the buckets of the winners only."""
+    sim = vec.cosine_to(query)(F.col("text_embedding"))
+    best = similarity.closest(
+        store.read("reviews"), store.read("review_embeddings"), sim, org_id, stars, limit
+    )
+    best = store.stage(f"search/{uuid.uuid4().hex}", best)
+    return similarity.with_details(best, store.read("reviews", parts=store.touched(best)))

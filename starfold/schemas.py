@@ -62,6 +62,9 @@ REVIEWS = _fields(
     ("updated_at", _TS, True),
 )
 
+#: Reviews as stored: with a flag that spares readers the text column.
+STORED_REVIEWS = T.StructType([*REVIEWS.fields, T.StructField("has_text", T.BooleanType(), True)])
+
 SYNC_LOG = _fields(
     ("seq", _L, False),
     ("org_id", _S, True),

@@ -54,6 +54,11 @@ def test_date_part(spark):
     ("COFFEE", [True, True, False, False, None]),
     ("c_ffee", [True, True, False, False, None]),
     ("co%ee", [True, True, False, False, None]),
+    ("e%f_%E", [True, False, False, False, None]),
+    ("fee%cof", [False, False, False, False, None]),
+    ("", [True, True, True, True, None]),
+    ("%", [True, True, True, True, None]),
+    ("\\E", [False, False, False, False, None]),
     ("\\", [False, False, True, False, None]),
     ("цена", [False, False, False, False, None]),
 ])
@@ -62,6 +67,11 @@ def test_caseless_search(spark, query, hits):
     assert values(spark, texts, "string", lambda c: tx.contains_caseless(c, query)) == hits
 
 
+def test_search_time_is_linear_in_the_text(spark):
+    text = "ab" * 60000
+    assert values(spark, [text], "string", lambda c: tx.contains_caseless(c, "a%b%a%x")) == [False]
+
+
 def test_unicode_fold(spark):
     assert values(spark, ["ЦЕНА"], "string", lambda c: tx.contains_caseless(c, "цена", "unicode")) == [True]
 

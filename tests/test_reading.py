@@ -99,6 +99,23 @@ def test_listing_order_and_limits(spark):
     assert rows(listing.list_reviews(df, limit=2), "org_id", "id") == [("111", 3), ("111", 4), ("222", 5)]
 
 
+def test_large_limits_keep_every_row(spark, monkeypatch):
+    df = reviews(spark, *[{"date": f"2025-01-{1 + i % 28:02d}", "org_id": "ab"[i % 3 == 0]} for i in range(60)])
+    want = bag(listing.list_reviews(df, limit=17), "id")
+    monkeypatch.setattr(listing, "PRUNED_RANK", 5)
+    assert bag(listing.list_reviews(df, limit=17), "id") == want and len(want) == 34
+
+
+def test_stats_do_not_read_texts_when_a_flag_is_stored(spark, tmp_path):
+    df = _four(spark).withColumn("has_text", F.expr("text <> ''"))
+    df.write.parquet(str(tmp_path / "r"))
+    stored = spark.read.parquet(str(tmp_path / "r"))
+    out = summary.org_stats(companies(spark, {"org_id": "111"}), stored)
+    assert out.first().reviews_with_text == 2
+    scan = [l for l in out._jdf.queryExecution().toString().splitlines() if "ReadSchema" in l][-1]
+    assert "has_text" in scan and "text:string" not in scan.replace("has_text", "")
+
+
 def test_digest(spark):
     df = reviews(
         spark, {"text": "x" * 250, "date": "2025-06-01T10:00:00", "business_response": "y" * 201},
