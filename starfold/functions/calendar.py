@@ -39,19 +39,36 @@ def _seconds_past_day(text: Column) -> Column:
     return part(1) * 3600 + part(2) * 60 + part(3) - sign * (part(5) * 3600 + part(6) * 60)
 
 
+def _plain_day(text: Column) -> Column:
+    """Day of a valid plain ``YYYY-MM-DD``, without regular expressions; NULL for all other text."""
+    shape = (
+        (F.length(text) == 10)
+        & (F.substring(text, 5, 1) == "-")
+        & (F.substring(text, 8, 1) == "-")
+        & F.substring(text, 10, 1).between("0", "9")
+    )
+    return F.when(shape, text.try_cast("date"))
+
+
 def utc_day(text: Column) -> Column:
     """Calendar day in UTC of an ISO date or date-time; NULL when it is not one."""
     day = _calendar_day(text)
     shift = F.floor(_seconds_past_day(text) / 86400).cast("int")
-    return F.when(text.rlike(_PLAIN), day).when(text.rlike(_TIMED), F.date_add(day, shift))
+    other = F.when(text.rlike(_PLAIN), day).when(text.rlike(_TIMED), F.date_add(day, shift))
+    return F.coalesce(_plain_day(text), other)
 
 
 def utc_seconds(text: Column) -> Column:
     """Seconds since 1970 in UTC of an ISO date or date-time; NULL when it is not one."""
-    midnight = F.unix_date(_calendar_day(text)).cast("bigint") * 86400
-    return F.when(text.rlike(_PLAIN), midnight).when(
-        text.rlike(_TIMED), midnight + _seconds_past_day(text)
+
+    def midnight(day: Column) -> Column:
+        return F.unix_date(day).cast("bigint") * 86400
+
+    day = _calendar_day(text)
+    other = F.when(text.rlike(_PLAIN), midnight(day)).when(
+        text.rlike(_TIMED), midnight(day) + _seconds_past_day(text)
     )
+    return F.coalesce(midnight(_plain_day(text)), other)
 
 
 def _padded(number: Column, width: int) -> Column:

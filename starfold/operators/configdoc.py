@@ -6,15 +6,42 @@ its place in the document.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starfold import schemas
 
 
-def read_config(spark, path: str) -> DataFrame:
-    """Companies from JSON lines, one company a line, with a ``pos`` of its own."""
-    return spark.read.schema(schemas.CONFIG_COMPANY).json(path)
+_DOCUMENT = (
+    "companies array<struct<org_id string, name string, role string, service_type string, "
+    "competitors array<struct<org_id string, priority int, notes string>>, topics string>>"
+)
+INHERIT = "inherit"
+
+
+def parse_documents(texts: DataFrame) -> DataFrame:
+    """Companies of JSON documents, one document per row of the only column.
+
+    ``topics`` is a list or the word ``inherit``. A document without a
+    ``companies`` list is an error.
+    """
+    companies = F.from_json(F.col(texts.columns[0]), _DOCUMENT)["companies"]
+    checked = F.when(companies.isNotNull(), companies).otherwise(
+        F.raise_error(F.lit('a configuration must have a "companies" list'))
+    )
+    c = F.col("c")
+    topics_type = next(f.dataType for f in schemas.CONFIG_COMPANY if f.name == "topics")
+    return texts.select(F.posexplode(checked).alias("pos", "c")).select(
+        F.col("pos").cast("bigint").alias("pos"),
+        *[c[k].alias(k) for k in ("org_id", "name", "role", "service_type", "competitors")],
+        F.when(c["topics"] != INHERIT, F.from_json(c["topics"], topics_type)).alias("topics"),
+        F.coalesce(c["topics"] == INHERIT, F.lit(False)).alias("inherit"),
+    )
+
+
+def read_document(spark: SparkSession, path: str) -> DataFrame:
+    """Companies of one configuration file in JSON."""
+    return parse_documents(spark.read.text(path, wholetext=True))
 
 
 def with_defaults(config: DataFrame) -> DataFrame:

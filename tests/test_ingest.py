@@ -209,3 +209,44 @@ def test_unknown_fold_is_refused(spark):
 
     with pytest.raises(ValueError):
         contains_caseless(F.col("x"), "q", "none")
+
+
+def test_config_file(spark, tmp_path):
+    path = tmp_path / "config.json"
+    path.write_text("""{"companies": [
+      {"org_id": 111, "name": "Mine", "role": "mine", "competitors": [{"org_id": "222", "priority": 9}],
+       "topics": [{"name": "Price", "subtopics": ["Markup", "Cost"]}]},
+      {"org_id": "222", "name": "Other", "role": "competitor", "topics": "inherit"},
+      {"org_id": "333", "name": "None", "role": "tracked", "service_type": "cafe"}]}""")
+    config = configdoc.inherit_topics(configdoc.accepted(configdoc.read_document(spark, str(path))))
+    assert bag(configdoc.topic_counts(config), "org_id", "parent_topics", "all_topics") == [
+        ("111", 1, 3), ("222", 1, 3), ("333", 0, 0)]
+    assert bag(configdoc.relation_rows(config)) == [("111", "222", 9, None)]
+    path.write_text("{}")
+    with pytest.raises(Exception, match="companies"):
+        configdoc.read_document(spark, str(path)).collect()
+
+
+def test_database_rows(spark):
+    from starfold.functions import vectors as vec
+    from starfold.sources.database import adopt
+
+    vector = F.array(F.lit(0.5), F.lit(-2.0)).cast("array<float>")
+    one = spark.range(1).select(F.lit(7).alias("review_id"), F.lit("m").alias("model"), F.lit("2025-01-01").alias("created_at"))
+    blob = adopt("review_embeddings", one.withColumn("text_embedding", vec.encode_f32(vector)))
+    text = adopt("review_embeddings", one.withColumn("text_embedding", F.lit("[0.5,-2]")))
+    for df in (blob, text):
+        r = df.first()
+        assert (r.review_id, r.text_embedding, r.response_embedding) == (7, [0.5, -2.0], None)
+        assert df.schema.fieldNames() == schemas.REVIEW_VECTORS.fieldNames()
+    orgs = spark.createDataFrame([("1", '["a","b"]', "mine")], "org_id string, categories string, role string")
+    assert adopt("companies", orgs).first().categories == ["a", "b"]
+    tops = spark.createDataFrame([(5, "1", "n")], "id int, org_id string, name string")
+    assert adopt("topic_templates", tops).first().position == 5
+
+
+def test_vectors_are_replaced_by_id(spark):
+    cur = schemas.conform(spark.createDataFrame([(1, "m", [1.0]), (2, "m", [2.0])], "review_id bigint, model string, text_embedding array<float>"), schemas.REVIEW_VECTORS)
+    new = spark.createDataFrame([(2, "n", [9.0]), (3, "n", [3.0])], "review_id bigint, model string, text_embedding array<float>")
+    assert bag(ingest.save_vectors(cur, new), "review_id", "model", "text_embedding") == [
+        (1, "m", [1.0]), (2, "n", [9.0]), (3, "n", [3.0])]
