@@ -449,10 +449,10 @@ def _(s: Samples) -> DataFrame:
 
 
 @query("assignments_replace", """
-SELECT review_id, topic_id, round(similarity, 6) AS similarity FROM assigned010
+SELECT review_id, topic_id, round(similarity, 6) + 0 AS similarity FROM assigned010
 WHERE org_id NOT IN (SELECT org_id FROM companies WHERE role = 'mine')
 UNION ALL
-SELECT review_id, topic_id, round(similarity, 6) FROM assigned030
+SELECT review_id, topic_id, round(similarity, 6) + 0 FROM assigned030
 WHERE org_id IN (SELECT org_id FROM companies WHERE role = 'mine')""")
 def _(s: Samples) -> DataFrame:
     mine = s.companies().filter(F.col("role") == "mine")
@@ -762,7 +762,7 @@ def _(s: Samples) -> DataFrame:
 
 
 @query("cosine_pairs", """
-SELECT v.review_id, t.id AS topic_id, round(list_cosine_similarity(v.text_embedding::double[], t.embedding::double[]), 6) AS similarity
+SELECT v.review_id, t.id AS topic_id, round(list_cosine_similarity(v.text_embedding::double[], t.embedding::double[]), 6) + 0 AS similarity
 FROM vectors v JOIN reviews r ON r.id = v.review_id JOIN topics t ON t.org_id = r.org_id
 WHERE t.embedding IS NOT NULL""")
 def _(s: Samples) -> DataFrame:
@@ -774,7 +774,7 @@ def _(s: Samples) -> DataFrame:
 
 
 def _assigned_sql(name: str) -> str:
-    return f"SELECT review_id, topic_id, round(similarity, 6) AS similarity FROM {name}"
+    return f"SELECT review_id, topic_id, round(similarity, 6) + 0 AS similarity FROM {name}"
 
 
 @query("classify_030", _assigned_sql("assigned030"))
@@ -834,7 +834,7 @@ def _(s: Samples) -> DataFrame:
 
 _HITS = """
 SELECT r.id, r.org_id, r.date, r.stars, r.text, r.author_name, r.business_response IS NOT NULL AS has_response,
-       round(list_cosine_similarity(v.text_embedding::double[], {query}), 6) AS similarity
+       round(list_cosine_similarity(v.text_embedding::double[], {query}), 6) + 0 AS similarity
 FROM vectors v JOIN reviews r ON r.id = v.review_id WHERE r.text <> '' {where}
 ORDER BY round(list_cosine_similarity(v.text_embedding::double[], {query}), 12) DESC, r.id LIMIT {limit}"""
 
