@@ -18,7 +18,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from starfold import schemas
 from starfold.operators import embedding, ingest, normalize, similarity
 from starfold.operators.embedding import Embedder
-from starfold.sources.store import Store
+from starfold.sources.store import Batch, Store
 
 ARRIVAL = "arrived_at"
 #: Order of the rows of a key inside one batch: by arrival file time, then by content.
@@ -65,30 +65,36 @@ class ReviewIngest:
         self.embedder, self.threshold = embedder, threshold
 
     def __call__(self, rows: DataFrame, batch_id: int) -> None:
-        store = self.store
+        """``foreachBatch`` entry. Batch numbers count per stream, that is per checkpoint."""
+        stream = rows.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        self.apply(rows, (stream or "direct", batch_id))
+
+    def apply(self, rows: DataFrame, batch: Batch) -> None:
+        store, (source, number) = self.store, batch
+        place = f"{source}/{number}"
         if CORRUPT in rows.columns:
-            rows = store.stage(f"arrived/{batch_id}", rows)
+            rows = store.stage(f"arrived/{place}", rows)
             unusable = F.col("org_id").isNull() | F.col(CORRUPT).isNotNull()
-            store.stage(f"rejects/{batch_id}", rows.filter(unusable))
+            store.stage(f"rejects/{place}", rows.filter(unusable))
             rows = rows.filter(~unusable).drop(CORRUPT)
         now = F.current_timestamp()
-        batch = self.prepare(rows).withColumn("first_seen_at", now).withColumn("updated_at", now)
-        reduced = store.stage(f"reviews/{batch_id}", ingest.reduce_batch(batch, self.order_by))
+        keyed = self.prepare(rows).withColumn("first_seen_at", now).withColumn("updated_at", now)
+        reduced = store.stage(f"reviews/{place}", ingest.reduce_batch(keyed, self.order_by))
         parts = store.touched(reduced)
-        store.merge_reviews(reduced, batch_id, parts)
-        self._log(reduced, batch_id, parts)
+        store.merge_reviews(reduced, batch, parts)
+        self._log(reduced, batch, parts)
         if self.embedder is not None:
-            self._embed_and_classify(reduced, batch_id, parts)
+            self._embed_and_classify(reduced, batch, parts)
 
-    def _log(self, reduced: DataFrame, batch_id: int, parts: list[int]) -> None:
+    def _log(self, reduced: DataFrame, batch: Batch, parts: list[int]) -> None:
         """One log row per org, counted against the table as it was before the batch."""
         store = self.store
-        before = store.read("reviews", store.version_before("reviews", batch_id), parts)
+        before = store.read("reviews", store.version_before("reviews", batch), parts)
         counts = ingest.counts_of_staged(before, reduced, ["org_id"])
         modes = ingest.sync_mode(counts, store.read("sync_log"))
         stamp: Column = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
         entries = modes.join(counts, "org_id").select(
-            F.lit(batch_id).cast("bigint").alias("seq"),
+            F.lit(store.manifest("sync_log")["version"] + 1).cast("bigint").alias("seq"),
             "org_id",
             "sync_type",
             F.col("added").alias("reviews_added"),
@@ -97,30 +103,30 @@ class ReviewIngest:
             stamp.alias("finished_at"),
             F.lit("ok").alias("status"),
         )
-        store.append("sync_log", entries, batch_id)
+        store.append("sync_log", entries, batch)
 
-    def _embed_and_classify(self, reduced: DataFrame, batch_id: int, parts: list[int]) -> None:
+    def _embed_and_classify(self, reduced: DataFrame, batch: Batch, parts: list[int]) -> None:
         """Embed the batch's reviews that have no vector yet, and assign those.
 
         The batch is staged in narrow form, so the large tables are probed by
         id against a side of known size and never shuffled for one batch.
         """
-        store = self.store
+        store, place = self.store, f"{batch[0]}/{batch[1]}"
         rows = store.stage(
-            f"stored/{batch_id}",
+            f"stored/{place}",
             store.read("reviews", parts=parts)
             .join(reduced.select(ingest.REVIEW_KEY), ingest.REVIEW_KEY, "left_semi")
             .select("id", "org_id", "text"),
         )
-        vectors = store.read("review_embeddings", store.version_before("review_embeddings", batch_id))
+        vectors = store.read("review_embeddings", store.version_before("review_embeddings", batch))
         done = vectors.select("review_id").join(
             rows.select(F.col("id").alias("review_id")), "review_id", "left_semi"
         )
-        new = store.stage(f"vectors/{batch_id}", embedding.embed_reviews(rows, done, self.embedder))
+        new = store.stage(f"vectors/{place}", embedding.embed_reviews(rows, done, self.embedder))
         now = F.current_timestamp()
-        store.append("review_embeddings", new.withColumn("created_at", now), batch_id)
+        store.append("review_embeddings", new.withColumn("created_at", now), batch)
         assigned = similarity.classify(new, rows, store.read("topic_templates"), self.threshold)
-        store.append("review_topics", assigned.withColumn("created_at", now), batch_id)
+        store.append("review_topics", assigned.withColumn("created_at", now), batch)
 
 
 def start(
