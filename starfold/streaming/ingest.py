@@ -20,9 +20,8 @@ from starfold.operators import embedding, ingest, normalize, similarity
 from starfold.operators.embedding import Embedder
 from starfold.sources.store import Batch, Store
 
-ARRIVAL = "arrived_at"
-#: Order of the rows of a key inside one batch: by arrival file time, then by content.
-RAW_ORDER = (ARRIVAL, "row_digest")
+#: Order of the rows of a key inside one batch: by file time, then by place in the file.
+RAW_ORDER = ("arrived_at", "file", "block", "line")
 
 
 CORRUPT = "corrupt_record"
@@ -40,14 +39,17 @@ def read_landing(spark: SparkSession, folder: str, files_per_batch: int | None =
     )
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.load(folder).withColumn(ARRIVAL, F.col("_metadata.file_modification_time"))
+    return reader.load(folder).select(
+        "*",
+        F.col("_metadata.file_modification_time").alias("arrived_at"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+    )
 
 
 def keyed_reviews(raw: DataFrame) -> DataFrame:
-    """Normalised, keyed reviews of raw rows that carry ``arrived_at``."""
-    digest = F.sha2(F.to_json(F.struct(*[f.name for f in schemas.RAW_REVIEW])), 256)
-    rows = raw.withColumn("row_digest", digest)
-    return ingest.with_review_key(normalize.normalize_reviews(rows, extra=RAW_ORDER))
+    """Normalised, keyed reviews of raw rows that carry the columns of ``RAW_ORDER``."""
+    return ingest.with_review_key(normalize.normalize_reviews(raw, extra=RAW_ORDER))
 
 
 class ReviewIngest:
@@ -73,7 +75,9 @@ class ReviewIngest:
         store, (source, number) = self.store, batch
         place = f"{source}/{number}"
         if CORRUPT in rows.columns:
-            rows = store.stage(f"arrived/{place}", rows)
+            # Lines are numbered where they are read: within a block the numbers follow the file.
+            lines = rows.withColumn("line", F.monotonically_increasing_id())
+            rows = store.stage(f"arrived/{place}", lines)
             unusable = F.col("org_id").isNull() | F.col(CORRUPT).isNotNull()
             store.stage(f"rejects/{place}", rows.filter(unusable))
             rows = rows.filter(~unusable).drop(CORRUPT)
