@@ -160,6 +160,20 @@ def upsert_companies(current: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
+def sync_companies(current: DataFrame, found: DataFrame, order_by: Sequence[str]) -> DataFrame:
+    """Merge what a sync found out about tracked companies; their roles stay as they are.
+
+    The last value found for a field counts, as if the rows had been merged one
+    by one; orgs that are not tracked are left out.
+    """
+    fields = [c for c in found.columns if c != "org_id" and c not in order_by and c in current.columns]
+    order = F.struct(*order_by)
+    last = found.groupBy("org_id").agg(
+        *[F.max_by(c, F.when(F.col(c).isNotNull(), order)).alias(c) for c in fields]
+    )
+    return upsert_companies(current, last.join(current.select("org_id", "role"), "org_id"))
+
+
 RELATION_KEY = ("company_org_id", "competitor_org_id")
 
 

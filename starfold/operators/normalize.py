@@ -79,7 +79,8 @@ def normalize_reviews(
     )
 
 
-def normalize_companies(raw: DataFrame) -> DataFrame:
+def normalize_companies(raw: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """Clean companies of raw attributes; ``extra`` columns are carried along."""
     c = F.col
     names = F.filter(F.transform(c("category_texts"), tx.trim_to_null), lambda x: x.isNotNull())
     return raw.select(
@@ -89,6 +90,7 @@ def normalize_companies(raw: DataFrame) -> DataFrame:
         nm.leading_int(c("review_count_content")).alias("review_count"),
         tx.trim_to_null(c("address_text")).alias("address"),
         F.coalesce(names, F.array().cast("array<string>")).alias("categories"),
+        *extra,
     )
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starfold.operators import configdoc, embedding, ingest, scoring, similarity
+from starfold.operators import configdoc, embedding, ingest, normalize, scoring, similarity
 from starfold.operators.embedding import Embedder
 from starfold.schemas import TABLES
 from starfold.sources.store import Store
@@ -41,6 +43,14 @@ def apply_config(store: Store, config: DataFrame) -> DataFrame:
     return configdoc.rejected(config)
 
 
+def sync_companies(store: Store, raw: DataFrame, order_by: Sequence[str]) -> None:
+    """Clean raw company attributes and merge them into the tracked companies."""
+    found = normalize.normalize_companies(raw, extra=order_by).withColumn(
+        "updated_at", F.current_timestamp()
+    )
+    store.replace("companies", ingest.sync_companies(store.read("companies"), found, order_by))
+
+
 def embed_and_classify(
     store: Store,
     embedder: Embedder,

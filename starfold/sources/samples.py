@@ -11,11 +11,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from starfold.functions import text as tx
+from starfold.operators.ingest import with_review_key
 
 AS_OF = "2025-12-01"
 BULK_ORDER = ("l_shipdate", "l_suppkey", "l_partkey")
@@ -56,15 +56,14 @@ class Samples:
         per = self.raw("documents").groupBy(F.col("source").alias("org_id")).agg(
             F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("docs")
         )
-        n = F.col("low") % 20
-        return per.select(
+        return per.selectExpr(
             "org_id",
-            F.concat(F.lit("Org "), "org_id").alias("name"),
-            F.when(F.col("low") % 7 != 3, F.lit(3.0) + n * F.lit(0.1)).alias("rating"),
-            F.col("docs").cast("int").alias("review_count"),
-            F.when(n < 4, "mine").when(n < 14, "competitor").otherwise("tracked").alias("role"),
-            F.when(n % 2 == 0, "auto_service").otherwise("cafe").alias("service_type"),
-            n.alias("n"),
+            "concat('Org ', org_id) AS name",
+            "IF(low % 7 <> 3, 3.0D + low % 20 * 0.1D, NULL) AS rating",
+            "int(docs) AS review_count",
+            "CASE WHEN low % 20 < 4 THEN 'mine' WHEN low % 20 < 14 THEN 'competitor' ELSE 'tracked' END AS role",
+            "IF(low % 20 % 2 = 0, 'auto_service', 'cafe') AS service_type",
+            "low % 20 AS n",
         )
 
     @once
@@ -119,32 +118,22 @@ class Samples:
 
     @once
     def reviews(self) -> DataFrame:
-        d, chars = F.col("doc_id"), F.col("n_chars")
-        visit = F.expr("doc_id div 20")
-        seventh = F.expr("doc_id div 7") % 3
-        whole = (chars % 5 + 1).cast("double")
-        date = F.concat(
-            (visit % 3 + 2023).cast("string"), F.lit("-"),
-            F.lpad((d * 7 % 12 + 1).cast("string"), 2, "0"), F.lit("-"),
-            F.lpad((d * 11 % 28 + 1).cast("string"), 2, "0"),
-        )
-        base = self.raw("documents").select(
-            d.alias("id"),
-            F.col("source").alias("org_id"),
-            F.concat(F.lit("user "), (visit % 97).cast("string")).alias("author_name"),
-            F.when(d % 17 != 0, date).alias("date"),
-            F.when(visit % 23 == 3, None).when(visit % 29 == 4, "").otherwise(F.col("text")).alias("text"),
-            F.when(chars % 53 == 0, None).when(chars % 13 == 0, whole - 0.5).otherwise(whole).alias("stars"),
-            (chars % 7).cast("int").alias("likes"),
-            (chars % 3).cast("int").alias("dislikes"),
-            F.when(d % 3 != 0, F.concat(F.lit("https://example.org/r/"), d.cast("string"))).alias("review_url"),
-            F.when(seventh == 0, "reply")
-            .when((seventh == 1) & (chars % 11 == 0), "")
-            .alias("business_response"),
-        )
-        return base.withColumn(
-            "review_key", tx.review_key(*[F.col(c) for c in ("org_id", "review_url", "author_name", "date", "text")])
+        seen = self.raw("documents").selectExpr(
+            "doc_id AS id",
+            "source AS org_id",
+            "concat('user ', doc_id div 20 % 97) AS author_name",
+            "IF(doc_id % 17 <> 0, concat_ws('-', 2023 + doc_id div 20 % 3, lpad(doc_id * 7 % 12 + 1, 2, '0'),"
+            " lpad(doc_id * 11 % 28 + 1, 2, '0')), NULL) AS date",
+            "CASE WHEN doc_id div 20 % 23 = 3 THEN NULL WHEN doc_id div 20 % 29 = 4 THEN '' ELSE text END AS text",
+            "CASE WHEN n_chars % 53 = 0 THEN NULL WHEN n_chars % 13 = 0 THEN n_chars % 5 + 0.5D"
+            " ELSE n_chars % 5 + 1.0D END AS stars",
+            "int(n_chars % 7) AS likes",
+            "int(n_chars % 3) AS dislikes",
+            "IF(doc_id % 3 <> 0, concat('https://example.org/r/', doc_id), NULL) AS review_url",
+            "CASE WHEN doc_id div 7 % 3 = 0 THEN 'reply'"
+            " WHEN doc_id div 7 % 3 = 1 AND n_chars % 11 = 0 THEN '' END AS business_response",
         )
+        return with_review_key(seen)
 
     def odd_dates(self) -> DataFrame:
         """Reviews whose dates carry times and zones, roll over, or cannot be read."""
@@ -163,14 +152,13 @@ class Samples:
         """The feed of 'lineitem': several rows per review key, with the columns that order them."""
         lines = self.raw("lineitem") if lines is None else lines
         part = self.raw("part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-        c = F.col
-        return lines.join(part, "l_partkey").select(
-            c("l_suppkey").cast("string").alias("org_id"),
-            F.concat_ws("-", c("l_orderkey").cast("string"), c("l_linenumber").cast("string")).alias("review_key"),
-            c("l_shipdate").cast("date").cast("string").alias("date"),
-            c("p_name").alias("text"),
-            (c("l_quantity").cast("bigint") % 5 + 1).cast("double").alias("stars"),
-            F.when(c("l_returnflag") != "R", c("l_returnflag")).alias("business_response"),
+        return lines.join(part, "l_partkey").selectExpr(
+            "string(l_suppkey) AS org_id",
+            "concat_ws('-', l_orderkey, l_linenumber) AS review_key",
+            "string(date(l_shipdate)) AS date",
+            "p_name AS text",
+            "bigint(l_quantity) % 5 + 1.0D AS stars",
+            "IF(l_returnflag <> 'R', l_returnflag, NULL) AS business_response",
             *BULK_ORDER,
         )
 
@@ -240,30 +228,24 @@ class Samples:
         Label 9 has no vector yet.
         """
         labels = self._labels()
-        base = F.col("n").cast("bigint") * 1000
-        none = F.lit(None)
-
-        def named(prefix: str, value: Column) -> Column:
-            return F.concat(F.lit(prefix), value.cast("string"))
-
-        leaves = labels.select(
-            (base + F.col("label")).alias("id"),
+        leaves = labels.selectExpr(
+            "n * 1000 + label AS id",
             "org_id",
-            (base + 900 + F.col("grp")).alias("parent_id"),
-            named("Topic ", F.col("label")).alias("name"),
-            (F.col("grp") * 100 + F.col("label") + 1).cast("bigint").alias("position"),
-            F.when(F.col("label") != 9, F.col("embedding")).alias("embedding"),
+            "n * 1000 + 900 + grp AS parent_id",
+            "concat('Topic ', label) AS name",
+            "bigint(grp * 100 + label + 1) AS position",
+            "IF(label <> 9, embedding, NULL) AS embedding",
         )
         groups = labels.select("org_id", "n", "grp").distinct().unionByName(
             self.companies().select("org_id", "n", F.lit(9).alias("grp"))
         )
-        heads = groups.select(
-            (base + 900 + F.col("grp")).alias("id"),
+        heads = groups.selectExpr(
+            "n * 1000 + 900 + grp AS id",
             "org_id",
-            none.cast("bigint").alias("parent_id"),
-            named("Group ", F.col("grp")).alias("name"),
-            (F.col("grp") * 100).cast("bigint").alias("position"),
-            none.cast("array<float>").alias("embedding"),
+            "bigint(NULL) AS parent_id",
+            "concat('Group ', grp) AS name",
+            "bigint(grp * 100) AS position",
+            "CAST(NULL AS array<float>) AS embedding",
         )
         return heads.unionByName(leaves)
 
