@@ -104,10 +104,10 @@ WITH companies AS (
   GROUP BY ALL
 ), topics AS (
   SELECT n * 1000 + 900 + grp AS id, org_id, NULL::bigint AS parent_id, 'Group ' || grp AS name,
-         grp * 100 AS position, NULL::float[] AS embedding
+         (grp * 100)::bigint AS position, NULL::float[] AS embedding
   FROM (SELECT DISTINCT org_id, n, grp FROM labels UNION ALL SELECT org_id, n, 9 FROM companies)
   UNION ALL
-  SELECT n * 1000 + label, org_id, n * 1000 + 900 + grp, 'Topic ' || label, grp * 100 + label + 1,
+  SELECT n * 1000 + label, org_id, n * 1000 + 900 + grp, 'Topic ' || label, (grp * 100 + label + 1)::bigint,
          CASE WHEN label <> 9 THEN embedding END
   FROM labels
 ), matches AS (
@@ -516,7 +516,7 @@ def _(s: Samples) -> DataFrame:
 
 
 @query("result_json", """
-SELECT to_json({'org_id': org_id, 'stars': stars, 'date': date, 'response': business_response}) AS json
+SELECT to_json({'org_id': org_id, 'stars': stars, 'date': date, 'response': business_response})::varchar AS json
 FROM reviews""")
 def _(s: Samples) -> DataFrame:
     rows = s.reviews().select("org_id", "stars", "date", F.col("business_response").alias("response"))
