@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -43,3 +45,25 @@ def shared_dir(spark: SparkSession) -> str:
     made = tempfile.mkdtemp(prefix="starfold-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the package to the Python workers, once per Spark application.
+
+    Functions that run in workers are pickled by reference, so a worker must be able to
+    import the package wherever the driver was started from.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_starfold_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="starfold-package-")
+    archive = os.path.join(folder, "starfold-package.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for at, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(at, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(archive)
+    context._starfold_shipped = True
