@@ -1,7 +1,8 @@
 """N-gram Jaccard self-join with adaptive multi-match prefixes, and its connected groups.
 
 A document is its set of hashed shingles. Equal sets are one node. All shingles have one
-global order, rare ones first, by a sketch of their frequencies over all documents. Two sets that
+global order, rare ones first: by how far their frequency stands out in a sketch over all
+documents, then by the frequencies of their words. Two sets that
 are similar enough share at least ``l`` shingles among the first ``n - need + l`` of
 each; every document picks its own ``l`` (and so its prefix) by the cost that the sketch
 estimates for it: rows to look at and candidates to verify. A pair is verified if its
@@ -34,17 +35,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starfold.llm.common import keep, partitions, small_batches
+from starfold.llm.common import keep, small_batches
 from starfold.llm.graph import components
 
-#: Counters of the frequency sketch, and counters of one of the pieces it is summed in.
+#: Counters of each frequency sketch (shingles, words), and counters of one of the pieces they are summed in.
 SKETCH, SLICE = 1 << 19, 1 << 13
+#: A shingle's frequency stands out if its counter is this many deviations above the mean counter.
+DEVIATIONS = 6.0
 #: Longest ``l``; cost of verifying a candidate in rows of a prefix list.
 MOST_SHARED, VERIFY_COST = 4, 8.0
 #: Lists up to this length are compared as pairs of rows; longer ones in blocks of this many bytes.
 SHORT_LIST, BLOCK_BYTES = 24, 12 << 20
-#: Rounds with one centre per list, at most; they end when the lists promise few pairs.
-ROUNDS = 8
+#: Rounds with one centre per list, at most; they end when the lists promise few pairs, or when a
+#: round closes fewer than this share of the open rows.
+ROUNDS, LEAST_GAIN = 6, 0.1
 #: Bits of the filter that picks the sets to be fetched.
 FILTER_BITS = 1 << 25
 
@@ -57,18 +61,30 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def shingles(text: str | None, size: int) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of ``size`` words; words end at blanks and 0x09-0x0D."""
+def hashed(text: str | None, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of a text, and of its shingles of ``size`` words, by place.
+
+    Words end at blanks and 0x09-0x0D; fewer words than ``size`` are one shingle.
+    """
     words = text.encode().translate(_FOLD).split() if text else []
-    if not words:
-        return np.zeros(0, dtype=np.uint64)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+    if not words:
+        return h, h
     k = min(size, len(h))
     n = len(h) - k + 1
     out = np.full(n, k, dtype=np.uint64)
     for j in range(k):
         out = _mix(out * _A + h[j : j + n])
-    return np.unique(out)
+    return h, out
+
+
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of a text."""
+    return np.unique(hashed(text, size)[1])
+
+
+def _cell(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(SKETCH - 1)).astype(np.int64)
 
 
 def set_id(hashes: np.ndarray) -> int:
@@ -90,25 +106,40 @@ class Threshold:
         return self.den * shared >= self.num * (n + m - shared)
 
 
-def prefix(hashes: np.ndarray, counts: np.ndarray, noise: float, limit: Threshold) -> tuple[np.ndarray, int]:
-    """The prefix of a set in the global order, and the number of shared shingles it calls for."""
-    n = len(hashes)
-    own = counts[(hashes & np.uint64(SKETCH - 1)).astype(np.int64)]
-    order = np.argsort(own, kind="stable")  # hashes are sorted, so ties are in their order
-    need = limit.least_shared(n)
-    base = n - need + 1
-    lists = np.cumsum(np.maximum(own[order[: base + MOST_SHARED - 1]] - noise, 1.0))
-    best, cost = 1, math.inf
-    for shared in range(1, min(MOST_SHARED, need) + 1):
-        rows = lists[min(base + shared - 1, n) - 1]
-        now = rows + VERIFY_COST * (rows - (base + shared - 1)) / shared
-        if now < cost - 1e-9:
-            best, cost = shared, now
-    return hashes[order[: base + best - 1]], best
-
-
-def describe(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray, float]:
-    """(doc_id, n_shingles, sid) of every row, the frequency sketch, and its mean."""
+class Order:
+    """The global order of shingles, from the sketches over all documents."""
+
+    def __init__(self, shingle_counts: np.ndarray, word_counts: np.ndarray):
+        mean = float(shingle_counts.mean())
+        stands_out = shingle_counts - int(mean + DEVIATIONS * math.sqrt(mean) + 1)
+        self.excess = np.clip(stands_out, 0, 2**31 - 1).astype(np.int32)
+        self.common = np.rint(np.log2(word_counts + 1.0) * 64).astype(np.int16)
+
+    def prefix(self, text: str | None, size: int, limit: Threshold) -> tuple[np.ndarray, np.ndarray, int]:
+        """The set of a text, its prefix in this order, and the number of shared shingles it calls for."""
+        h, by_place = hashed(text, size)
+        s, first = np.unique(by_place, return_index=True)
+        if not len(s):
+            return s, s, 0
+        k, n = len(h) - len(by_place) + 1, len(s)
+        words = self.common[_cell(h)].astype(np.int32)
+        rare = sum(words[j : j + len(by_place)] for j in range(k))[first]
+        excess = self.excess[_cell(s)]
+        order = np.lexsort((rare, excess))  # stable: ties stay in the order of their hashes
+        need = limit.least_shared(n)
+        base = n - need + 1
+        lists = np.cumsum(1.0 + excess[order[: base + MOST_SHARED - 1]])
+        best, cost = 1, math.inf
+        for shared in range(1, min(MOST_SHARED, need) + 1):
+            rows = lists[base + shared - 2]
+            now = rows + VERIFY_COST * rows / shared**2
+            if now < cost - 1e-9:
+                best, cost = shared, now
+        return s, s[order[: base + best - 1]], best
+
+
+def describe(docs: DataFrame, size: int) -> tuple[DataFrame, Order]:
+    """(doc_id, n_shingles, sid) of every row, and the order of shingles."""
     spark = docs.sparkSession
     small_batches(spark)
     schema = "doc_id long, n_shingles long, sid long, slice int, counts binary"
@@ -121,17 +152,18 @@ def describe(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray, float]:
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH, dtype=np.int64)
+        counts = np.zeros(2 * SKETCH, dtype=np.int64)
         for batch in batches:
-            sets = [shingles(t, size) for t in batch.column("text").to_pylist()]
+            both_ = [hashed(t, size) for t in batch.column("text").to_pylist()]
+            sets = [np.unique(by_place) for _, by_place in both_]
             if sets:
-                every = np.concatenate(sets)
-                counts += np.bincount((every & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
+                counts[:SKETCH] += np.bincount(_cell(np.concatenate(sets)), minlength=SKETCH)
+                counts[SKETCH:] += np.bincount(_cell(np.concatenate([h for h, _ in both_])), minlength=SKETCH)
             yield batch_of(
                 len(sets), doc_id=batch.column("doc_id"), n_shingles=[len(s) for s in sets],
                 sid=[set_id(s) if len(s) else None for s in sets],
             )
-        used = [k for k in range(SKETCH // SLICE) if counts[k * SLICE : (k + 1) * SLICE].any()]
+        used = [k for k in range(2 * SKETCH // SLICE) if counts[k * SLICE : (k + 1) * SLICE].any()]
         yield batch_of(len(used), slice=used, counts=[counts[k * SLICE : (k + 1) * SLICE].tobytes() for k in used])
 
     both = keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema), "sets")
@@ -147,17 +179,16 @@ def describe(docs: DataFrame, size: int) -> tuple[DataFrame, np.ndarray, float]:
 
     summed = (
         both.filter("slice IS NOT NULL").select("slice", "counts")
-        .repartition(SKETCH // SLICE, "slice").mapInArrow(add, "slice int, counts binary")
+        .repartition(2 * SKETCH // SLICE, "slice").mapInArrow(add, "slice int, counts binary")
     )
-    sketch = np.zeros(SKETCH, dtype=np.int64)
+    sketch = np.zeros(2 * SKETCH, dtype=np.int64)
     for r in summed.collect():
         sketch[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], dtype=np.int64)
-    sketch = np.minimum(sketch, 2**31 - 1).astype(np.int32)
     rows = both.filter("slice IS NULL").select("doc_id", "n_shingles", "sid")
-    return rows, sketch, float(sketch.mean())
+    return rows, Order(sketch[:SKETCH], sketch[SKETCH:])
 
 
-def prefix_rows(docs: DataFrame, size: int, limit: Threshold, sketch: np.ndarray, noise: float) -> DataFrame:
+def prefix_rows(docs: DataFrame, size: int, limit: Threshold, order: Order) -> DataFrame:
     """token, sid, nl (``n * 8 + l``) for every prefix shingle that different sets share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,14 +196,13 @@ def prefix_rows(docs: DataFrame, size: int, limit: Threshold, sketch: np.ndarray
         for batch in batches:
             tokens, sids, sizes = [], [], []
             for text in batch.column("text").to_pylist():
-                s = shingles(text, size)
+                s, first, shared = order.prefix(text, size, limit)
                 if not len(s):
                     continue
                 sid = set_id(s)
                 if sid in done:
                     continue
                 done.add(sid)
-                first, shared = prefix(s, sketch, noise, limit)
                 tokens.append(first)
                 sids.append(np.full(len(first), sid, dtype=np.int64))
                 sizes.append(np.full(len(first), len(s) * 8 + shared, dtype=np.int64))
@@ -187,8 +217,8 @@ def prefix_rows(docs: DataFrame, size: int, limit: Threshold, sketch: np.ndarray
     return keep(every.join(shared, "token").distinct(), "shared-prefixes")
 
 
-def fetch_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """sid, hashes (8 bytes each, sorted) of the sets in ``wanted`` (distinct sid).
+def fetch_sets(docs: DataFrame, wanted: DataFrame, size: int, limit: Threshold, order: Order) -> DataFrame:
+    """sid, hashes (8 bytes each, sorted), prefix (likewise) and shared of the sets in ``wanted`` (distinct sid).
 
     A bitmap of fixed size picks them from the texts in tasks; what it lets through besides is dropped by a join.
     """
@@ -208,61 +238,51 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
         for batch in batches:
-            sids, sets = [], []
+            out = []
             for text in batch.column("text").to_pylist():
                 s = shingles(text, size)
                 if not len(s):
                     continue
                 sid = set_id(s)
-                at = sid & FILTER_BITS - 1
+                at = sid & (FILTER_BITS - 1)
                 if sid not in done and filled[at >> 3] >> (at & 7) & 1:
                     done.add(sid)
-                    sids.append(sid)
-                    sets.append(s.tobytes())
-            if sids:
-                yield pa.RecordBatch.from_pydict({"sid": pa.array(sids, pa.int64()), "hashes": pa.array(sets, pa.binary())})
+                    _, first, shared = order.prefix(text, size, limit)
+                    out.append((sid, s.tobytes(), first.tobytes(), shared))
+            if out:
+                columns = zip(*out)
+                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(columns, kinds)], names=["sid", "hashes", "prefix", "shared"]
+                )
 
-    picked = docs.select("text").mapInArrow(run, "sid long, hashes binary")
+    picked = docs.select("text").mapInArrow(run, "sid long, hashes binary, prefix binary, shared int")
     return keep(picked.join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "picked-sets")
 
 
-class Verifier:
-    """Exact similarity of fetched sets, after the multi-match test of their prefixes."""
-
-    def __init__(self, limit: Threshold, sketch: np.ndarray, noise: float):
-        self.limit, self.sketch, self.noise = limit, sketch, noise
-
-    def prefixed(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, int]:
-        s = np.frombuffer(raw, dtype=np.uint64)
-        first, shared = prefix(s, self.sketch, self.noise, self.limit)
-        return s, first, shared
-
-    def pairs(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The linked ones of ``pairs`` (a, b)."""
-        left = sets.select(F.col("sid").alias("a"), F.col("hashes").alias("x"))
-        right = sets.select(F.col("sid").alias("b"), F.col("hashes").alias("y"))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known: dict[int, tuple] = {}
-            for batch in batches:
-                good = []
-                columns = (batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))
-                for a, b, x, y in zip(*columns):
-                    if len(known) > 2000:
-                        known.clear()
-                    (s, p, i), (t, q, j) = (
-                        known[k] if k in known else known.setdefault(k, self.prefixed(raw)) for k, raw in ((a, x), (b, y))
-                    )
-                    if len(np.intersect1d(p, q, assume_unique=True)) < min(i, j):
-                        continue
-                    shared = len(np.intersect1d(s, t, assume_unique=True))
-                    if self.limit.linked(shared, len(s), len(t)):
-                        good.append((a, b))
-                yield pa.RecordBatch.from_pydict({
-                    "a": pa.array([g[0] for g in good], pa.int64()), "b": pa.array([g[1] for g in good], pa.int64()),
-                })
-
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+def verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
+    """The linked ones of ``pairs`` (a, b): first the multi-match test of the prefixes, then the sets."""
+    columns = ("hashes", "prefix", "shared")
+    left = sets.select(F.col("sid").alias("a"), F.struct(*columns).alias("x"))
+    right = sets.select(F.col("sid").alias("b"), F.struct(*columns).alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        array = lambda raw: np.frombuffer(raw, dtype=np.uint64)
+        for batch in batches:
+            good = []
+            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))):
+                p, q = array(x["prefix"]), array(y["prefix"])
+                if len(np.intersect1d(p, q, assume_unique=True)) < min(x["shared"], y["shared"]):
+                    continue
+                s, t = array(x["hashes"]), array(y["hashes"])
+                shared = len(np.intersect1d(s, t, assume_unique=True))
+                if limit.linked(shared, len(s), len(t)):
+                    good.append((a, b))
+            yield pa.RecordBatch.from_pydict({
+                "a": pa.array([g[0] for g in good], pa.int64()), "b": pa.array([g[1] for g in good], pa.int64()),
+            })
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _in_range(limit: Threshold, n, m):
@@ -325,21 +345,21 @@ def _block_links(rows: DataFrame, sets: DataFrame, limit: Threshold) -> DataFram
                     out.append((int(sid[x]), int(sid[y])))
         return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
 
-    return placed.join(sets, "sid").groupBy("token", "i", "j").applyInArrow(run, "a long, b long")
+    return placed.join(sets.select("sid", "hashes"), "sid").groupBy("token", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     limit = Threshold(num, den)
-    rows, sketch, noise = describe(docs, size)
-    lists = prefix_rows(docs, size, limit, sketch, noise).select(
+    rows, order = describe(docs, size)
+    lists = prefix_rows(docs, size, limit, order).select(
         "token", "sid", F.shiftright("nl", 3).alias("n")
     )
     wanted = keep(lists.select("sid").distinct(), "wanted-sets")
     links = None
     if not wanted.isEmpty():
-        links = _links(lists, fetch_sets(docs, wanted, size), limit, Verifier(limit, sketch, noise))
+        links = _links(lists, fetch_sets(docs, wanted, size, limit, order), limit)
     by_set = rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("first"))
     if links is not None and not links.isEmpty():
         member = components(links).withColumnRenamed("node", "sid")
@@ -354,12 +374,12 @@ def groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10) -> DataF
     )
 
 
-def _links(lists: DataFrame, sets: DataFrame, limit: Threshold, verifier: Verifier) -> DataFrame:
+def _links(lists: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
     """Links whose components are those of all links."""
     spark = lists.sparkSession
     links = spark.createDataFrame([], "a long, b long")
     tried = links
-    n_rows = lists.count()
+    n_rows = open_rows = lists.count()
     now = lists.withColumn("comp", F.col("sid"))
     for turn in range(ROUNDS + 1):
         if turn:
@@ -371,7 +391,8 @@ def _links(lists: DataFrame, sets: DataFrame, limit: Threshold, verifier: Verifi
         ).filter("pairs > 0")
         now = keep(now.join(left, "token"), "open-lists")
         promised = now.groupBy("token").agg(F.first("pairs").alias("p")).agg(F.sum("p")).first()[0] or 0
-        if promised <= 2 * n_rows or turn == ROUNDS:
+        before, open_rows = open_rows, now.count()
+        if promised <= 2 * n_rows or turn == ROUNDS or turn and open_rows > (1 - LEAST_GAIN) * before:
             break
         centre = now.groupBy("token").agg(
             F.min_by(F.struct(F.col("sid").alias("s"), F.col("comp").alias("k"), F.col("n").alias("m")), F.xxhash64("sid", F.lit(turn))).alias("hub")
@@ -380,7 +401,7 @@ def _links(lists: DataFrame, sets: DataFrame, limit: Threshold, verifier: Verifi
             (F.col("comp") != F.col("hub.k")) & _in_range(limit, F.col("n"), F.col("hub.m"))
         ).select(F.least("sid", "hub.s").alias("a"), F.greatest("sid", "hub.s").alias("b")).distinct()
         fresh = keep(spokes.join(tried, ["a", "b"], "left_anti"), "spokes")
-        found = keep(verifier.pairs(fresh, sets), "links")
+        found = keep(verified(fresh, sets, limit), "links")
         tried = tried.unionByName(fresh)
         if found.isEmpty():
             continue
@@ -391,7 +412,7 @@ def _links(lists: DataFrame, sets: DataFrame, limit: Threshold, verifier: Verifi
     pairs = a.join(b, "token").filter(
         (F.col("a") < F.col("b")) & (F.col("ka") != F.col("kb")) & _in_range(limit, F.col("na"), F.col("nb"))
     ).select("a", "b").distinct()
-    rest = verifier.pairs(pairs.join(tried, ["a", "b"], "left_anti"), sets)
+    rest = verified(pairs.join(tried, ["a", "b"], "left_anti"), sets, limit)
     return keep(links.unionByName(rest).unionByName(_block_links(long_.select("token", "sid", "comp", "n"), sets, limit)), "links")
 
 
