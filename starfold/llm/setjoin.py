@@ -2,7 +2,8 @@
 
 A document is its set of hashed shingles. Equal sets are one node. All shingles have one
 global order, rare ones first: by how far their frequency stands out in a sketch over all
-documents, then by the frequencies of their words. Two sets that
+documents, then by the frequency of their rarest word (they are no more frequent than it),
+then by those of all their words. Two sets that
 are similar enough share at least ``l`` shingles among the first ``n - need + l`` of
 each; every document picks its own ``l`` (and so its prefix) by the cost that the sketch
 estimates for it: rows to look at and candidates to verify. A pair is verified if its
@@ -38,10 +39,10 @@ from pyspark.sql import functions as F
 from starfold.llm.common import keep, small_batches
 from starfold.llm.graph import components
 
-#: Counters of each frequency sketch (shingles, words), and counters of one of the pieces they are summed in.
-SKETCH, SLICE = 1 << 19, 1 << 13
+#: Counters of the frequency sketches, and counters of one of the pieces they are summed in.
+SKETCH, WORDS, SLICE = 1 << 21, 1 << 20, 1 << 15
 #: A shingle's frequency stands out if its counter is this many deviations above the mean counter.
-DEVIATIONS = 6.0
+DEVIATIONS = 3.0
 #: Longest ``l``; cost of verifying a candidate in rows of a prefix list.
 MOST_SHARED, VERIFY_COST = 4, 8.0
 #: Lists up to this length are compared as pairs of rows; longer ones in blocks of this many bytes.
@@ -83,8 +84,8 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(hashed(text, size)[1])
 
 
-def _cell(h: np.ndarray) -> np.ndarray:
-    return (h & np.uint64(SKETCH - 1)).astype(np.int64)
+def _cell(h: np.ndarray, cells: int) -> np.ndarray:
+    return (h & np.uint64(cells - 1)).astype(np.int64)
 
 
 def set_id(hashes: np.ndarray) -> int:
@@ -122,9 +123,10 @@ class Order:
         if not len(s):
             return s, s, 0
         k, n = len(h) - len(by_place) + 1, len(s)
-        words = self.common[_cell(h)].astype(np.int32)
-        rare = sum(words[j : j + len(by_place)] for j in range(k))[first]
-        excess = self.excess[_cell(s)]
+        words = self.common[_cell(h, WORDS)].astype(np.int64)
+        own = [words[j : j + len(by_place)][first] for j in range(k)]
+        rare = (np.minimum.reduce(own) << 32) + sum(own)
+        excess = self.excess[_cell(s, SKETCH)]
         order = np.lexsort((rare, excess))  # stable: ties stay in the order of their hashes
         need = limit.least_shared(n)
         base = n - need + 1
@@ -152,18 +154,19 @@ def describe(docs: DataFrame, size: int) -> tuple[DataFrame, Order]:
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(2 * SKETCH, dtype=np.int64)
+        counts = np.zeros(SKETCH + WORDS, dtype=np.int32)
         for batch in batches:
             both_ = [hashed(t, size) for t in batch.column("text").to_pylist()]
             sets = [np.unique(by_place) for _, by_place in both_]
             if sets:
-                counts[:SKETCH] += np.bincount(_cell(np.concatenate(sets)), minlength=SKETCH)
-                counts[SKETCH:] += np.bincount(_cell(np.concatenate([h for h, _ in both_])), minlength=SKETCH)
+                for part, found in ((counts[:SKETCH], sets), (counts[SKETCH:], [h for h, _ in both_])):
+                    cells, times = np.unique(_cell(np.concatenate(found), len(part)), return_counts=True)
+                    part[cells] += times.astype(np.int32)
             yield batch_of(
                 len(sets), doc_id=batch.column("doc_id"), n_shingles=[len(s) for s in sets],
                 sid=[set_id(s) if len(s) else None for s in sets],
             )
-        used = [k for k in range(2 * SKETCH // SLICE) if counts[k * SLICE : (k + 1) * SLICE].any()]
+        used = [k for k in range((SKETCH + WORDS) // SLICE) if counts[k * SLICE : (k + 1) * SLICE].any()]
         yield batch_of(len(used), slice=used, counts=[counts[k * SLICE : (k + 1) * SLICE].tobytes() for k in used])
 
     both = keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema), "sets")
@@ -172,16 +175,16 @@ def describe(docs: DataFrame, size: int) -> tuple[DataFrame, Order]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, c in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
-                sums[k] = sums.get(k, 0) + np.frombuffer(c, dtype=np.int64)
+                sums[k] = sums.get(k, 0) + np.frombuffer(c, dtype=np.int32).astype(np.int64)
         yield pa.RecordBatch.from_pydict({
             "slice": pa.array(list(sums), pa.int32()), "counts": pa.array([c.tobytes() for c in sums.values()], pa.binary()),
         })
 
     summed = (
         both.filter("slice IS NOT NULL").select("slice", "counts")
-        .repartition(2 * SKETCH // SLICE, "slice").mapInArrow(add, "slice int, counts binary")
+        .repartition((SKETCH + WORDS) // SLICE, "slice").mapInArrow(add, "slice int, counts binary")
     )
-    sketch = np.zeros(2 * SKETCH, dtype=np.int64)
+    sketch = np.zeros(SKETCH + WORDS, dtype=np.int64)
     for r in summed.collect():
         sketch[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], dtype=np.int64)
     rows = both.filter("slice IS NULL").select("doc_id", "n_shingles", "sid")

@@ -98,16 +98,17 @@ class Model:
         return 1.0 / (1.0 + math.exp(-x)) if x > -700 else 0.0
 
 
-def training_ids(labels: DataFrame, each: int = SAMPLE, held_out: int = 5) -> DataFrame:
-    """doc_id, toxic of at most ``each`` labelled documents a class, lowest seeded hashes first.
-
-    Documents whose id hashes to 0 modulo ``held_out`` are never taken.
-    """
-    known = (
+def training_labels(labels: DataFrame, held_out: int = 5) -> DataFrame:
+    """doc_id, toxic of the labelled documents; without those whose id hashes to 0 modulo ``held_out``."""
+    return (
         labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (id_hash("doc_id", held_out) != 0))
         .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
         .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     )
+
+
+def training_ids(known: DataFrame, each: int = SAMPLE) -> DataFrame:
+    """At most ``each`` of the labelled documents a class, lowest seeded hashes first."""
     order = F.xxhash64("doc_id", F.lit(29))
     some = [known.filter(F.col("toxic") == k).orderBy(order, "doc_id").limit(each) for k in (0, 1)]
     return some[0].unionByName(some[1])
@@ -127,7 +128,9 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> Model:
     """The model of the labelled training documents; the driver holds at most ``VOCABULARY`` words and 2 ``each`` numbers."""
     small_batches(docs.sparkSession)
-    ids = keep(training_ids(labels, each), "toxic-ids")
+    known = keep(training_labels(labels), "toxic-labels")
+    share = known.agg(F.avg("toxic")).first()[0] or 0.0
+    ids = keep(training_ids(known, each), "toxic-ids")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull())
     rows = texts.join(ids, "doc_id").mapInArrow(_sketch, "doc_id long, text string, toxic int, m array<long>")
     for k in range(SKETCHES):
@@ -193,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> Model:
 
     points = rows.mapInArrow(weigh, "toxic int, x double").collect()
     x = np.array([math.log1p(r["x"]) for r in points])
-    slope, offset = _curve(x, np.array([r["toxic"] for r in points], dtype=float))
+    slope, offset = _curve(x, np.array([r["toxic"] for r in points], dtype=float), share)
     return Model(weights, rate, law.space, slope, offset)
 
 
@@ -214,9 +217,9 @@ def _rate(weighted: list[tuple[float, float]], other: float) -> float:
     return min(high, 4.0)
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Logistic slope and offset, classes weighed as they occur in balance, lightly penalised, by Newton steps."""
-    weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
+def _curve(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
+    """Logistic slope and offset, toxic rows weighed to their ``share`` of all labels, lightly penalised, by Newton steps."""
+    weight = np.where(y > 0, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
     data, beta = np.stack([x, np.ones_like(x)], axis=1), np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(data @ beta, -30, 30)))

@@ -95,7 +95,7 @@ def test_odd_rows(spark):
 
 def test_prefixes_of_similar_sets_meet():
     dice = random.Random(4)
-    counts = [np.array([dice.choice([1, 2, 50, 9000]) for _ in range(setjoin.SKETCH)]) for _ in range(2)]
+    counts = [np.array([dice.choice([1, 2, 50, 9000]) for _ in range(n)]) for n in (setjoin.SKETCH, setjoin.WORDS)]
     order, limit, met = setjoin.Order(*counts), setjoin.Threshold(8, 10), 0
     for _ in range(300):
         base = [f"w{dice.randrange(40)}" for _ in range(dice.randrange(1, 60))]
