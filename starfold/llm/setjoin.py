@@ -1,13 +1,16 @@
 """N-gram Jaccard self-join with adaptive multi-match prefixes, and its connected groups.
 
 A document is its set of hashed shingles. Equal sets are one node. All shingles have one
-global order, rare ones first: by how far their frequency stands out in a sketch over all
-documents, then by the frequency of their rarest word (they are no more frequent than it),
-then by those of all their words. Two sets that
+global order: first those that a bitmap over all documents shows to be of one set only, then
+the others by how far their frequency stands out in a sketch; so a prefix avoids passages that
+many documents share, and its shingles of one set need no row at all. Two sets that
 are similar enough share at least ``l`` shingles among the first ``n - need + l`` of
 each; every document picks its own ``l`` (and so its prefix) by the cost that the sketch
 estimates for it: rows to look at and candidates to verify. A pair is verified if its
-prefixes share at least the smaller of the two ``l``.
+prefixes share at least the smaller of the two ``l`` (more if the sizes say so).
+
+The bitmap has about as many cells as the texts have shingles, at most ``MOST_CELLS``; where it
+fills up, more shingles count as shared, which costs rows but changes no result.
 
 Groups, not pairs, are the result, so that large groups of near copies cost no square of
 rows: while shared prefix shingles promise many pairs, each shingle's documents are
@@ -28,6 +31,7 @@ nodes by their texts; the group of a row without id is named by the smallest id
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,10 +43,12 @@ from pyspark.sql import functions as F
 from starfold.llm.common import keep, small_batches
 from starfold.llm.graph import components
 
-#: Counters of the frequency sketches, and counters of one of the pieces they are summed in.
-SKETCH, WORDS, SLICE = 1 << 21, 1 << 20, 1 << 15
-#: A shingle's frequency stands out if its counter is this many deviations above the mean counter.
-DEVIATIONS = 3.0
+#: Counters of the frequency sketch; deviations above the mean counter from which a frequency stands out.
+SKETCH, DEVIATIONS = 1 << 19, 6.0
+#: Bounds of the bitmap's cells, bytes of text for each cell, and cells of one of the pieces it is made in.
+LEAST_CELLS, MOST_CELLS, BYTES_A_CELL, PIECE = 1 << 20, 1 << 30, 8, 1 << 20
+#: Shingles a task holds before it hands on their cells.
+HELD = 4_000_000
 #: Longest ``l``; cost of verifying a candidate in rows of a prefix list.
 MOST_SHARED, VERIFY_COST = 4, 8.0
 #: Lists up to this length are compared as pairs of rows; longer ones in blocks of this many bytes.
@@ -103,92 +109,136 @@ class Threshold:
         """Shared shingles that a set of ``n`` needs with any similar one."""
         return -(-self.num * n // self.den)
 
+    def least_of_pair(self, n: int, m: int) -> int:
+        """Shared shingles that sets of ``n`` and ``m`` need to be similar."""
+        return -(-self.num * (n + m) // (self.num + self.den))
+
     def linked(self, shared, n, m):
         return self.den * shared >= self.num * (n + m - shared)
 
 
 class Order:
-    """The global order of shingles, from the sketches over all documents."""
+    """The global order of shingles, from the sketch and the bitmap over all documents."""
 
-    def __init__(self, shingle_counts: np.ndarray, word_counts: np.ndarray):
-        mean = float(shingle_counts.mean())
-        stands_out = shingle_counts - int(mean + DEVIATIONS * math.sqrt(mean) + 1)
+    def __init__(self, counts: np.ndarray, shared: np.ndarray):
+        mean = float(counts.mean())
+        stands_out = counts - int(mean + DEVIATIONS * math.sqrt(mean) + 1)
         self.excess = np.clip(stands_out, 0, 2**31 - 1).astype(np.int32)
-        self.common = np.rint(np.log2(word_counts + 1.0) * 64).astype(np.int16)
-
-    def prefix(self, text: str | None, size: int, limit: Threshold) -> tuple[np.ndarray, np.ndarray, int]:
-        """The set of a text, its prefix in this order, and the number of shared shingles it calls for."""
-        h, by_place = hashed(text, size)
-        s, first = np.unique(by_place, return_index=True)
-        if not len(s):
-            return s, s, 0
-        k, n = len(h) - len(by_place) + 1, len(s)
-        words = self.common[_cell(h, WORDS)].astype(np.int64)
-        own = [words[j : j + len(by_place)][first] for j in range(k)]
-        rare = (np.minimum.reduce(own) << 32) + sum(own)
-        excess = self.excess[_cell(s, SKETCH)]
-        order = np.lexsort((rare, excess))  # stable: ties stay in the order of their hashes
+        self.bits = shared
+
+    def is_shared(self, h: np.ndarray) -> np.ndarray:
+        """Whether a shingle may be one of two different sets."""
+        at = _cell(h, len(self.bits) * 8)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+    def prefix(self, s: np.ndarray, limit: Threshold) -> tuple[np.ndarray, int]:
+        """The shared shingles in the prefix of a set, and the number of them it calls for."""
+        n = len(s)
+        shared, excess = self.is_shared(s), self.excess[_cell(s, SKETCH)]
+        order = np.lexsort((excess, shared))  # stable: ties stay in the order of their hashes
         need = limit.least_shared(n)
         base = n - need + 1
-        lists = np.cumsum(1.0 + excess[order[: base + MOST_SHARED - 1]])
+        lists = np.cumsum(np.where(shared, 1.0 + excess, 0.0)[order[: base + MOST_SHARED - 1]])
         best, cost = 1, math.inf
-        for shared in range(1, min(MOST_SHARED, need) + 1):
-            rows = lists[base + shared - 2]
-            now = rows + VERIFY_COST * rows / shared**2
+        for times in range(1, min(MOST_SHARED, need) + 1):
+            rows = lists[base + times - 2]
+            now = rows + VERIFY_COST * rows / times**2
             if now < cost - 1e-9:
-                best, cost = shared, now
-        return s, s[order[: base + best - 1]], best
+                best, cost = times, now
+        first = order[: base + best - 1]
+        return s[first[shared[first]]], best
+
+
+def _packed(cells: np.ndarray) -> bytes:
+    bits = np.zeros(PIECE, dtype=np.uint8)
+    bits[cells] = 1
+    return zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), dtype=np.uint8)
 
 
 def describe(docs: DataFrame, size: int) -> tuple[DataFrame, Order]:
     """(doc_id, n_shingles, sid) of every row, and the order of shingles."""
     spark = docs.sparkSession
     small_batches(spark)
-    schema = "doc_id long, n_shingles long, sid long, slice int, counts binary"
-    names = [f.split()[0] for f in schema.split(", ")]
-    empty = {"doc_id": pa.int64(), "n_shingles": pa.int64(), "sid": pa.int64(), "slice": pa.int32(), "counts": pa.binary()}
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    cells = LEAST_CELLS
+    while cells < min(MOST_CELLS, total // BYTES_A_CELL):
+        cells *= 2
+    kinds = {"doc_id": pa.int64(), "n_shingles": pa.int64(), "sid": pa.int64(), "piece": pa.int32(), "once": pa.binary(), "twice": pa.binary()}
+    schema = "doc_id long, n_shingles long, sid long, piece int, once binary, twice binary"
 
     def batch_of(n: int, **given) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(
-            [pa.array(given[c], empty[c]) if c in given else pa.nulls(n, empty[c]) for c in names], names=names
+            [pa.array(given[c], k) if c in given else pa.nulls(n, k) for c, k in kinds.items()], names=list(kinds)
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH + WORDS, dtype=np.int32)
+        counts, done, held = np.zeros(SKETCH, dtype=np.int32), set(), []
+
+        def hand_on() -> Iterator[pa.RecordBatch]:
+            at, times = np.unique(np.concatenate([_cell(h, cells) for h in held]), return_counts=True)
+            held.clear()
+            edges = np.searchsorted(at, np.arange(0, cells + 1, PIECE))
+            for k in range(len(edges) - 1):
+                part = slice(edges[k], edges[k + 1])
+                if edges[k] < edges[k + 1]:
+                    own = at[part] - k * PIECE
+                    yield batch_of(1, piece=[k], once=[_packed(own)], twice=[_packed(own[times[part] > 1])])
+
         for batch in batches:
-            both_ = [hashed(t, size) for t in batch.column("text").to_pylist()]
-            sets = [np.unique(by_place) for _, by_place in both_]
-            if sets:
-                for part, found in ((counts[:SKETCH], sets), (counts[SKETCH:], [h for h, _ in both_])):
-                    cells, times = np.unique(_cell(np.concatenate(found), len(part)), return_counts=True)
-                    part[cells] += times.astype(np.int32)
-            yield batch_of(
-                len(sets), doc_id=batch.column("doc_id"), n_shingles=[len(s) for s in sets],
-                sid=[set_id(s) if len(s) else None for s in sets],
-            )
-        used = [k for k in range((SKETCH + WORDS) // SLICE) if counts[k * SLICE : (k + 1) * SLICE].any()]
-        yield batch_of(len(used), slice=used, counts=[counts[k * SLICE : (k + 1) * SLICE].tobytes() for k in used])
+            sets = [shingles(t, size) for t in batch.column("text").to_pylist()]
+            names = [set_id(s) if len(s) else None for s in sets]
+            fresh = []
+            for name, s in zip(names, sets):
+                if name is not None and name not in done:
+                    done.add(name)
+                    fresh.append(s)
+            held += fresh
+            yield batch_of(len(sets), doc_id=batch.column("doc_id"), n_shingles=[len(s) for s in sets], sid=names)
+            if fresh:
+                at, times = np.unique(_cell(np.concatenate(fresh), SKETCH), return_counts=True)
+                counts[at] += times.astype(np.int32)
+            if sum(map(len, held)) >= HELD:
+                yield from hand_on()
+        if held:
+            yield from hand_on()
+        yield batch_of(1, piece=[-1], once=[zlib.compress(counts.tobytes(), 1)])
 
     both = keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema), "sets")
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            for k, c in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist()):
-                sums[k] = sums.get(k, 0) + np.frombuffer(c, dtype=np.int32).astype(np.int64)
+            for k, once, twice in zip(*(batch.column(c).to_pylist() for c in ("piece", "once", "twice"))):
+                one, two = _unpacked(once), _unpacked(twice)
+                old = seen.setdefault(k, [np.zeros_like(one), np.zeros_like(one)])
+                old[1] |= two | (old[0] & one)
+                old[0] |= one
         yield pa.RecordBatch.from_pydict({
-            "slice": pa.array(list(sums), pa.int32()), "counts": pa.array([c.tobytes() for c in sums.values()], pa.binary()),
+            "piece": pa.array(list(seen), pa.int32()),
+            "twice": pa.array([zlib.compress(v[1].tobytes(), 1) for v in seen.values()], pa.binary()),
         })
 
-    summed = (
-        both.filter("slice IS NOT NULL").select("slice", "counts")
-        .repartition((SKETCH + WORDS) // SLICE, "slice").mapInArrow(add, "slice int, counts binary")
-    )
-    sketch = np.zeros(SKETCH + WORDS, dtype=np.int64)
-    for r in summed.collect():
-        sketch[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], dtype=np.int64)
-    rows = both.filter("slice IS NULL").select("doc_id", "n_shingles", "sid")
-    return rows, Order(sketch[:SKETCH], sketch[SKETCH:])
+    pieces = both.filter("piece >= 0").select("piece", "once", "twice")
+    merged = pieces.repartition(min(cells // PIECE, 512), "piece").mapInArrow(merge, "piece int, twice binary")
+    shared = np.zeros(cells // 8, dtype=np.uint8)
+    for r in merged.collect():  # as many bytes as the bitmap has, at most
+        shared[r["piece"] * PIECE // 8 : (r["piece"] + 1) * PIECE // 8] = _unpacked(r["twice"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SKETCH, dtype=np.int64)
+        for batch in batches:
+            for raw in batch.column("once").to_pylist():
+                counts += np.frombuffer(zlib.decompress(raw), dtype=np.int32)
+        yield pa.RecordBatch.from_pydict({"once": pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())})
+
+    counts = np.zeros(SKETCH, dtype=np.int64)
+    for r in both.filter("piece = -1").select("once").repartition(16).mapInArrow(add, "once binary").collect():
+        counts += np.frombuffer(zlib.decompress(r["once"]), dtype=np.int64)
+    return both.filter("piece IS NULL").select("doc_id", "n_shingles", "sid"), Order(counts, shared)
 
 
 def prefix_rows(docs: DataFrame, size: int, limit: Threshold, order: Order) -> DataFrame:
@@ -199,13 +249,14 @@ def prefix_rows(docs: DataFrame, size: int, limit: Threshold, order: Order) -> D
         for batch in batches:
             tokens, sids, sizes = [], [], []
             for text in batch.column("text").to_pylist():
-                s, first, shared = order.prefix(text, size, limit)
+                s = shingles(text, size)
                 if not len(s):
                     continue
                 sid = set_id(s)
                 if sid in done:
                     continue
                 done.add(sid)
+                first, shared = order.prefix(s, limit)
                 tokens.append(first)
                 sids.append(np.full(len(first), sid, dtype=np.int64))
                 sizes.append(np.full(len(first), len(s) * 8 + shared, dtype=np.int64))
@@ -250,7 +301,7 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, size: int, limit: Threshold,
                 at = sid & (FILTER_BITS - 1)
                 if sid not in done and filled[at >> 3] >> (at & 7) & 1:
                     done.add(sid)
-                    _, first, shared = order.prefix(text, size, limit)
+                    first, shared = order.prefix(s, limit)
                     out.append((sid, s.tobytes(), first.tobytes(), shared))
             if out:
                 columns = zip(*out)
@@ -274,10 +325,12 @@ def verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
         for batch in batches:
             good = []
             for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))):
-                p, q = array(x["prefix"]), array(y["prefix"])
-                if len(np.intersect1d(p, q, assume_unique=True)) < min(x["shared"], y["shared"]):
-                    continue
                 s, t = array(x["hashes"]), array(y["hashes"])
+                # the prefix that ends first lacks at most what its set may lack of the pair's need
+                both = limit.least_of_pair(len(s), len(t))
+                calls = min(both - limit.least_shared(len(v)) + z["shared"] for v, z in ((s, x), (t, y)))
+                if len(np.intersect1d(array(x["prefix"]), array(y["prefix"]), assume_unique=True)) < calls:
+                    continue
                 shared = len(np.intersect1d(s, t, assume_unique=True))
                 if limit.linked(shared, len(s), len(t)):
                     good.append((a, b))

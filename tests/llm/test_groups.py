@@ -95,15 +95,25 @@ def test_odd_rows(spark):
 
 def test_prefixes_of_similar_sets_meet():
     dice = random.Random(4)
-    counts = [np.array([dice.choice([1, 2, 50, 9000]) for _ in range(n)]) for n in (setjoin.SKETCH, setjoin.WORDS)]
-    order, limit, met = setjoin.Order(*counts), setjoin.Threshold(8, 10), 0
-    for _ in range(300):
-        base = [f"w{dice.randrange(40)}" for _ in range(dice.randrange(1, 60))]
-        other = base[dice.randrange(0, 4) :] + [f"v{dice.randrange(9)}" for _ in range(dice.randrange(0, 3))]
-        (s, p, i), (t, q, j) = (order.prefix(" ".join(w), 2, limit) for w in (base, other))
-        if len(s) and len(t) and limit.linked(len(np.intersect1d(s, t)), len(s), len(t)):
+    limit, met = setjoin.Threshold(8, 10), 0
+    texts = [[f"w{dice.randrange(40)}" for _ in range(dice.randrange(1, 60))] for _ in range(300)]
+    texts += [t[dice.randrange(0, 4) :] + [f"v{dice.randrange(9)}" for _ in range(dice.randrange(0, 3))] for t in texts]
+    sets = [setjoin.shingles(" ".join(t), 2) for t in texts]
+    bits = np.zeros(1 << 13, dtype=np.uint8)  # so few cells that many shingles fall together
+    seen = {}
+    for s in sets:
+        for c in setjoin._cell(s, len(bits) * 8).tolist():
+            if seen.setdefault(c, setjoin.set_id(s)) != setjoin.set_id(s):
+                bits[c >> 3] |= 1 << (c & 7)
+    counts = np.array([dice.choice([1, 2, 50, 9000]) for _ in range(setjoin.SKETCH)])
+    order = setjoin.Order(counts, bits)
+    for s, t in zip(sets[:300], sets[300:]):
+        if len(s) and len(t) and len(s) != len(np.intersect1d(s, t)) and limit.linked(len(np.intersect1d(s, t)), len(s), len(t)):
             met += 1
-            assert len(np.intersect1d(p, q)) >= min(i, j)
+            (p, i), (q, j) = order.prefix(s, limit), order.prefix(t, limit)
+            both = limit.least_of_pair(len(s), len(t))
+            calls = min(both - limit.least_shared(len(v)) + k for v, k in ((s, i), (t, j)))
+            assert min(i, j) <= calls <= len(np.intersect1d(p, q))
     assert met > 50
 
 
