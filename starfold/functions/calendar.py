@@ -15,7 +15,7 @@ OLD_WEIGHT = 1.0
 _PLAIN = r"^\d{4}-\d{2}-\d{2}$"
 _TIMED = (
     r"^\d{4}-\d{2}-\d{2}[\sT]*"
-    r"(?:(\d{2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?\s*(?:[Zz]|([+-])(\d{2}):(\d{2}))?\s*)?$"
+    r"(?:([01]\d|2[0-4]):([0-5]\d)(?::([0-5]\d)(?:\.\d+)?)?\s*(?:[Zz]|([+-])(0\d|1[0-4]):([0-5]\d))?\s*)?$"
 )
 
 

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,7 +65,10 @@ def safe_cosine(dots: np.ndarray, scale: np.ndarray) -> np.ndarray:
 
 
 def cosine_to(query: Sequence[float]):
-    """Arrow function: cosine of each vector of a column with one fixed query vector."""
+    """Arrow function: cosine of each vector of a column with one fixed query vector.
+
+    Marked non-deterministic so that Spark evaluates it once per row, where it stands.
+    """
     q = np.asarray(query, dtype=np.float64)
     q_norm = float(np.sqrt(q @ q))
 
@@ -75,7 +79,7 @@ def cosine_to(query: Sequence[float]):
         out[fits] = safe_cosine(m @ q, np.sqrt(np.einsum("ij,ij->i", m, m)) * q_norm)
         return pa.array(out, mask=~fits)
 
-    return run
+    return run.asNondeterministic()
 
 
 @F.arrow_udf(T.DoubleType())
@@ -97,20 +101,41 @@ def cosine_batch(a: pa.Array, b: pa.Array) -> pa.Array:
 
 @F.arrow_udf(T.ArrayType(T.FloatType()))
 def decode_f32(blob: pa.Array) -> pa.Array:
-    """Little-endian float32 bytes to a list; trailing bytes short of four are an error."""
-    return pa.array(
-        [None if b is None else np.frombuffer(b, dtype="<f4") for b in blob.to_pylist()],
-        type=pa.list_(pa.float32()),
-    )
+    """Little-endian float32 bytes to a list; trailing bytes short of four are an error.
+
+    All vectors of a batch are one view of the batch's bytes.
+    """
+    sizes = pc.fill_null(pc.binary_length(blob), 0).to_numpy(zero_copy_only=False)
+    if (sizes % 4).any():
+        raise ValueError("a stored vector must hold four bytes per number")
+    ends = np.concatenate([[0], np.cumsum(sizes // 4)]).astype(np.int32)
+    data = b"".join(b for b in _pieces(blob))
+    missing = pa.array(np.append(blob.is_null().to_numpy(zero_copy_only=False), False))
+    offsets = pc.if_else(missing, pa.scalar(None, pa.int32()), pa.array(ends))
+    return pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(data, dtype="<f4")))
+
+
+def _pieces(blob: pa.Array):
+    """The bytes of the values of a binary array, in runs that lie together in its buffer."""
+    kept = blob.drop_null()
+    if not len(kept):
+        return
+    offset_type = np.int64 if pa.types.is_large_binary(kept.type) else np.int32
+    _, offsets, data = kept.buffers()
+    at = np.frombuffer(offsets, dtype=offset_type)[kept.offset : kept.offset + len(kept) + 1]
+    if data is not None:
+        yield memoryview(data)[int(at[0]) : int(at[-1])]
 
 
 @F.arrow_udf(T.BinaryType())
 def encode_f32(vec: pa.Array) -> pa.Array:
-    """A list of numbers to little-endian float32 bytes."""
-    return pa.array(
-        [None if v is None else np.asarray(v, dtype="<f4").tobytes() for v in vec.to_pylist()],
-        type=pa.binary(),
-    )
+    """A list of numbers to little-endian float32 bytes; a missing number becomes NaN."""
+    flat = np.ascontiguousarray(vec.flatten().to_numpy(zero_copy_only=False), dtype="<f4")
+    sizes = vec.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32) * 4
+    missing = vec.is_null().to_numpy(zero_copy_only=False)
+    mask = pa.py_buffer(np.packbits(~missing, bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(vec), [mask, pa.py_buffer(ends), pa.py_buffer(flat)])
 
 
 def parse_vector_text(col: Column) -> Column:

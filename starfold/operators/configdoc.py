@@ -6,7 +6,7 @@ its place in the document.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from starfold import schemas
@@ -22,20 +22,24 @@ INHERIT = "inherit"
 def parse_documents(texts: DataFrame) -> DataFrame:
     """Companies of JSON documents, one document per row of the only column.
 
-    ``topics`` is a list or the word ``inherit``. A document without a
-    ``companies`` list is an error.
+    ``topics`` is a list, the word ``inherit`` or absent; anything else is ``malformed``
+    and says nothing about the company's topics. A document without a ``companies`` list is an error.
     """
     companies = F.from_json(F.col(texts.columns[0]), _DOCUMENT)["companies"]
     checked = F.when(companies.isNotNull(), companies).otherwise(
         F.raise_error(F.lit('a configuration must have a "companies" list'))
     )
     c = F.col("c")
+    listed = F.coalesce(F.ltrim(c["topics"]).startswith("["), F.lit(False))
     topics_type = next(f.dataType for f in schemas.CONFIG_COMPANY if f.name == "topics")
     return texts.select(F.posexplode(checked).alias("pos", "c")).select(
         F.col("pos").cast("bigint").alias("pos"),
         *[c[k].alias(k) for k in ("org_id", "name", "role", "service_type", "competitors")],
-        F.when(c["topics"] != INHERIT, F.from_json(c["topics"], topics_type)).alias("topics"),
+        F.when(listed, F.from_json(c["topics"], topics_type)).alias("topics"),
         F.coalesce(c["topics"] == INHERIT, F.lit(False)).alias("inherit"),
+        (c["topics"].isNotNull() & (c["topics"] != INHERIT) & (~listed | F.from_json(c["topics"], topics_type).isNull())).alias(
+            "malformed"
+        ),
     )
 
 
@@ -57,16 +61,31 @@ def with_defaults(config: DataFrame) -> DataFrame:
         F.coalesce("competitors", nothing.cast(types["competitors"])).alias("competitors"),
         F.coalesce("topics", nothing.cast(types["topics"])).alias("topics"),
         F.coalesce("inherit", F.lit(False)).alias("inherit"),
+        _malformed(config).alias("malformed"),
     )
 
 
+def _malformed(config: DataFrame) -> Column:
+    given = F.col("malformed") if "malformed" in config.columns else F.lit(False)
+    return F.coalesce(given, F.lit(False))
+
+
 def _role_ok() -> Column:
     return F.coalesce(F.col("role").isin(*schemas.ROLES), F.lit(False))
 
 
 def rejected(config: DataFrame) -> DataFrame:
-    """Companies whose role is not one of the allowed ones."""
-    return config.filter(~_role_ok()).select("pos", "org_id", "name", "role")
+    """Companies whose role is not allowed, and companies whose topics cannot be read, with the reason.
+
+    The latter are listed all the same, but keep the topics they have.
+    """
+    reason = F.when(~_role_ok(), "role").when(_malformed(config), "topics").alias("reason")
+    return config.select("pos", "org_id", "name", "role", reason).filter("reason IS NOT NULL")
+
+
+def with_topics(config: DataFrame) -> DataFrame:
+    """The companies whose topics the document states."""
+    return config.filter(~_malformed(config))
 
 
 def accepted(config: DataFrame) -> DataFrame:
@@ -120,15 +139,19 @@ def topic_id(org_id: Column, parent: Column, name: Column, nth: Column) -> Colum
 
 def topic_rows(config: DataFrame) -> DataFrame:
     """Parents and subtopics with stable ids; ``position`` keeps the order of the document."""
-    width = 1 << 20
+    width = 1 << 31  # no list is as long
     org, no_parent = F.col("org_id"), F.lit(None).cast("string")
-    # Number of earlier entries of the same list that carry the same label.
-    nth_parent = F.expr("size(filter(slice(topics, 1, i), x -> x.name <=> t.name))")
-    nth_sub = F.expr("size(filter(slice(t.subtopics, 1, j), x -> x <=> sub))")
+
+    def nth(*label: str) -> Column:
+        """Number of earlier entries of the same list that carry the same label."""
+        return F.row_number().over(Window.partitionBy(*label[:-1]).orderBy(label[-1])) - 1
+
     parents = (
         config.groupBy("org_id").agg(F.max_by("topics", "pos").alias("topics"))
-        .select("org_id", "topics", F.posexplode("topics").alias("i", "t"))
-        .select("org_id", "i", "t", topic_id(org, no_parent, F.col("t.name"), nth_parent).alias("head"))
+        .select("org_id", F.posexplode("topics").alias("i", "t"))
+        .withColumn("name", F.col("t.name"))
+        .withColumn("nth", nth("org_id", "name", "i"))
+        .select("org_id", "i", "t", topic_id(org, no_parent, F.col("name"), F.col("nth")).alias("head"))
     )
     heads = parents.select(
         F.col("head").alias("id"),
@@ -138,9 +161,9 @@ def topic_rows(config: DataFrame) -> DataFrame:
         (F.col("i").cast("bigint") * width).alias("position"),
     )
     leaves = parents.select(
-        "org_id", "i", "t", "head", F.posexplode("t.subtopics").alias("j", "sub")
-    ).select(
-        topic_id(org, F.col("head").cast("string"), F.col("sub"), nth_sub).alias("id"),
+        "org_id", "i", "head", F.posexplode("t.subtopics").alias("j", "sub")
+    ).withColumn("nth", nth("org_id", "head", "sub", "j")).select(
+        topic_id(org, F.col("head").cast("string"), F.col("sub"), F.col("nth")).alias("id"),
         "org_id",
         F.col("head").alias("parent_id"),
         F.col("sub").alias("name"),

@@ -75,18 +75,23 @@ class BatchEmbedder:
 
 def unembedded(reviews: DataFrame, vectors: DataFrame, force: bool = False) -> DataFrame:
     """Reviews with text that have no vector yet; with ``force`` all reviews with text."""
-    todo = reviews.filter(tx.has_text(reviews)).select("id", "org_id", "text")
-    if force:
-        return todo
-    return todo.join(vectors.select(F.col("review_id").alias("id")), "id", "left_anti")
+    todo = reviews.filter(tx.has_text(reviews))
+    if not force:
+        # Ids first: the texts of reviews that have a vector are not moved.
+        ids = todo.select("id").join(vectors.select(F.col("review_id").alias("id")), "id", "left_anti")
+        todo = todo.join(ids, "id", "left_semi")
+    return todo.select("id", "org_id", "text")
 
 
 def embed_reviews(
     reviews: DataFrame, vectors: DataFrame, embedder: Embedder, force: bool = False
 ) -> DataFrame:
-    """Vectors of the backlog, as rows of the vector table."""
-    return embedder.embed(unembedded(reviews, vectors, force)).select(
+    """Vectors of the backlog, as rows of the vector table, each with the org of its review."""
+    todo = unembedded(reviews, vectors, force)
+    owner = todo.select("id", "org_id")
+    return embedder.embed(todo).join(owner, "id").select(
         F.col("id").alias("review_id"),
+        "org_id",
         F.lit(embedder.model).alias("model"),
         F.col("embedding").alias("text_embedding"),
         F.lit(None).cast("array<float>").alias("response_embedding"),

@@ -184,17 +184,27 @@ def _tracked_pairs(pairs: DataFrame, companies: DataFrame) -> DataFrame:
     return pairs
 
 
+def rejected_relations(pairs: DataFrame, companies: DataFrame) -> DataFrame:
+    """Pairs that name an org nobody tracks, once each."""
+    keys = list(RELATION_KEY)
+    wanted = pairs.select(*keys).distinct()
+    return wanted.join(_tracked_pairs(wanted, companies), keys, "left_anti")
+
+
 def add_relations(current: DataFrame, pairs: DataFrame, companies: DataFrame) -> DataFrame:
-    """Insert pairs of tracked companies that are not related yet; others are left out."""
+    """Insert pairs of tracked companies that are not related yet; see ``rejected_relations`` for the others."""
     fresh = (
         _tracked_pairs(pairs.dropDuplicates(list(RELATION_KEY)), companies)
         .join(current.select(*RELATION_KEY), list(RELATION_KEY), "left_anti")
+        .select(*RELATION_KEY)
     )
-    return current.unionByName(fresh.select(*RELATION_KEY), allowMissingColumns=True)
+    if "created_at" in current.columns:
+        fresh = fresh.withColumn("created_at", F.current_timestamp())
+    return current.unionByName(fresh, allowMissingColumns=True)
 
 
 def upsert_relations(current: DataFrame, incoming: DataFrame, companies: DataFrame) -> DataFrame:
-    """Priority and notes of an existing pair are overwritten, also by NULL."""
+    """Priority and notes of an existing pair are overwritten, also by NULL; its creation time stays."""
     incoming = _tracked_pairs(incoming, companies).select(
         *RELATION_KEY, "priority", "notes", F.lit(True).alias("hit")
     )
@@ -205,9 +215,13 @@ def upsert_relations(current: DataFrame, incoming: DataFrame, companies: DataFra
             out.append(F.col(c))
         elif c in ("priority", "notes"):
             out.append(F.when(F.col("inc.hit"), F.col(f"inc.{c}")).otherwise(F.col(f"cur.{c}")).alias(c))
+        elif c == "created_at":
+            fresh = F.when(F.col("cur.old").isNull(), F.current_timestamp())
+            out.append(F.coalesce(F.col("cur.created_at"), fresh).alias(c))
         else:
             out.append(F.col(f"cur.{c}").alias(c))
-    return current.alias("cur").join(incoming.alias("inc"), keys, "full").select(*out)
+    known = current.withColumn("old", F.lit(True))
+    return known.alias("cur").join(incoming.alias("inc"), keys, "full").select(*out)
 
 
 def remove_relations(current: DataFrame, pairs: DataFrame) -> DataFrame:

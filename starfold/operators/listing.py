@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from starfold.functions import text as tx
 
-# Default sizes of the reports.
+# Default sizes of the reports; the number a star bound starts with.
 DEFAULT_ROWS = 50
+LEADING_NUMBER = re.compile(r"\s*([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)")
 
 
 def newest_first() -> list[Column]:
@@ -16,15 +19,16 @@ def newest_first() -> list[Column]:
 
 
 def parse_star_range(text: str | None) -> tuple[float | None, float | None]:
-    """``"a-b"`` or ``"a"`` to bounds. What cannot be read becomes NaN, which no row passes."""
+    """``"a-b"`` or ``"a"`` to bounds: the number each part starts with.
+
+    What starts with no number becomes NaN, which no row passes.
+    """
     if not text:
         return None, None
 
     def number(part: str) -> float:
-        try:
-            return float(part)
-        except ValueError:
-            return float("nan")
+        found = LEADING_NUMBER.match(part)
+        return float(found[1]) if found else float("nan")
 
     parts = text.split("-")
     low = number(parts[0])
@@ -66,14 +70,16 @@ def first_per_org(df: DataFrame, limit: int | None, order: list[Column]) -> Data
 
     Spark cuts each input partition to ``limit`` rows per org before the
     shuffle (WindowGroupLimit), so a dominant org sends few rows to its task.
-    Above the rank Spark does this for, slices of an org are cut first.
+    Above the rank Spark does this for, narrow rows are ranked, slices of an org
+    first, and the other columns join the winners by id.
     """
     if limit is None:
         return df
-    if limit > PRUNED_RANK:
-        sliced = df.withColumn("_slice", F.pmod(F.xxhash64("id"), F.lit(SLICES)))
-        df = _cut(sliced, limit, ["org_id", "_slice"], order).drop("_slice")
-    return _cut(df, limit, ["org_id"], order)
+    if limit <= PRUNED_RANK:
+        return _cut(df, limit, ["org_id"], order)
+    narrow = df.select("id", "org_id", "date").withColumn("_slice", F.pmod(F.xxhash64("id"), F.lit(SLICES)))
+    first = _cut(_cut(narrow, limit, ["org_id", "_slice"], order), limit, ["org_id"], order)
+    return df.join(first.select("id"), "id", "left_semi").select(*df.columns)
 
 
 def newest(reviews: DataFrame, limit: int | None = None) -> DataFrame:
@@ -109,7 +115,7 @@ def unanswered(
     """Newest reviews without a response. An empty response counts as one."""
     open_ = reviews.filter(F.col("business_response").isNull())
     return list_reviews(open_, org_id, since, stars, limit, ordered).select(
-        "id", "org_id", tx.date_part(F.col("date")).alias("date"), "stars", "text", "author_name"
+        "id", "org_id", tx.date_part(F.col("date")).alias("date"), "stars", "text", "author_name", "review_url"
     )
 
 

@@ -42,17 +42,21 @@ def closest(
 ) -> DataFrame:
     """``(id, review_key, similarity)`` of the ``limit`` most similar reviews that have text.
 
-    Only narrow review columns meet the vectors; texts stay where they are.
+    The similarity is computed once per vector, where the vectors are read, and only ids,
+    keys and similarities are joined; vectors and texts stay where they are.
+    ``similarity`` must be marked non-deterministic, which keeps Spark from moving or repeating it.
     """
     candidates = (
         filter_reviews(reviews, org_id, None, stars)
         .filter(tx.has_text(reviews))
         .select(F.col("id").alias("review_id"), "review_key")
     )
+    if org_id is not None and "org_id" in vectors.columns:
+        vectors = vectors.filter(F.col("org_id") == org_id)
+    scored = vectors.select("review_id", similarity.alias("similarity")).filter(F.col("similarity").isNotNull())
     return (
-        vectors.join(candidates, "review_id")
-        .select(F.col("review_id").alias("id"), "review_key", similarity.alias("similarity"))
-        .filter(F.col("similarity").isNotNull())
+        scored.join(candidates, "review_id")
+        .select(F.col("review_id").alias("id"), "review_key", "similarity")
         .orderBy(F.col("similarity").desc(), F.col("id").asc())
         .limit(limit)
     )
@@ -100,12 +104,13 @@ def similar_to_row(
     stars: str | None = None,
     limit: int = DEFAULT_ROWS,
 ) -> DataFrame:
-    """Search by the vector in the only row and column of ``query``.
-
-    The vector is read as a scalar subquery: evaluated once, then a constant.
-    """
-    wanted = query.select(query.columns[0]).scalar()
-    sim = vec.cosine_batch(F.col("text_embedding"), wanted)
+    """Search by the vector in the only row and column of ``query``, which is read first; no rows without one."""
+    row = query.first()
+    if row is None or row[0] is None:
+        return with_details(
+            reviews.limit(0).select("id", "review_key", F.lit(0.0).alias("similarity")), reviews
+        )
+    sim = vec.cosine_to(row[0])(F.col("text_embedding"))
     return with_details(closest(reviews, vectors, sim, org_id, stars, limit), reviews)
 
 
@@ -132,7 +137,7 @@ def best_topics(matches: DataFrame, max_topics: int) -> DataFrame:
 
 def classify(
     vectors: DataFrame,
-    reviews: DataFrame,
+    reviews: DataFrame | None,
     topics: DataFrame,
     threshold: float = THRESHOLD,
     max_topics: int = TOPICS_PER_REVIEW,
@@ -140,28 +145,43 @@ def classify(
 ) -> DataFrame:
     """Assign every embedded review to the closest subtopics of its own org.
 
-    ``pairs`` joins reviews and topics on the org and compares pair by pair in
-    the JVM: the plainest plan, good for short vectors. ``blocks`` compares
-    blocks of reviews with blocks of topics by one matrix product each, and
-    moves each review vector once whatever the number of topics.
+    Vectors that carry their ``org_id`` need no ``reviews``; others get it from there.
+    ``blocks`` compares blocks of vectors with blocks of topics by one matrix product each,
+    and shuffles each vector once for each of its org's topic blocks (one up to 512 topics). ``pairs``
+    compares pair by pair in the JVM: the plain twin that tests check the blocks with.
     """
+    owned = owned_vectors(vectors, reviews)
     if method == "pairs":
-        left = vectors.select("review_id", F.col("text_embedding").alias("a")).join(
-            reviews.select(F.col("id").alias("review_id"), "org_id"), "review_id"
-        )
-        matches = similarity_pairs(left, classifiers(topics), ["org_id"]).filter(
+        matches = similarity_pairs(owned, classifiers(topics), ["org_id"]).filter(
             F.col("similarity") >= threshold
         )
     elif method == "blocks":
-        matches = _classify_blocks(vectors, reviews, classifiers(topics), threshold, max_topics)
+        matches = _classify_blocks(owned, classifiers(topics), threshold, max_topics)
     else:
         raise ValueError(f"unknown method: {method!r}")
     return best_topics(matches, max_topics)
 
 
-def _classify_blocks(
-    vectors: DataFrame, reviews: DataFrame, topics: DataFrame, threshold: float, max_topics: int
-) -> DataFrame:
+def owned_vectors(vectors: DataFrame, reviews: DataFrame | None) -> DataFrame:
+    """``(review_id, org_id, a)``: vectors with the org of their review."""
+    if "org_id" in vectors.columns:
+        return vectors.select("review_id", "org_id", F.col("text_embedding").alias("a"))
+    owner = reviews.select(F.col("id").alias("review_id"), "org_id")
+    return vectors.select("review_id", F.col("text_embedding").alias("a")).join(owner, "review_id")
+
+
+def vector_mismatches(vectors: DataFrame, reviews: DataFrame | None, topics: DataFrame) -> DataFrame:
+    """Per org: vectors whose length is that of no topic vector of the org, hence never matched."""
+    lengths = classifiers(topics).select("org_id", F.size("b").alias("length")).distinct()
+    per = lengths.groupBy("org_id").agg(F.collect_set("length").alias("lengths"))
+    own = owned_vectors(vectors, reviews).select("org_id", F.size("a").alias("length"))
+    unmatched = ~F.array_contains("lengths", F.col("length"))
+    return own.join(per, "org_id").groupBy("org_id").agg(
+        F.count(F.lit(1)).alias("vectors"), F.count(F.when(unmatched, 1)).alias("mismatched")
+    )
+
+
+def _classify_blocks(owned: DataFrame, topics: DataFrame, threshold: float, max_topics: int) -> DataFrame:
     """Matches by blocks. An org of any size is cut into blocks of bounded size on both sides.
 
     Each block pair keeps its best topics per review; the caller picks the best
@@ -172,7 +192,7 @@ def _classify_blocks(
             F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name)
         )
 
-    layout = blocks(reviews, REVIEWS_PER_BLOCK, "rn").join(
+    layout = blocks(owned, REVIEWS_PER_BLOCK, "rn").join(
         blocks(topics, TOPICS_PER_BLOCK, "tn"), "org_id"
     )
 
@@ -182,13 +202,10 @@ def _classify_blocks(
     def slot(key: str, n: str) -> Column:
         return F.pmod(F.xxhash64(key), F.col(n).cast("bigint")).cast("int")
 
-    # Narrow rows meet the layout; vectors join afterwards.
-    review_slots = (
-        reviews.select(F.col("id").alias("review_id"), "org_id")
-        .join(layout, "org_id")
-        .select("review_id", "org_id", slot("review_id", "rn").alias("rb"), spread("tn").alias("tb"))
+    # The layout has one row per org; Spark broadcasts it when it is small.
+    left = owned.join(layout, "org_id").select(
+        "review_id", "org_id", "a", slot("review_id", "rn").alias("rb"), spread("tn").alias("tb")
     )
-    left = vectors.select("review_id", F.col("text_embedding").alias("a")).join(review_slots, "review_id")
     right = topics.join(layout, "org_id").select(
         "org_id", "topic_id", "b", spread("rn").alias("rb"), slot("topic_id", "tn").alias("tb")
     )

@@ -80,11 +80,15 @@ def trends(
 
     Reviews without a date are left out; dates that cannot be read form a NULL period.
     """
-    label = cal.PERIOD_LABELS[period](cal.utc_day(F.col("date")))
+    label = cal.PERIOD_LABELS[period](F.col("_day"))
+    dated = filter_reviews(reviews, org_id, since).filter(F.col("date").isNotNull())
     out = (
-        filter_reviews(reviews, org_id, since).filter(F.col("date").isNotNull())
+        dated.select("org_id", "stars", cal.utc_day(F.col("date")).alias("_day"))
+        # days are few: stars are summed per day, and the day is read once per row
+        .groupBy("org_id", "_day")
+        .agg(F.count(F.lit(1)).alias("c"), F.sum("stars").alias("s"), F.count("stars").alias("n"))
         .groupBy("org_id", label.alias("period"))
-        .agg(F.count(F.lit(1)).alias("review_count"), F.round(F.avg("stars"), 2).alias("avg_stars"))
+        .agg(F.sum("c").alias("review_count"), F.round(F.sum("s") / F.nullif(F.sum("n"), F.lit(0).cast("bigint")), 2).alias("avg_stars"))
     )
     newest = F.col("period").desc_nulls_last()
     if limit is not None:
@@ -117,8 +121,11 @@ def compare(
         "company_org_id", F.col("competitor_org_id").alias("org_id"), F.lit(1).alias("side")
     ).join(companies_in.select(F.col("org_id").alias("company_org_id")), "company_org_id", "left_semi")
     place = Window.partitionBy("company_org_id").orderBy("side", "name", "org_id")
+    listed = own.unionByName(others)
+    if org_id is not None:
+        reviews = reviews.join(listed.select("org_id").distinct(), "org_id", "left_semi")
     return (
-        own.unionByName(others)
+        listed
         .join(companies.select("org_id", "name", "rating", "review_count"), "org_id")
         .join(review_totals(reviews), "org_id", "left")
         .select(

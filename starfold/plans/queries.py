@@ -201,7 +201,7 @@ def _(s: Samples) -> DataFrame:
 
 @query("reviews_star_range", f"SELECT {_REVIEWS} FROM reviews WHERE stars >= 1 AND stars <= 3")
 def _(s: Samples) -> DataFrame:
-    return listing.list_reviews(s.reviews(), stars="1-3", ordered=False).select(*REVIEW_COLUMNS)
+    return listing.list_reviews(s.reviews(), stars="1-3★", ordered=False).select(*REVIEW_COLUMNS)
 
 
 _NEWEST = "ORDER BY date DESC NULLS LAST, id"
@@ -220,7 +220,7 @@ def _(s: Samples) -> DataFrame:
 
 
 @query("unanswered", f"""
-SELECT id, org_id, split_part(date, 'T', 1) AS date, stars, text, author_name FROM reviews
+SELECT id, org_id, split_part(date, 'T', 1) AS date, stars, text, author_name, review_url FROM reviews
 WHERE business_response IS NULL
 QUALIFY row_number() OVER (PARTITION BY org_id {_NEWEST.replace("date", "reviews.date")}) <= 50""")
 def _(s: Samples) -> DataFrame:
@@ -352,6 +352,11 @@ def _(s: Samples) -> DataFrame:
     return ingest.add_relations(s.relations(), s.proposed_relations(), s.companies())
 
 
+@query("relations_rejected", f"SELECT DISTINCT company_org_id, competitor_org_id FROM proposed WHERE NOT ({_KNOWN})")
+def _(s: Samples) -> DataFrame:
+    return ingest.rejected_relations(s.proposed_relations(), s.companies())
+
+
 @query("relation_upsert", f"""
 SELECT company_org_id, competitor_org_id,
        CASE WHEN p.priority IS NOT NULL THEN p.priority ELSE r.priority END AS priority,
@@ -411,7 +416,7 @@ def _model(s: Samples) -> dict[str, DataFrame]:
     }
 
 
-def _assigned(s: Samples, threshold: float, method: str = "pairs") -> DataFrame:
+def _assigned(s: Samples, threshold: float, method: str = "blocks") -> DataFrame:
     return similarity.classify(s.vectors(), s.reviews(), s.topics(), threshold, method=method)
 
 
@@ -456,9 +461,7 @@ SELECT review_id, topic_id, round(similarity, 6) + 0 FROM assigned030
 WHERE org_id IN (SELECT org_id FROM companies WHERE role = 'mine')""")
 def _(s: Samples) -> DataFrame:
     mine = s.companies().filter(F.col("role") == "mine")
-    fresh = similarity.classify(
-        s.vectors(), s.reviews().join(mine, "org_id", "left_semi"), s.topics(), 0.3, method="pairs"
-    )
+    fresh = similarity.classify(s.vectors().join(mine, "org_id", "left_semi"), None, s.topics(), 0.3)
     return ingest.replace_assignments(_assigned(s, 0.1), fresh, s.reviews(), mine).withColumn(
         "similarity", F.round("similarity", 6)
     )
@@ -516,10 +519,20 @@ def _(s: Samples) -> DataFrame:
 
 
 @query("result_json", """
-SELECT to_json({'org_id': org_id, 'stars': stars, 'date': date, 'response': business_response})::varchar AS json
+SELECT to_json({'id': id, 'org_id': org_id, 'review_key': review_key, 'author_name': author_name, 'date': date, 'text': text,
+       'stars': stars, 'likes': likes, 'dislikes': dislikes, 'review_url': review_url, 'business_response': business_response})::varchar AS json
 FROM reviews""")
 def _(s: Samples) -> DataFrame:
-    rows = s.reviews().select("org_id", "stars", "date", F.col("business_response").alias("response"))
+    return sqlsurface.as_json(s.reviews().select(*REVIEW_COLUMNS))
+
+
+@query("json_lists", """
+SELECT to_json({'org_id': org_id, 'stars': stars, 'ids': ids})::varchar AS json FROM (
+  SELECT org_id, list(DISTINCT stars ORDER BY stars) FILTER (stars IS NOT NULL) AS stars, list(id ORDER BY id) AS ids FROM reviews GROUP BY 1)""")
+def _(s: Samples) -> DataFrame:
+    rows = s.reviews().groupBy("org_id").agg(
+        F.array_sort(F.collect_set("stars")).alias("stars"), F.array_sort(F.collect_list("id")).alias("ids")
+    )
     return sqlsurface.as_json(rows)
 
 
@@ -547,7 +560,7 @@ def _(s: Samples) -> DataFrame:
     return configdoc.relation_rows(configdoc.accepted(s.config()))
 
 
-@query("config_rejected", "SELECT n AS pos, org_id, name, 'owner' AS role FROM companies WHERE n = 19")
+@query("config_rejected", "SELECT n AS pos, org_id, name, CASE WHEN n = 19 THEN 'owner' ELSE role END AS role, CASE WHEN n = 19 THEN 'role' ELSE 'topics' END AS reason FROM companies WHERE n IN (16, 19)")
 def _(s: Samples) -> DataFrame:
     return configdoc.rejected(s.config())
 
@@ -557,7 +570,7 @@ _INHERITED = """
              FROM companies WHERE n <> 19),
 donors AS (SELECT st, arg_min(org_id, n) AS donor FROM listed
            WHERE n % 3 <> 1 AND org_id IN (SELECT org_id FROM labels) GROUP BY st),
-owners AS (SELECT l.org_id, l.name, l.role, CASE WHEN n % 3 = 1 THEN donor ELSE org_id END AS owner
+owners AS (SELECT l.org_id, l.name, l.role, CASE WHEN n = 16 THEN NULL WHEN n % 3 = 1 THEN donor ELSE org_id END AS owner
            FROM listed l LEFT JOIN donors USING (st))
 """
 
@@ -718,8 +731,8 @@ def _(s: Samples) -> DataFrame:
 
 @query("trends_bad_dates", """
 , moved AS (
-  SELECT org_id, stars, CASE n_chars % 5 WHEN 0 THEN date::date + 1 WHEN 1 THEN date::date - 1
-         WHEN 2 THEN date_trunc('month', date::date)::date + 30 WHEN 3 THEN NULL ELSE date::date END AS d
+  SELECT org_id, stars, CASE WHEN n_chars % 15 IN (4, 9) THEN NULL ELSE CASE n_chars % 5 WHEN 0 THEN date::date + 1 WHEN 1 THEN date::date - 1
+         WHEN 2 THEN date_trunc('month', date::date)::date + 30 WHEN 3 THEN NULL ELSE date::date END END AS d
   FROM reviews_base WHERE date IS NOT NULL OR n_chars % 5 = 3)
 SELECT org_id, strftime(d, '%Y-%m') AS period, count(*) AS review_count, round(avg(stars), 2) AS avg_stars
 FROM moved GROUP BY ALL""")
@@ -740,6 +753,20 @@ def _(s: Samples) -> DataFrame:
     )
 
 
+@query("compare_one", """
+, totals AS (SELECT org_id, count(*) AS c, avg(stars) AS a FROM reviews GROUP BY 1),
+sides AS (SELECT org_id AS company_org_id, org_id, 0 AS side FROM companies
+          UNION ALL SELECT company_org_id, competitor_org_id, 1 FROM relations)
+SELECT company_org_id, (row_number() OVER (PARTITION BY company_org_id ORDER BY side, c.name, c.org_id) - 1)::int AS rank,
+       c.org_id, c.name, c.rating, c.review_count, coalesce(t.c, 0) AS reviews_in_db, round(t.a, 9) AS avg_stars
+FROM sides s JOIN companies c ON c.org_id = s.org_id LEFT JOIN totals t ON t.org_id = c.org_id
+WHERE company_org_id = 'src1'""")
+def _(s: Samples) -> DataFrame:
+    return summary.compare(s.companies(), s.relations(), s.reviews(), "src1").withColumn(
+        "avg_stars", F.round("avg_stars", 9)
+    )
+
+
 @query("sync_status", """
 , last AS (SELECT * FROM sync_log QUALIFY row_number() OVER (PARTITION BY org_id ORDER BY seq DESC) = 1)
 SELECT c.org_id, c.name, c.role, (SELECT count(*) FROM reviews r WHERE r.org_id = c.org_id) AS reviews_in_db,
@@ -766,9 +793,8 @@ SELECT v.review_id, t.id AS topic_id, round(list_cosine_similarity(v.text_embedd
 FROM vectors v JOIN reviews r ON r.id = v.review_id JOIN topics t ON t.org_id = r.org_id
 WHERE t.embedding IS NOT NULL""")
 def _(s: Samples) -> DataFrame:
-    left = s.vectors().join(s.reviews().select(F.col("id").alias("review_id"), "org_id"), "review_id")
     return similarity.similarity_pairs(
-        left.select("review_id", "org_id", F.col("text_embedding").alias("a")),
+        similarity.owned_vectors(s.vectors(), None),
         similarity.classifiers(s.topics()), ["org_id"],
     ).select("review_id", "topic_id", F.round("similarity", 6).alias("similarity"))
 
@@ -792,6 +818,103 @@ def _(s: Samples) -> DataFrame:
     return _assigned(s, 0.1, "pairs").withColumn("similarity", F.round("similarity", 6))
 
 
+@query("vector_mismatches", """
+, uneven AS (SELECT review_id, r.org_id, CASE WHEN review_id % 5 = 0 THEN 3 ELSE len(text_embedding) END AS length
+             FROM vectors v JOIN reviews r ON r.id = v.review_id)
+SELECT org_id, count(*) AS vectors, count(*) FILTER (WHERE length <> 64) AS mismatched FROM uneven
+WHERE org_id IN (SELECT org_id FROM topics WHERE parent_id IS NOT NULL AND embedding IS NOT NULL) GROUP BY 1""")
+def _(s: Samples) -> DataFrame:
+    short = F.when(F.col("review_id") % 5 == 0, F.slice("text_embedding", 1, 3)).otherwise(F.col("text_embedding"))
+    return similarity.vector_mismatches(s.vectors().withColumn("text_embedding", short), None, s.topics())
+
+
+@query("has_vectors", "SELECT count(*) > 0 AS any_vectors FROM vectors")
+def _(s: Samples) -> DataFrame:
+    return s.spark.createDataFrame([(similarity.has_vectors(s.vectors()),)], "any_vectors boolean")
+
+
+@query("vectors_save", """
+SELECT review_id, CASE WHEN review_id % 3 = 0 THEN 'newer' ELSE 'sample' END AS model,
+       round(list_sum(text_embedding::double[]) * CASE WHEN review_id % 3 = 0 THEN 2 ELSE 1 END, 4) + 0 AS total FROM vectors
+UNION ALL SELECT -review_id - 1, 'newer', round(list_sum(text_embedding::double[]) * 2, 4) + 0 FROM vectors WHERE review_id % 3 = 0""")
+def _(s: Samples) -> DataFrame:
+    """A third of the vectors is embedded anew, and as many reviews get their first vector."""
+    doubled = F.transform("text_embedding", lambda x: (x * 2).cast("float"))
+    again = s.vectors().filter("review_id % 3 = 0").withColumn("text_embedding", doubled).withColumn("model", F.lit("newer"))
+    first = again.withColumn("review_id", -F.col("review_id") - 1)
+    current = schemas.conform(s.vectors(), schemas.REVIEW_VECTORS)
+    total = F.aggregate("text_embedding", F.lit(0.0), lambda t, x: t + x.cast("double"))
+    return ingest.save_vectors(current, again.unionByName(first)).select("review_id", "model", F.round(total, 4).alias("total"))
+
+
+class LengthEmbedder:
+    """A vector of counts that SQL can restate: all characters, letters a, blanks."""
+
+    model = "lengths"
+
+    def embed(self, df: DataFrame) -> DataFrame:
+        text = F.col("text")
+        without = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c)))
+        return df.select("id", F.array(F.length(text), without("a"), without(" ")).cast("array<float>").alias("embedding"))
+
+
+_LENGTHS = """[length({t}), length({t}) - length(replace({t}, 'a', '')), length({t}) - length(replace({t}, ' ', ''))]"""
+
+
+def _spread(rows: DataFrame, *keys: str, vector: str) -> DataFrame:
+    return rows.select(*keys, *[F.col(vector)[k].cast("double").alias(f"v{k}") for k in range(3)])
+
+
+_BY_PLACE = ", ".join(f"(v[{k + 1}])::double AS v{k}" for k in range(3))
+
+
+@query("embed_lengths", f"""
+SELECT review_id, org_id, {_BY_PLACE} FROM (
+  SELECT id AS review_id, org_id, {_LENGTHS.format(t="text")} AS v FROM reviews
+  WHERE text <> '' AND id NOT IN (SELECT review_id FROM vectors))""")
+def _(s: Samples) -> DataFrame:
+    rows = embedding.embed_reviews(s.reviews(), s.vectors(), LengthEmbedder())
+    return _spread(rows, "review_id", "org_id", vector="text_embedding")
+
+
+@query("embed_force", f"""
+SELECT review_id, {_BY_PLACE} FROM (SELECT id AS review_id, {_LENGTHS.format(t="text")} AS v FROM reviews WHERE text <> '')""")
+def _(s: Samples) -> DataFrame:
+    """Every text is embedded anew and replaces the vector it had."""
+    new = embedding.embed_reviews(s.reviews(), s.vectors(), LengthEmbedder(), force=True)
+    saved = ingest.save_vectors(schemas.conform(s.vectors(), schemas.REVIEW_VECTORS), new).filter("model = 'lengths'")
+    return _spread(saved, "review_id", vector="text_embedding")
+
+
+@query("embed_topics", f"""
+SELECT id, {_BY_PLACE} FROM (SELECT id, {_LENGTHS.format(t="name")} AS v FROM topics WHERE embedding IS NULL)""")
+def _(s: Samples) -> DataFrame:
+    new = embedding.embed_topics(s.topics(), LengthEmbedder())
+    saved = ingest.save_topic_vectors(s.topics(), new).join(new.select("id"), "id", "left_semi")
+    return _spread(saved, "id", vector="embedding")
+
+
+@query("search_mode", """
+SELECT 'text' AS mode, id FROM (
+  SELECT id, date FROM reviews
+  WHERE translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') LIKE '%the%'
+  ORDER BY date DESC NULLS LAST, id LIMIT 50)
+UNION ALL SELECT 'semantic', id FROM (
+  SELECT r.id FROM vectors v JOIN reviews r ON r.id = v.review_id WHERE r.text <> ''
+  ORDER BY round(list_cosine_similarity(v.text_embedding::double[], [1.0::double FOR i IN range(64)]), 12) DESC, r.id LIMIT 50)""")
+def _(s: Samples) -> DataFrame:
+    """Semantic with vectors and an embedder that works; text without vectors."""
+    from starfold.plans import search
+
+    ones = embedding.BatchEmbedder(lambda texts: [[1.0] * 64 for _ in texts], "ones")
+    out = None
+    for vectors in (s.vectors(), s.vectors().limit(0)):
+        mode, rows = search.search(s.spark, s.reviews(), vectors, "the", ones)
+        part = rows.select(F.lit(mode).alias("mode"), "id")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("classify_top3", """
 SELECT review_id, topic_id FROM matches
 QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY similarity DESC, topic_id) <= 3""")

@@ -14,7 +14,7 @@ from starfold.sources.store import Store
 
 
 def apply_config(store: Store, config: DataFrame) -> DataFrame:
-    """Store companies, relations and topics of a configuration; returns the rejected companies.
+    """Store companies, relations and topics of a configuration; returns what is rejected, with the reason.
 
     The service type of a listed company is overwritten. Applying the same
     document again changes nothing and keeps topic vectors and assignments.
@@ -31,7 +31,8 @@ def apply_config(store: Store, config: DataFrame) -> DataFrame:
         "company_relations",
         ingest.upsert_relations(store.read("company_relations"), configdoc.relation_rows(listed), known),
     )
-    topics = ingest.replace_topics(store.read("topic_templates"), configdoc.topic_rows(listed), listed)
+    stated = configdoc.with_topics(listed)
+    topics = ingest.replace_topics(store.read("topic_templates"), configdoc.topic_rows(stated), stated)
     store.replace("topic_templates", topics)
     gone = store.read("topic_templates").select(F.col("id").alias("topic_id"))
     for table in ("review_topics", "company_scores"):

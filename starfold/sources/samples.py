@@ -145,6 +145,8 @@ class Samples:
             .when(chars % 5 == 1, F.concat(date, F.lit("T01:15:00+03:00")))
             .when(chars % 5 == 2, F.concat(F.substring(date, 1, 8), F.lit("31")))
             .when(chars % 5 == 3, F.lit("yesterday"))
+            .when(chars % 15 == 4, F.concat(date, F.lit("T99:99:99")))
+            .when(chars % 15 == 9, F.concat(date, F.lit("T10:00:00+23:59")))
             .otherwise(date),
         ).drop("n_chars")
 
@@ -202,12 +204,12 @@ class Samples:
 
     @once
     def vectors(self) -> DataFrame:
-        docs = self.raw("documents").select(F.col("doc_id").alias("review_id"))
+        docs = self.raw("documents").select(F.col("doc_id").alias("review_id"), F.col("source").alias("org_id"))
         return self.raw("embeddings").select(
             F.col("vec_id").alias("review_id"),
             F.lit("sample").alias("model"),
             F.col("embedding").alias("text_embedding"),
-        ).join(docs, "review_id", "left_semi")
+        ).join(docs, "review_id")
 
     @once
     def _labels(self) -> DataFrame:
@@ -250,7 +252,10 @@ class Samples:
         return heads.unionByName(leaves)
 
     def config(self) -> DataFrame:
-        """A configuration document: companies with competitors and the labels as topics."""
+        """A configuration document: companies with competitors and the labels as topics.
+
+        The topics of one company are neither a list nor inherited.
+        """
         labels = self._labels()
         groups = labels.groupBy("org_id", "grp").agg(
             F.array_sort(F.collect_list(F.concat(F.lit("Topic "), F.col("label").cast("string")))).alias("subtopics")
@@ -276,7 +281,8 @@ class Samples:
                 F.when(n % 2 == 1, F.col("service_type")).alias("service_type"),
                 "competitors",
                 F.when(n % 3 != 1, F.col("topics")).alias("topics"),
-                (n % 3 == 1).alias("inherit"),
+                ((n % 3 == 1) & (n != 16)).alias("inherit"),
+                (n == 16).alias("malformed"),
             )
         )
 

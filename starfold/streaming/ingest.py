@@ -89,6 +89,8 @@ class ReviewIngest:
         self._log(reduced, batch, parts)
         if self.embedder is not None:
             self._embed_and_classify(reduced, batch, parts)
+        for kind in ("arrived", "reviews", "stored", "vectors"):
+            store.unstage(f"{kind}/{place}")
 
     def _log(self, reduced: DataFrame, batch: Batch, parts: list[int]) -> None:
         """One log row per org, counted against the table as it was before the batch."""

@@ -174,3 +174,16 @@ def test_vector_bytes_round_trip(spark, numbers):
 
 def test_vector_text_with_spaces(spark):
     assert values(spark, ["[0.5, -1,2e1]", None], "string", vec.parse_vector_text) == [[0.5, -1.0, 20.0], None]
+
+
+def test_codec_keeps_nulls_and_slices(spark):
+    import pyarrow as pa
+
+    lists = pa.array([[1.5, -2.0], None, [], [3.25], None, [0.1, 0.2, 0.3]], pa.list_(pa.float32()))
+    for part in (lists, lists.slice(1, 4), lists.slice(3)):
+        blobs = vec.encode_f32.func(part) if hasattr(vec.encode_f32, "func") else None
+        if blobs is None:
+            return
+        assert [None if b is None else len(b) // 4 for b in blobs.to_pylist()] == [None if v is None else len(v) for v in part.to_pylist()]
+        assert vec.decode_f32.func(blobs).to_pylist() == part.to_pylist()
+        assert vec.decode_f32.func(blobs.slice(1)).to_pylist() == part.slice(1).to_pylist()

@@ -250,3 +250,41 @@ def test_vectors_are_replaced_by_id(spark):
     new = spark.createDataFrame([(2, "n", [9.0]), (3, "n", [3.0])], "review_id bigint, model string, text_embedding array<float>")
     assert bag(ingest.save_vectors(cur, new), "review_id", "model", "text_embedding") == [
         (1, "m", [1.0]), (2, "n", [9.0]), (3, "n", [3.0])]
+
+
+def test_malformed_topics_leave_stored_topics_alone(spark):
+    texts = spark.createDataFrame([(
+        '{"companies": [{"org_id": "1", "name": "A", "role": "mine", "topics": "oops"},'
+        ' {"org_id": "2", "name": "B", "role": "mine", "topics": {"name": "x"}},'
+        ' {"org_id": "3", "name": "C", "role": "mine", "topics": [{"name": "P", "subtopics": ["s"]}]},'
+        ' {"org_id": "4", "name": "D", "role": "mine"}, {"org_id": "5", "name": "E", "role": "owner"}]}',)], "t string")
+    config = configdoc.parse_documents(texts)
+    assert bag(configdoc.rejected(config), "org_id", "reason") == [("1", "topics"), ("2", "topics"), ("5", "role")]
+    stated = configdoc.with_topics(configdoc.inherit_topics(configdoc.accepted(config)))
+    stored = schemas.conform(spark.createDataFrame(
+        [(k, str(k), None, "old", 0) for k in range(1, 5)],
+        "id bigint, org_id string, parent_id bigint, name string, position bigint"), schemas.TOPICS)
+    left = ingest.replace_topics(stored, configdoc.topic_rows(stated), stated)
+    assert bag(left, "org_id", "name") == [("1", "old"), ("2", "old"), ("3", "P"), ("3", "s")]
+
+
+def test_relations_keep_their_creation_time(spark):
+    orgs = companies(spark, *[{"org_id": o} for o in "123"])
+    pairs = spark.createDataFrame([("1", "2"), ("1", "ghost"), ("ghost", "2"), ("1", "ghost")], "company_org_id string, competitor_org_id string")
+    assert bag(ingest.rejected_relations(pairs, orgs)) == [("1", "ghost"), ("ghost", "2")]
+    old = schemas.conform(pairs.limit(1), schemas.RELATIONS).withColumn("created_at", F.lit("2020-01-01 00:00:00").cast("timestamp"))
+    new = spark.createDataFrame([("1", "2", 3, "n"), ("1", "3", 4, "m")], "company_org_id string, competitor_org_id string, priority int, notes string")
+    up = ingest.upsert_relations(old, new, orgs).select("competitor_org_id", F.year("created_at").alias("y"))
+    got = dict(rows(up, "competitor_org_id", "y"))
+    assert got["2"] == 2020 and got["3"] > 2020
+    added = ingest.add_relations(schemas.empty(spark, "company_relations"), pairs, orgs)
+    assert added.filter("created_at IS NULL").count() == 0
+
+
+def test_star_bounds_start_with_a_number(spark):
+    from starfold.operators.listing import parse_star_range
+
+    assert parse_star_range("1-3★") == (1.0, 3.0) and parse_star_range("4stars") == (4.0, 4.0)
+    assert parse_star_range("1_0") == (1.0, 1.0) and parse_star_range(".5-1e0x") == (0.5, 1.0)
+    low, high = parse_star_range("-2")
+    assert low != low and high == 2.0

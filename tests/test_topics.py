@@ -202,3 +202,36 @@ def test_comparison(spark):
     pairs = spark.createDataFrame([("a", "b")], "org_a string, org_b string")
     out = rows(scoring.compare_scores(heads, pairs).orderBy("place"), "name", "score_a", "score_b", "delta", "marker")
     assert out == [("X", 8.0, 7.5, 0.5, "✅"), ("Y", 6.0, 6.4, -0.4, ""), ("Z", 0.0, 7.0, -7.0, "❌")]
+
+
+def _exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.split("\n") if "Exchange" in line and "AQEShuffleRead" not in line], plan
+
+
+def test_search_moves_no_vectors(spark):
+    vecs = spark.range(50).selectExpr("id AS review_id", "array(float(id), float(1)) AS text_embedding", "'1' AS org_id")
+    revs = spark.range(50).selectExpr(
+        "id", "'1' AS org_id", "string(id) AS review_key", "'t' AS text", "5.0D AS stars", "'2025-01-01' AS date",
+        "'a' AS author_name", "string(NULL) AS business_response")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = similarity.closest(revs, vecs, similarity.vec.cosine_to([1.0, 0.0])(F.col("text_embedding")))
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        join = plan.index("Join")
+        assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") > join
+        assert "text_embedding" not in plan[:join]
+        assert [r["id"] for r in found.orderBy(F.desc("similarity")).limit(2).collect()] == [49, 48]
+        blocks = similarity.classify(
+            vecs, None, spark.createDataFrame([(1, "1", None, None), (2, "1", 1, [1.0, 0.0])], "id bigint, org_id string, parent_id bigint, embedding array<float>"), 0.0)
+        text = blocks._jdf.queryExecution().optimizedPlan().toString()
+        assert "Relation" not in text or text.count("text_embedding") >= 1
+        assert blocks.count() == 50
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_lengths_that_match_no_topic_are_counted(spark):
+    vecs = spark.createDataFrame([(1, "1", [1.0]), (2, "1", [1.0, 0.0]), (3, "2", [1.0])], "review_id bigint, org_id string, text_embedding array<float>")
+    tops = spark.createDataFrame([(1, "1", 9, [1.0, 1.0])], "id bigint, org_id string, parent_id bigint, embedding array<float>")
+    assert bag(similarity.vector_mismatches(vecs, None, tops)) == [("1", 2, 1)]
