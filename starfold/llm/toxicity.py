@@ -171,7 +171,8 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> Model:
     stands = F.abs(F.col("delta")) / F.col("error")
     top = scored.filter((stands >= STANDS_OUT) & (F.abs("delta") >= LEAST_ODDS)).orderBy(stands.desc(), "word").limit(VOCABULARY).collect()
     weights = {r["word"]: round(min(HIGH, max(LOW, r["delta"] + OTHER)), 4) for r in top}
-    clean = {r["word"]: r["c"] / totals["c"] for r in top}
+    # under the same prior, so that a word unseen in clean text is rare there, not impossible
+    clean = {r["word"]: (r["c"] + PRIOR * (r["c"] + r["t"])) / (totals["c"] + PRIOR * n) for r in top}
     rate = _rate([(weights[w], p) for w, p in clean.items()], 1.0 - sum(clean.values()))
     plain = Model(weights, rate=rate)
 
