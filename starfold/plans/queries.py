@@ -288,22 +288,28 @@ def _(s: Samples) -> DataFrame:
     )
 
 
-@query("stream_ingest", SQL["review_upsert"].removeprefix(PRELUDE))
-def _(s: Samples) -> DataFrame:
-    """The feed read as a stream and merged into a stored table, micro-batch by micro-batch."""
+def _streamed(s: Samples):
+    """A store that the feed was streamed into: the lines up to the split date, then the later ones."""
     from starfold.sources.store import Store
     from starfold.streaming import ingest as stream
 
     lines = s.raw("lineitem")
-    feed = (
-        s.spark.readStream.schema(lines.schema)
-        .option("pathGlobFilter", "lineitem.parquet").parquet(s.path)
-    )
+    early = F.col("l_shipdate") < F.lit(BULK_SPLIT).cast("timestamp_ntz")
     root = f"{shared_dir(s.spark)}/stream-{uuid.uuid4().hex}"
     store = Store(s.spark, f"{root}/tables", buckets=8)
     step = stream.ReviewIngest(store, prepare=s.bulk, order_by=BULK_ORDER)
-    stream.start(feed, step, f"{root}/progress").awaitTermination()
-    return store.read("reviews").select("review_key", "org_id", "date", "text", "stars", "business_response")
+    for landed in (lines.filter(early), lines.filter(~early)):
+        landed.write.mode("append").parquet(f"{root}/landing")
+        feed = s.spark.readStream.schema(lines.schema).parquet(f"{root}/landing")
+        stream.start(feed, step, f"{root}/progress").awaitTermination()
+    return store
+
+
+@query("stream_ingest", SQL["review_upsert"].removeprefix(PRELUDE))
+def _(s: Samples) -> DataFrame:
+    """The feed read as a stream and merged into a stored table, in two micro-batches."""
+    reviews = _streamed(s).read("reviews")
+    return reviews.select("review_key", "org_id", "date", "text", "stars", "business_response")
 
 
 @query("review_upsert_counts", f"""
@@ -322,6 +328,14 @@ def _(s: Samples) -> DataFrame:
     return first.unionByName(ingest.upsert_counts(current, batch).select(F.lit(2).alias("batch"), "*"))
 
 
+@query("stream_log", SQL["review_upsert_counts"].removeprefix(PRELUDE))
+def _(s: Samples) -> DataFrame:
+    """What the log says about the two micro-batches of the streamed feed."""
+    return _streamed(s).read("sync_log").groupBy(F.col("seq").cast("int").alias("batch")).agg(
+        F.sum("reviews_added").alias("added"), F.sum("reviews_updated").alias("updated")
+    )
+
+
 @query("company_upsert", """
 , cur AS (
   SELECT 's' || s_suppkey AS org_id, s_name AS name, CASE WHEN s_acctbal >= 0 THEN 4.0::double END AS rating,
