@@ -272,7 +272,7 @@ def prefix_rows(docs: DataFrame, size: int, limit: Threshold, order: Order) -> D
 
 
 def fetch_sets(docs: DataFrame, wanted: DataFrame, size: int, limit: Threshold, order: Order) -> DataFrame:
-    """sid, hashes (8 bytes each, sorted), prefix (likewise) and shared of the sets in ``wanted`` (distinct sid).
+    """sid, n, hashes (8 bytes each, sorted), prefix (likewise) and shared of the sets in ``wanted`` (distinct sid).
 
     A bitmap of fixed size picks them from the texts in tasks; what it lets through besides is dropped by a join.
     """
@@ -302,43 +302,52 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, size: int, limit: Threshold,
                 if sid not in done and filled[at >> 3] >> (at & 7) & 1:
                     done.add(sid)
                     first, shared = order.prefix(s, limit)
-                    out.append((sid, s.tobytes(), first.tobytes(), shared))
+                    out.append((sid, len(s), s.tobytes(), first.tobytes(), shared))
             if out:
                 columns = zip(*out)
-                kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32())
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, kinds)], names=["sid", "hashes", "prefix", "shared"]
+                    [pa.array(c, k) for c, k in zip(columns, kinds)], names=["sid", "n", "hashes", "prefix", "shared"]
                 )
 
-    picked = docs.select("text").mapInArrow(run, "sid long, hashes binary, prefix binary, shared int")
+    picked = docs.select("text").mapInArrow(run, "sid long, n long, hashes binary, prefix binary, shared int")
     return keep(picked.join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "picked-sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
-    """The linked ones of ``pairs`` (a, b): first the multi-match test of the prefixes, then the sets."""
-    columns = ("hashes", "prefix", "shared")
-    left = sets.select(F.col("sid").alias("a"), F.struct(*columns).alias("x"))
-    right = sets.select(F.col("sid").alias("b"), F.struct(*columns).alias("y"))
+    """The linked ones of ``pairs`` (a, b).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        array = lambda raw: np.frombuffer(raw, dtype=np.uint64)
-        for batch in batches:
-            good = []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))):
-                s, t = array(x["hashes"]), array(y["hashes"])
-                # the prefix that ends first lacks at most what its set may lack of the pair's need
-                both = limit.least_of_pair(len(s), len(t))
-                calls = min(both - limit.least_shared(len(v)) + z["shared"] for v, z in ((s, x), (t, y)))
-                if len(np.intersect1d(array(x["prefix"]), array(y["prefix"]), assume_unique=True)) < calls:
-                    continue
-                shared = len(np.intersect1d(s, t, assume_unique=True))
-                if limit.linked(shared, len(s), len(t)):
-                    good.append((a, b))
-            yield pa.RecordBatch.from_pydict({
-                "a": pa.array([g[0] for g in good], pa.int64()), "b": pa.array([g[1] for g in good], pa.int64()),
-            })
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    The multi-match test comes first and moves prefixes only; whole sets move for the pairs that pass it.
+    """
+
+    def both(rows: DataFrame, *columns: str) -> DataFrame:
+        sides = [sets.select(F.col("sid").alias(k), F.struct(*columns).alias(v)) for k, v in (("a", "x"), ("b", "y"))]
+        return rows.join(sides[0], "a").join(sides[1], "b").select("a", "b", "x", "y")
+
+    def common(p: bytes, q: bytes) -> int:
+        p, q = (np.frombuffer(raw, dtype=np.uint64) for raw in (p, q))
+        return len(np.intersect1d(p, q, assume_unique=True))
+
+    def match(x: dict, y: dict) -> bool:
+        # the prefix that ends first lacks at most what its set may lack of the pair's need
+        need = limit.least_of_pair(x["n"], y["n"])
+        calls = min(need - limit.least_shared(z["n"]) + z["shared"] for z in (x, y))
+        return common(x["prefix"], y["prefix"]) >= calls
+
+    def link(x: dict, y: dict) -> bool:
+        return limit.linked(common(x["hashes"], y["hashes"]), len(x["hashes"]) // 8, len(y["hashes"]) // 8)
+
+    def passing(test):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
+                good = pa.array([test(u, v) for u, v in zip(x, y)], pa.bool_())
+                yield batch.select(["a", "b"]).filter(good)
+
+        return run
+
+    near = both(pairs, "n", "prefix", "shared").mapInArrow(passing(match), "a long, b long")
+    return both(near, "hashes").mapInArrow(passing(link), "a long, b long")
 
 
 def _in_range(limit: Threshold, n, m):
