@@ -30,6 +30,8 @@ from starfold.llm.common import keep
 SEED = "mix-1"
 WEIGHTS, SHARE, REPEATS = (3, 1, 2), Fraction(3, 2), 2
 MAX_PATTERNS = 100_000
+#: Thresholds of up to this many patterns are broadcast (a few MB).
+FEW_PATTERNS = 20_000
 #: Above and below every hash.
 ALL, NONE = "g", ""
 
@@ -188,6 +190,8 @@ class Mix:
     def takes(self, rows: DataFrame) -> DataFrame:
         """``rows`` (with ``pattern`` and ``h``) and how often each is taken: column ``times``."""
         wide = self.thresholds.groupBy("pattern").agg(F.collect_list("cut").alias("cuts"))
+        if len(self.routed) <= FEW_PATTERNS:
+            wide = F.broadcast(wide)
         joined = rows.join(wide, "pattern", "left")
         times = F.aggregate("cuts", F.lit(0).cast("long"), lambda n, c: n + (F.col("h") <= c).cast("long"))
         return joined.withColumn("times", F.coalesce(times, F.lit(0).cast("long"))).drop("cuts")

@@ -46,7 +46,7 @@ from starfold.llm.graph import components
 #: Counters of the frequency sketch; deviations above the mean counter from which a frequency stands out.
 SKETCH, DEVIATIONS = 1 << 19, 6.0
 #: Bounds of the bitmap's cells, bytes of text for each cell, and cells of one of the pieces it is made in.
-LEAST_CELLS, MOST_CELLS, BYTES_A_CELL, PIECE = 1 << 20, 1 << 30, 8, 1 << 20
+LEAST_CELLS, MOST_CELLS, BYTES_A_CELL, PIECE = 1 << 20, 1 << 29, 8, 1 << 20
 #: Shingles a task holds before it hands on their cells.
 HELD = 4_000_000
 #: Longest ``l``; cost of verifying a candidate in rows of a prefix list.
@@ -56,6 +56,8 @@ SHORT_LIST, BLOCK_BYTES = 24, 12 << 20
 #: Rounds with one centre per list, at most; they end when the lists promise few pairs, or when a
 #: round closes fewer than this share of the open rows.
 ROUNDS, LEAST_GAIN = 6, 0.1
+#: A list of ids up to this length is broadcast (16 MB); a longer one is joined by a shuffle.
+SMALL_LIST = 1_000_000
 #: Bits of the filter that picks the sets to be fetched.
 FILTER_BITS = 1 << 25
 
@@ -491,7 +493,10 @@ def keep_first(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10) -> D
         found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("rows")),
         "decided",
     )
-    out = docs.join(per.filter("NOT first").select(F.col("doc_id").alias("_drop")), F.col("doc_id") == F.col("_drop"), "left_anti")
+    drop = per.filter("NOT first").select(F.col("doc_id").alias("_drop"))
+    if drop.count() <= SMALL_LIST:
+        drop = F.broadcast(drop)
+    out = docs.join(drop, F.col("doc_id") == F.col("_drop"), "left_anti")
     if per.filter("rows > 1").isEmpty():
         return out
     some = out.filter("doc_id IS NULL")
