@@ -35,6 +35,8 @@ MARKOV = "markov"
 TOKEN, LEAST = r"[A-Za-z0-9+/_-]{16,}", 16
 #: Documents with a fixed span that give the labelled samples, at most.
 SAMPLES = 2_000
+#: Weight, in counts, of a character's chance alone against its chance after another.
+BACKING = 8.0
 #: A token is random if its log ratio is at least this much per step, and in total.
 PER_STEP, TOTAL = 0.5, 12.0
 #: Ordinary identifiers and numbers: what stands outside the fixed spans.
@@ -86,9 +88,14 @@ def samples(docs: DataFrame, each: int = SAMPLES) -> DataFrame:
     has, rest = F.lit(False), F.coalesce("text", F.lit(""))
     for kind in KINDS:
         has, rest = has | F.col("text").rlike(kind[1]), F.regexp_replace(rest, kind[1], " ")
-    order = (F.xxhash64("doc_id", F.lit(11)), F.xxhash64("text"))
-    rows = docs.select("doc_id", "text")
-    some = rows.filter(has).orderBy(*order).limit(each).unionByName(rows.orderBy(*order).limit(each))
+    rows = docs.select("doc_id", "text", F.xxhash64("doc_id", "text", F.lit(11)).alias("_h"))
+
+    def lowest(part: DataFrame) -> DataFrame:
+        """The rows up to the ``each``-th lowest hash; texts are not sorted."""
+        cut = part.select("_h").orderBy("_h").limit(each).agg(F.max("_h")).first()[0]
+        return part.filter(F.col("_h") <= (-(2**63) if cut is None else cut)).drop("_h")
+
+    some = lowest(rows.filter(has)).unionByName(lowest(rows))
     some = keep(
         base_spans(some.withColumn("rest", rest), "rest").select(
             F.concat("assign.body", "access.body", "hex.body").alias("bodies"),
@@ -130,13 +137,19 @@ def train(labelled: DataFrame) -> list[float] | None:
     for side, table in counts.items():
         for step, n in table.items():
             rows[side][step // 128] += n
-    alphabet = 64
+    single = {side: [0.1] * 128 for side in counts}
+    for side, table in counts.items():
+        for step, n in table.items():
+            single[side][step % 128] += n
+
+    def chance(side: bool, step: int) -> float:
+        """Counts of the context, smoothed by the chance of the character alone."""
+        alone = single[side][step % 128] / sum_of[side]
+        return (counts[side].get(step, 0) + BACKING * alone) / (rows[side][step // 128] + BACKING)
+
+    sum_of = {side: sum(v) for side, v in single.items()}
     for step in range(len(out)):
-        r, o = (
-            math.log((counts[side].get(step, 0) + 0.5) / (rows[side][step // 128] + 0.5 * alphabet))
-            for side in (True, False)
-        )
-        out[step] = round(r - o, 6)
+        out[step] = round(math.log(chance(True, step)) - math.log(chance(False, step)), 6)
     return out
 
 
