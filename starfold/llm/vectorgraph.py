@@ -5,7 +5,7 @@ each, so that shards overlap; centroids closer than the links sought are one sha
 a shard too large for a task is cut into blocks, two to a task. Every task prunes its
 nearest-neighbour lists robustly (a neighbour that a nearer one leads to is left out); the lists of all
 tasks are united. Every node then searches its tasks' part of the graph: greedily from the
-medoids, and, once near, through everything within a widened range. Candidates
+medoids and from itself, and, once near, through everything within a widened range. Candidates
 are verified in double precision and counted in one of the tasks that hold the pair.
 
 A fixed number of query vectors is compared with all vectors to measure the recall; below ``RECALL``
@@ -135,12 +135,14 @@ def search(x: np.ndarray, lists: list[np.ndarray], least: float, rows_at_once: i
         rows = np.arange(len(q))
         seen = np.zeros((len(q), n), dtype=bool)
         first = x[q] @ x[medoids].T
-        take = min(BEAM, len(medoids))
+        take = min(BEAM - 1, len(medoids))
         top = np.argpartition(-first, take - 1, axis=1)[:, :take]
         beam = np.full((len(q), BEAM), -1, dtype=np.int64)
         sims = np.full((len(q), BEAM), -2.0, dtype=x.dtype)
         beam[:, :take], sims[:, :take] = medoids[top], np.take_along_axis(first, top, axis=1)
-        seen[rows[:, None], medoids[top]] = True
+        # the query's own node starts too: no medoid need lie in a group whose lists stay inside it
+        beam[:, take], sims[:, take] = q, 1
+        seen[rows[:, None], beam[:, : take + 1]] = True
         opened = np.zeros_like(seen)
         hits: list[tuple[np.ndarray, np.ndarray]] = []
         a, b = np.nonzero(sims >= least - WIDER)

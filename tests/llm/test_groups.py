@@ -173,6 +173,23 @@ def test_links_are_those_of_all_pairs(spark, monkeypatch, settings):
     assert all(got[n + k]["n_links"] == 0 for k in (0, 1, 2, 3, 4, 7, 9)) and got[n + 5]["component_id"] == n + 5 == got[n + 6]["component_id"]
 
 
+def close_groups(seed=7, groups=33, size=60, dim=64):
+    """Groups of distinct near copies, each larger than the lists of its members."""
+    dice = np.random.default_rng(seed)
+    heart = dice.normal(size=(groups, 1, dim))
+    return (heart + dice.normal(scale=0.1, size=(groups, size, dim))).reshape(-1, dim).astype(np.float32)
+
+
+def test_groups_without_a_medoid_are_found():
+    x = close_groups().astype(np.float64)
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    hit = np.zeros((len(x), len(x)), dtype=bool)
+    for a, b in vectorgraph.search(x, vectorgraph.robust_prune(x), 0.9):
+        hit[a, b] = True
+    true = x @ x.T >= 0.9
+    assert true.sum() > 100_000 and (hit & true).sum() == true.sum()
+
+
 def test_no_vectors(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vectorgraph.near_duplicates(none)[0].count() == 0
