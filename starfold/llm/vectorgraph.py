@@ -4,12 +4,15 @@ Equal vectors are one node. Nodes go to the shards of their nearest centroids, s
 each, so that shards overlap; centroids closer than the links sought are one shard, and
 a shard too large for a task is cut into blocks, two to a task. Every task prunes its
 nearest-neighbour lists robustly (a neighbour that a nearer one leads to is left out); the lists of all
-tasks are united. Every node then searches its tasks' part of the graph: greedily from the
+tasks are united. Groups that close links of the united lists hold together over several
+shards become a shard of their own, whose pairs are all compared. Every node then searches its tasks' part of the graph: greedily from the
 medoids and from itself, and, once near, through everything within a widened range. Candidates
 are verified in double precision and counted in one of the tasks that hold the pair.
 
-A fixed number of query vectors is compared with all vectors to measure the recall; below ``RECALL``
-nodes join more shards and the work is done again, up to shards that hold everything.
+The vectors whose id is divisible by ``AUDIT`` are compared with all vectors, and the recall is the mean
+over those that have links; below ``RECALL`` nodes join more shards and the work is done again. Where
+that would cost as much as comparing all pairs, or where no audited vector has a link, all pairs are
+compared, in blocks.
 
 Edge cases: vectors that are NULL, empty, zero, without an id, or hold NULL or non-finite
 components link with nothing and are their own component; vectors of different lengths
@@ -29,8 +32,8 @@ from pyspark.sql import functions as F
 from starfold.llm.common import keep
 from starfold.llm.graph import components
 
-#: Vectors that centroids are fitted on, and vectors that recall is measured with, at most.
-SAMPLE, AUDIT = 8_192, 512
+#: Vectors that centroids are fitted on, at most; ids divisible by this are audited, so many vectors at once.
+SAMPLE, AUDIT, AUDIT_BLOCK = 8_192, 50, 1_024
 #: Members a shard should have, shards at most, members of a block, shards of a node in the first try.
 SHARD, MOST_SHARDS, BLOCK, OVERLAP = 2_048, 512, 2_048, 3
 #: Centroids with at least this cosine are one shard.
@@ -194,6 +197,13 @@ def search(x: np.ndarray, lists: list[np.ndarray], least: float, rows_at_once: i
         yield q[np.concatenate([o[0] for o in out])], np.concatenate([o[1] for o in out])
 
 
+def all_pairs(x: np.ndarray, least: float, rows_at_once: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As ``search``, by comparison of all rows of ``x`` (a little below ``least``, for single precision)."""
+    for start in range(0, len(x), rows_at_once):
+        a, b = np.nonzero(x[start : start + rows_at_once] @ x.T >= least - 1e-3)
+        yield start + a, b
+
+
 def _assign(nodes: DataFrame, shards: dict[int, tuple[np.ndarray, np.ndarray]], overlap: int) -> DataFrame:
     """``nodes`` (cid, v, many) with ``shards``: sorted numbers of the shards each belongs to."""
 
@@ -214,9 +224,9 @@ def _assign(nodes: DataFrame, shards: dict[int, tuple[np.ndarray, np.ndarray]],
                 best = np.argpartition(-s, k - 1, axis=1)[:, :k]
                 for i, row in zip(at, best):
                     out[i] = sorted({int(x) for x in number[row]})
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], names=["cid", "v", "many", "shards"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int64()))], names=["cid", "v", "many", "shards"])
 
-    return nodes.select("cid", "v", "many").mapInArrow(run, "cid long, v array<float>, many long, shards array<int>")
+    return nodes.select("cid", "v", "many").mapInArrow(run, "cid long, v array<float>, many long, shards array<long>")
 
 
 def _placed(nodes: DataFrame) -> DataFrame:
@@ -236,30 +246,47 @@ def _placed(nodes: DataFrame) -> DataFrame:
 _TASK = ("length", "shard", "i", "j")
 
 
-def _lists(placed: DataFrame) -> DataFrame:
-    """cid, near: the united neighbour lists of the whole graph."""
+def _lists(placed: DataFrame, least: float) -> DataFrame:
+    """cid, near, close: the united neighbour lists of the whole graph, and the part of them near ``least`` or above."""
 
     def build(key, members):
         cid = members.column("cid").to_numpy()
-        lists = robust_prune(unit_rows(members.column("v").combine_chunks()).astype(np.float32))
-        return pa.table({"cid": pa.array(cid), "near": pa.array([cid[v] for v in lists], pa.list_(pa.int64()))})
+        x = unit_rows(members.column("v").combine_chunks()).astype(np.float32)
+        lists = robust_prune(x)
+        close = [v[x[v] @ x[k] >= least - WIDER] for k, v in enumerate(lists)]
+        kind = pa.list_(pa.int64())
+        return pa.table({
+            "cid": pa.array(cid), "near": pa.array([cid[v] for v in lists], kind), "close": pa.array([cid[v] for v in close], kind),
+        })
+
+    made = placed.select(*_TASK, "cid", "v").groupBy(*_TASK).applyInArrow(build, "cid long, near array<long>, close array<long>")
+    united = [F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("near", "close")]
+    return made.groupBy("cid").agg(*united)
 
-    made = placed.select(*_TASK, "cid", "v").groupBy(*_TASK).applyInArrow(build, "cid long, near array<long>")
-    return made.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
 
+def _bridged(assigned: DataFrame, lists: DataFrame) -> DataFrame:
+    """``assigned`` with one more shard (numbers below -1) for groups that close links connect and no shard holds whole."""
+    linked = components(lists.select(F.col("cid").alias("a"), F.explode("close").alias("b")))
+    group = keep(assigned.select("cid", "shards").join(linked.withColumnRenamed("node", "cid"), "cid"), "linked")
+    size = group.groupBy("component").agg(F.count("*").alias("size"))
+    held = group.withColumn("shard", F.explode("shards")).groupBy("component", "shard").agg(F.count("*").alias("held"))
+    most = held.groupBy("component").agg(F.max("held").alias("most"))
+    split = size.join(most, "component").filter("most < size").select("component")
+    own = group.join(split, "component").select("cid", (-F.shiftrightunsigned("component", 2) - 2).alias("own_shard"))
+    shards = F.when(F.col("own_shard").isNull(), F.col("shards")).otherwise(F.concat(F.array("own_shard"), "shards"))
+    return assigned.join(own, "cid", "left").select("cid", "v", "many", shards.alias("shards"))
 
-def _searched(placed: DataFrame, lists: DataFrame, least: float) -> DataFrame:
-    """cid, found (linked vectors counted in one task), root (least node linked in that task)."""
+
+def _searched(placed: DataFrame, lists: DataFrame | None, least: float) -> DataFrame:
+    """cid, found (linked vectors counted in one task), root (least node linked in that task); without lists all pairs of a task are compared."""
+
+    every = lists is None
 
     def run(key, members):
         shard, i, j = (k.as_py() for k in key[1:])
         cid, many = members.column("cid").to_numpy(), members.column("many").to_numpy()
         own = members.column("own").to_numpy()
         exact = unit_rows(members.column("v").combine_chunks())
-        place = {c: k for k, c in enumerate(cid.tolist())}
-        near = [
-            np.array([place[c] for c in row if c in place], dtype=np.int64) for row in members.column("near").to_pylist()
-        ]
         homes = members.column("shards").to_pylist()
         width = max(len(h) for h in homes)
         home = np.full((len(homes), width), -1, dtype=np.int64)
@@ -274,14 +301,20 @@ def _searched(placed: DataFrame, lists: DataFrame, least: float) -> DataFrame:
                 k = up[k]
             return k
 
-        for a, b in search(exact.astype(np.float32), near, least):
+        if every or shard < -1:
+            pairs = all_pairs(exact.astype(np.float32), least)
+        else:
+            place = {c: k for k, c in enumerate(cid.tolist())}
+            near = [np.array([place[c] for c in row if c in place], dtype=np.int64) for row in members.column("near").to_pylist()]
+            pairs = search(exact.astype(np.float32), near, least)
+        for a, b in pairs:
             for at in range(0, len(a), 65_536):
                 x, y = a[at : at + 65_536], b[at : at + 65_536]
                 s = np.einsum("ij,ij->i", exact[x], exact[y])
                 ok = (s >= least) & (x != y)
                 x, y = x[ok], y[ok]
-                # a pair counts in the first shard both are in, in the task of its two blocks
-                shared = (home[x][:, :, None] == home[y][:, None, :]) & (home[x] >= 0)[:, :, None]
+                # a pair counts in the first shard both are in, in the task of its two blocks; shards that compare all come first
+                shared = (home[x][:, :, None] == home[y][:, None, :]) & (home[x] != -1)[:, :, None]
                 first = np.where(shared.any(axis=2), home[x], np.iinfo(np.int64).max).min(axis=1)
                 ok = (first == shard) & (np.minimum(own[x], own[y]) == i) & (np.maximum(own[x], own[y]) == j)
                 x, y = x[ok], y[ok]
@@ -296,13 +329,31 @@ def _searched(placed: DataFrame, lists: DataFrame, least: float) -> DataFrame:
         roots = np.array([root(k) for k in range(len(cid))], dtype=np.int64)
         return pa.table({"cid": pa.array(cid), "found": pa.array(found), "root": pa.array(cid[roots])})
 
-    rows = placed.join(lists, "cid")
+    rows = placed if every else placed.join(lists.select("cid", "near"), "cid")
     return rows.groupBy(*_TASK).applyInArrow(run, "cid long, found long, root long")
 
 
-def _recall(nodes: DataFrame, counted: DataFrame, least: float) -> float:
-    """Share of the links of ``AUDIT`` query nodes that the search found, by comparison with every node."""
-    queries = nodes.orderBy(F.xxhash64("cid", F.lit(3))).limit(AUDIT).select("cid", "v").toArrow()
+def _recall(nodes: DataFrame, counted: DataFrame, least: float) -> float | None:
+    """Mean share of its links that the search found, over the audited nodes that have links; ``None`` if none has.
+
+    Audited nodes are compared with every node, ``AUDIT_BLOCK`` of them in a pass, so the driver holds one block.
+    """
+    audited = nodes.filter("audited").select("cid", "v")
+    parts = -(-audited.count() // AUDIT_BLOCK)
+    share, n = 0.0, 0
+    for part in range(parts):
+        queries = audited.filter(F.pmod(F.xxhash64("cid", F.lit(3)), F.lit(parts)) == part).toArrow()
+        if not queries.num_rows:
+            continue
+        true = nodes.select("cid", "v", "many").mapInArrow(_brute(queries, least), "cid long, true long")
+        true = true.groupBy("cid").agg(F.sum("true").alias("true")).filter(F.col("true") > 0)
+        row = true.join(counted.select("cid", "found"), "cid").agg(F.sum(F.least("true", "found") / F.col("true")).alias("s"), F.count("*").alias("n")).first()
+        share, n = share + (row["s"] or 0.0), n + row["n"]
+    return share / n if n else None
+
+
+def _brute(queries: pa.Table, least: float):
+    """Counts the links of ``queries`` (cid, v) with the rows it is given."""
     length = np.array([len(r) for r in queries.column("v")])
     by_length = {}
     for d in np.unique(length):
@@ -317,8 +368,9 @@ def _recall(nodes: DataFrame, counted: DataFrame, least: float) -> float:
             v, many, cid = batch.column("v"), batch.column("many").to_numpy(), batch.column("cid").to_numpy()
             size = np.array([len(r) for r in v])
             for d, (names, q) in by_length.items():
-                at = np.flatnonzero(size == d)
-                if len(at):
+                every = np.flatnonzero(size == d)
+                for k in range(0, len(every), BLOCK):
+                    at = every[k : k + BLOCK]
                     hit = (q @ unit_rows(v.take(pa.array(at))).T >= least) & (names[:, None] != cid[at][None, :])
                     for name, n in zip(names.tolist(), (hit @ many[at]).tolist()):
                         total[name] = total.get(name, 0) + n
@@ -326,19 +378,29 @@ def _recall(nodes: DataFrame, counted: DataFrame, least: float) -> float:
             "cid": pa.array(list(total), pa.int64()), "true": pa.array(list(total.values()), pa.int64()),
         })
 
-    true = nodes.select("cid", "v", "many").mapInArrow(brute, "cid long, true long").groupBy("cid").agg(F.sum("true").alias("true"))
-    row = true.join(counted.select("cid", "found"), "cid").agg(F.sum(F.least("true", "found")).alias("f"), F.sum("true").alias("t")).first()
-    return row["f"] / row["t"] if row["t"] else 1.0
+    return brute
+
+
+def _counted(assigned: DataFrame, lists: DataFrame | None, least: float) -> tuple[DataFrame, DataFrame]:
+    """What each task found, and the links of each node."""
+    found = keep(_searched(keep(_placed(assigned), "placed"), lists, least), "found")
+    return found, keep(found.groupBy("cid").agg(F.sum("found").alias("found")), "counted")
 
 
 def near_duplicates(embeddings: DataFrame, least: float = 0.9) -> tuple[DataFrame, float]:
-    """vec_id, n_links, component_id, kept of every row of ``embeddings`` (vec_id, embedding); and the measured recall."""
+    """vec_id, n_links, component_id, kept of every row of ``embeddings`` (vec_id, embedding); and the measured recall.
+
+    The recall is at least ``RECALL``; it is 1 where all pairs were compared.
+    """
     v = F.col("embedding").cast("array<float>")
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     rows = rows.withColumn("cid", F.when(_sound(F.col("v")) & F.col("vec_id").isNotNull(), F.xxhash64("v")))
     rows = keep(rows, "vectors")
     nodes = keep(
-        rows.filter("cid IS NOT NULL").groupBy("cid", "v").agg(F.count("*").alias("many"), F.min("vec_id").alias("first")), "nodes"
+        rows.filter("cid IS NOT NULL").groupBy("cid", "v").agg(
+            F.count("*").alias("many"), F.min("vec_id").alias("first"), F.max(F.col("vec_id") % AUDIT == 0).alias("audited")
+        ),
+        "nodes",
     )
     n = nodes.count()
     recall = 1.0
@@ -353,13 +415,17 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.9) -> tuple[DataFram
                 x = unit_rows(sample.take(pa.array(np.flatnonzero(length == d))))
                 c = centroids(x, k)
                 shards[int(d)] = (c, _merged(c))
-            placed = keep(_placed(_assign(nodes, shards, overlap)), "placed")
-            found = keep(_searched(placed, keep(_lists(placed), "graph"), least), "found")
-            counted = keep(found.groupBy("cid").agg(F.sum("found").alias("found")), "counted")
+            assigned = keep(_assign(nodes, shards, overlap), "assigned")
+            lists = keep(_lists(_placed(assigned), least), "graph")
+            found, counted = _counted(_bridged(assigned, lists), lists, least)
             recall = _recall(nodes, counted, least)
-            if recall >= RECALL or overlap >= k:
+            if recall is not None and recall >= RECALL:
                 break
             overlap *= 2
+            if recall is None or overlap * SHARD >= n:
+                found, counted = _counted(_assign(nodes, {}, 1), None, least)
+                recall = 1.0
+                break
         member = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "cid")
         of = nodes.select("cid", "first", "many").join(member, "cid", "left").withColumn("c", F.coalesce("component", "cid"))
         named = of.join(of.groupBy("c").agg(F.min("first").alias("component_id")), "c").join(counted, "cid")

@@ -190,6 +190,29 @@ def test_groups_without_a_medoid_are_found():
     assert true.sum() > 100_000 and (hit & true).sum() == true.sum()
 
 
+@pytest.mark.parametrize("step,least", [(1, 0.9), (50, 0.9)])
+def test_low_or_unmeasured_recall_compares_all_pairs(spark, monkeypatch, step, least):
+    monkeypatch.setattr(vectorgraph, "search", lambda *a: iter(()))  # finds nothing
+    rows = [(k * step + 1, [float(e) for e in v]) for k, v in enumerate(vectors(2, n=150))]
+    links, groups = brute(rows, least)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got, recall = vectorgraph.near_duplicates(frame, least)
+    got = {r["vec_id"]: r for r in got.collect()}
+    assert recall == 1.0 and sum(links) > 1000
+    assert [got[r[0]]["n_links"] for r in rows] == links
+    assert [got[r[0]]["component_id"] for r in rows] == [rows[g][0] for g in groups]
+
+
+def test_groups_over_several_shards_get_their_own(spark):
+    assigned = spark.createDataFrame(
+        [(k, [1.0], 1, h) for k, h in enumerate([[1, 2], [2, 3], [3, 4], [1, 5], [5], [7]])], "cid long, v array<float>, many long, shards array<long>"
+    )
+    lists = spark.createDataFrame([(0, [1]), (1, [0, 2]), (2, [1]), (3, [4]), (4, [3]), (5, [])], "cid long, close array<long>")
+    got = {r["cid"]: r["shards"] for r in vectorgraph._bridged(assigned, lists).collect()}
+    own = got[0][0]
+    assert own < -1 and got == {0: [own, 1, 2], 1: [own, 2, 3], 2: [own, 3, 4], 3: [1, 5], 4: [5], 5: [7]}
+
+
 def test_no_vectors(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vectorgraph.near_duplicates(none)[0].count() == 0
