@@ -6,8 +6,8 @@ shuffles it (Fisher-Yates, seeded by bucket) and writes it at its place in the
 global sequence. Shard ``s`` of ``k`` holds the positions from ``s * n // k`` on,
 so shard counts differ by one at most and a slot is the place within the shard.
 
-Edge cases: a NULL text has size 8 and the CRC of no bytes; records without an
-id are scattered by their text; equal records are shuffled like any others; an
+Edge cases: a NULL text has size 8 and the CRC of no bytes; records are
+scattered by id and text; equal records are shuffled like any others; an
 empty table gives no shards; other columns of the input are not read.
 """
 
@@ -30,7 +30,7 @@ def record_bytes(text):
 
 
 def _scatter(docs: DataFrame, seed: int) -> DataFrame:
-    key = F.xxhash64(F.lit(seed), "doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
+    key = F.xxhash64(F.lit(seed), "doc_id", "text")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", key.alias("h"))
 
 

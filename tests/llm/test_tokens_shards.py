@@ -94,3 +94,11 @@ def test_shards_are_reproducible_and_shuffled(spark):
     assert seen[0] == seen[1]
     first = [i for s, _, i in seen[0] if s == 0]
     assert first != sorted(first)
+
+
+def test_texts_of_one_id_are_scattered(spark):
+    docs = spark.range(300).selectExpr("7L AS doc_id", "concat('text ', id) AS text")
+    assert shards._scatter(docs, 1).select("h").distinct().count() == 300
+    path = shards.write_shards(docs, 3, bucket_bytes=500)
+    got = shards.read_shards(spark, path).collect()
+    assert sorted(r["text"] for r in got) == sorted(f"text {i}" for i in range(300))
