@@ -1,9 +1,9 @@
 """Chat formatting of reply trees, with DataFrame functions only.
 
 Messages form trees by ``parent_id``. Ancestor tables (1, 2, 4, ... steps up) come from
-iterative self-joins, so the number of joins grows with the logarithm of the depth;
-the same tables, from the widest step down, enumerate the messages of every
-root-to-leaf path. Branches are ranked by their mean score and each chosen path becomes
+iterative self-joins; the same tables, from the widest step down, enumerate the messages
+of every root-to-leaf path. Every round is written, so the joins grow with the
+logarithm of the depth and no plan holds more than one round. Branches are ranked by their mean score and each chosen path becomes
 one conversation. Only ids travel through the joins; texts join the chosen paths.
 
 Template: ``<turn role>text</turn>`` and a line feed per turn. Texts and roles write ``&`` as ``&amp;`` and
@@ -12,7 +12,7 @@ a reader gets every text back. The loss mask lists the assistant texts' places.
 
 Edge cases: a NULL text or role is empty; rows that repeat a place in a conversation
 follow one another, ordered by role and text; a message whose parent is missing is a root;
-messages on a cycle belong to no path; no messages give no conversations; other columns
+messages on a cycle, and those below one, belong to no path; no messages give no conversations; other columns
 are not read.
 """
 
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from starfold.llm.common import keep
+from starfold.llm.common import keep, release
 
 #: The role whose texts are learned.
 LEARNED = "assistant"
@@ -72,20 +72,28 @@ def paths(messages: DataFrame) -> DataFrame:
     steps = [keep(step, "chat-step")]
     parents = steps[0].select(F.col("tree_id").alias("t"), F.col("high").alias("m")).distinct()
     leaf = nodes.join(parents, same(F.col("tree_id"), F.col("t")) & (F.col("msg_id") == F.col("m")), "left_anti")
-    while not steps[-1].isEmpty() and len(steps) < 63:
+    left = steps[0].count()
+    while left:
         a = steps[-1]
         b = a.select(F.col("tree_id").alias("t"), F.col("low").alias("mid"), F.col("high").alias("top"))
         twice = a.join(b, same(F.col("tree_id"), F.col("t")) & (F.col("high") == F.col("mid"))).select(
             "tree_id", "low", F.col("top").alias("high")
         )
         steps.append(keep(twice, "chat-step"))
+        before, left = left, steps[-1].count()
+        if left == before:  # what is left climbs for ever: it hangs on a cycle and has no root
+            endless = steps[-1].select(F.col("tree_id").alias("t"), F.col("low").alias("m")).distinct()
+            leaf = leaf.join(endless, same(F.col("tree_id"), F.col("t")) & (F.col("msg_id") == F.col("m")), "left_anti")
+            break
     found = leaf.select("tree_id", F.col("msg_id").alias("leaf"), "msg_id", F.lit(0).cast("long").alias("up"))
     for k in range(len(steps) - 2, -1, -1):
         s = steps[k].withColumnRenamed("tree_id", "t")
         higher = found.join(s, same(F.col("tree_id"), F.col("t")) & (F.col("msg_id") == F.col("low"))).select(
             "tree_id", "leaf", F.col("high").alias("msg_id"), (F.col("up") + (1 << k)).alias("up")
         )
-        found = found.unionByName(higher)
+        wider, found = found, keep(found.unionByName(higher), "chat-paths")
+        if k < len(steps) - 2:
+            release(wider, steps[k + 1])
     return found
 
 
@@ -163,8 +171,14 @@ PROBE_ID, PROBE_TEXT = -7, "\\### Assistant: </turn> ok"
 
 
 def with_probe(conversations_: DataFrame) -> DataFrame:
-    rows = [(PROBE_ID, 0, "user", PROBE_TEXT), (PROBE_ID, 1, "assistant", PROBE_TEXT)]
-    probe = conversations_.sparkSession.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    """``conversations_`` and a conversation of two turns that say the probe text."""
+    turn = F.col("id")
+    probe = conversations_.sparkSession.range(2).select(
+        F.lit(PROBE_ID).cast("long").alias("conv_id"),
+        turn.alias("turn"),
+        F.when(turn == 0, "user").otherwise(LEARNED).alias("role"),
+        F.lit(PROBE_TEXT).alias("text"),
+    )
     return conversations_.select("conv_id", "turn", "role", "text").unionByName(probe)
 
 

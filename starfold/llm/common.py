@@ -33,7 +33,17 @@ def keep(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> DataFram
     spark = df.sparkSession
     path = work_path(spark, name)
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._kept_at = path
+    return kept
+
+
+def release(*kept: DataFrame) -> None:
+    """Delete tables that ``keep`` wrote, once everything made from them is written."""
+    for df in kept:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df._kept_at)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -115,8 +115,8 @@ def test_conversations_come_back_whole(spark):
 
 
 def test_trees_give_every_path_and_the_best_branches(spark):
-    tree = [  # 1 -> 2 -> (3, 4 -> 5), and a root of its own, 9; 7 and 8 are a cycle; 6 hangs on nothing
-        (1, None, 1.0), (2, 1, 1.0), (3, 2, 5.0), (4, 2, 0.0), (5, 4, 0.0), (9, None, 9.0), (7, 8, 0.0), (8, 7, 0.0), (6, 99, 2.0),
+    tree = [  # 1 -> 2 -> (3, 4 -> 5), and a root of its own, 9; 7 and 8 are a cycle with 10 below; 6 hangs on nothing
+        (1, None, 1.0), (2, 1, 1.0), (3, 2, 5.0), (4, 2, 0.0), (5, 4, 0.0), (9, None, 9.0), (7, 8, 0.0), (8, 7, 0.0), (10, 8, 0.0), (6, 99, 2.0),
     ]
     rows = [(t, m, p, "user" if m % 2 else "assistant", f"m{m}", s) for t in (1, 2) for m, p, s in tree]
     frame = spark.createDataFrame(rows, "tree_id long, msg_id long, parent_id long, role string, text string, score double")
@@ -129,11 +129,24 @@ def test_trees_give_every_path_and_the_best_branches(spark):
     assert [r["leaf"] for r in best] == [9, 3]
 
 
-def test_long_chains_need_few_joins(spark):
-    chain = spark.range(1, 301).selectExpr("7L AS conv_id", "id AS turn", "'assistant' AS role", "cast(id AS string) AS text")
-    got = chat.digest(chat.conversations(keep(chat.chains(chain), "m"))).collect()
-    assert [r["n_turns"] for r in got] == [300]
-    assert got[0]["loss_chars"] == sum(len(str(i)) for i in range(1, 301))
+@pytest.mark.parametrize("turns", [300, 5000])
+def test_long_chains_need_few_joins(spark, turns):
+    chain = spark.range(1, turns + 1).selectExpr("7L AS conv_id", "id AS turn", "'assistant' AS role", "cast(id AS string) AS text")
+    messages = keep(chat.chains(chain), "m")
+    found = chat.paths(messages)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 2
+    assert found.selectExpr("count(*)", "count(DISTINCT msg_id)", "max(up)").first()[:] == (turns, turns, turns - 1)
+    got = chat.digest(chat.conversations(messages)).collect()
+    assert [r["n_turns"] for r in got] == [turns]
+    assert got[0]["loss_chars"] == sum(len(str(i)) for i in range(1, turns + 1))
+
+
+def test_a_very_long_turn_comes_back_whole(spark):
+    said = "<a & b> 🙂 " * 200_000
+    rows = [(1, 0, "user", said), (1, 1, "assistant", said)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    r = chat.digest(chat.conversations(keep(chat.chains(frame), "m"))).first()
+    assert (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) == expected(rows)
 
 
 def test_no_messages(spark):
