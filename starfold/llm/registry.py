@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from starfold.llm import chat, decontaminate, language, mixture, secrets, setjoin, shards, tokens, toxicity, vectorgraph
+from starfold.llm import (
+    chat, decontaminate, language, mixture, secrets, setjoin, shards, tokens, toxicity, vectorgraph, whitening,
+)
 from starfold.llm.common import keep, table
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +85,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents, learned from the labels that are not held out."""
     docs = table(spark, sf_dir, "documents")
     return toxicity.digest(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors whitened, with their first eight components."""
+    return whitening.digest(table(spark, sf_dir, "embeddings"))
