@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from starfold.llm import (
-    chat, decontaminate, language, mixture, secrets, setjoin, shards, tokens, toxicity, vectorgraph, whitening,
+    chat, decontaminate, language, mixture, phrases, secrets, setjoin, shards, tokens, toxicity, vectorgraph, whitening,
 )
 from starfold.llm.common import keep, table
 
@@ -58,6 +58,13 @@ def op7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture.digest(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best collocations of every language."""
+    return phrases.top(phrases.collocations(table(spark, sf_dir, "documents")))
+
+
+SQL |= {"op11_phrases": phrases.SQL}
 SQL |= {"op5_chat": chat.SQL, "op6_decontaminate": decontaminate.SQL, "op7_mixture": mixture.SQL}
 
 
