@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from starfold.llm import (
-    chat, decontaminate, language, mixture, phrases, secrets, setjoin, shards, tokens, toxicity, vectorgraph, whitening,
+    chat, decontaminate, language, mixture, phrases, quality, secrets, setjoin, shards, tokens, toxicity, vectorgraph, whitening,
 )
 from starfold.llm.common import keep, table
 
@@ -98,3 +98,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors whitened, with their first eight components."""
     return whitening.digest(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of all documents, learned from the labels that are not held out."""
+    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
