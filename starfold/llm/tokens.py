@@ -8,11 +8,13 @@ memory-mapped file gives any sequence and mask without copying.
 
 Edge cases: a NULL or empty text is the end id alone; rows that repeat an id
 stand next to each other, ordered by a hash of their texts; a NULL id comes
-first; an empty table gives no rows; other columns of the input are not read.
+first; an empty table gives no rows; a special token's string in a text is that token, as the
+library has it by default; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -26,15 +28,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from starfold.llm.common import keep, partitions, small_batches, work_path
+from starfold.llm.spans import PAD, hash_spans
 
 SEQUENCE, BATCH_SEQUENCES, END_ID = 1024, 256, 0
-#: Pieces of text kept with their ids by one worker; further pieces are encoded anew.
-CACHE_PIECES, PIECE_CHARS = 600_000, 48
+#: Pieces of text kept with their ids by one worker (further ones are encoded anew each time), and those it gathers before it sorts them in.
+CACHE_PIECES, RECENT_PIECES = 2_000_000, 200_000
+#: Bytes of new pieces that the library is given in one string.
+JOINED_BYTES = 8_192
 
-#: White space other than these four, or odd to one of the libraries: such texts are encoded in one piece.
-_ODD_SPACE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -​    　]")
-#: Cuts where the vocabulary's own pre-tokenizer cuts too: a word takes the one blank before it.
-_PIECE = re.compile(r" ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[0x20, 9, 10, 13]] = True
+#: Bytes that end no white space, in whatever character: a blank behind them begins a piece.
+_SOLID = ~_BLANK
+_SOLID[:32] = False
+_SOLID[[*range(0x80, 0x90), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = False
 
 
 def default_tokenizer() -> str:
@@ -43,8 +50,47 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _cuts_at_blanks(library) -> bool:
+    """Whether the tokenizer keeps all bytes and never joins a blank to what stands before it."""
+    made = json.loads(library.to_str())
+    split = made.get("pre_tokenizer") or {}
+    plain = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not made.get("normalizer")
+    added = made.get("added_tokens") or []
+    odd = any(t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"]) for t in added)
+    return bool(plain and not odd and made["model"]["type"] == "BPE")
+
+
+class _Known:
+    """Pieces with the places of their ids in the store, sorted by hash."""
+
+    def __init__(self):
+        self.key = self.check = np.zeros(0, np.uint64)
+        self.at = self.size = np.zeros(0, np.int64)
+
+    def find(self, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each is known, place and number of its ids."""
+        if not len(self.key):
+            none = np.zeros(len(key), np.int64)
+            return none > 0, none, none
+        i = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
+        return (self.key[i] == key) & (self.check[i] == check), self.at[i], self.size[i]
+
+    def add(self, key: np.ndarray, check: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
+        key = np.concatenate([self.key, key])
+        order = np.argsort(key, kind="stable")
+        self.key = key[order]
+        self.check, self.at, self.size = (
+            np.concatenate(both)[order] for both in ((self.check, check), (self.at, at), (self.size, size))
+        )
+
+
 class Encoder:
-    """Encodes texts with the tokenizers library, each distinct piece once per worker."""
+    """Encodes texts with the tokenizers library, each distinct piece once per worker.
+
+    Texts are cut before blanks; pieces are known by two hashes of 64 bits each. New pieces that
+    begin with a blank and end without go to the library in one string; the lengths of the
+    tokens, which keep every byte, tell where each piece ends.
+    """
 
     _made: dict[str, Encoder] = {}
 
@@ -53,9 +99,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.known: dict[str, bytes] = {}
+        self.cuts = _cuts_at_blanks(self.library)
+        if self.cuts:
+            vocabulary = self.library.get_vocab(with_added_tokens=True)
+            added = {t.content for t in self.library.get_added_tokens_decoder().values()}
+            self.width = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
+            for token, i in vocabulary.items():  # one letter stands for each byte
+                self.width[i] = len(token.encode()) if token in added else len(token)
+        self.known, self.recent = _Known(), _Known()
+        #: ids of all known pieces; the first is the end id
+        self.store, self.filled = np.full(1 << 16, END_ID, dtype=self.dtype), 1
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -63,25 +117,92 @@ class Encoder:
             cls._made[path] = cls(path)
         return cls._made[path]
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
+    def _library(self, strings: list[str]) -> list[np.ndarray]:
         run = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in run(pieces, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [[t] if _ODD_SPACE.search(t) else _PIECE.findall(t) for t in texts]
-        known, extra = self.known, {}
-        new = {p for pieces in cut for p in pieces if p not in known}
-        if new:
-            fresh = sorted(new)
-            for piece, ids in zip(fresh, self._encode(fresh)):
-                if len(piece) <= PIECE_CHARS and len(known) < CACHE_PIECES:
-                    known[piece] = ids
-                else:
-                    extra[piece] = ids
-        if extra:
-            return [b"".join([known.get(p) or extra[p] for p in pieces]) for pieces in cut]
-        get = known.__getitem__
-        return [b"".join(map(get, pieces)) for pieces in cut]
+        return [np.array(e.ids, dtype=self.dtype) for e in run(strings, add_special_tokens=False)]
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, the end id behind each, and the number of ids of each (with the end id)."""
+        found = self._by_pieces(texts) if self.cuts else None
+        if found is not None:
+            return found
+        ids = self._library([t.decode() for t in texts])
+        end = np.array([END_ID], dtype=self.dtype)
+        return np.concatenate([x for i in ids for x in (i, end)]), np.array([len(i) + 1 for i in ids], dtype=np.int64)
+
+    def _by_pieces(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray] | None:
+        data = np.frombuffer(b"".join([*texts, bytes(PAD)]), dtype=np.uint8)
+        length = np.array([len(t) for t in texts], dtype=np.int64)
+        bound = np.cumsum(length)
+        solid, blank = _SOLID[data], _BLANK[data]
+        solid[1:] |= (data[1:] >= 0x80) & (data[:-1] == 0xC3)  # an accented Latin letter
+        begins = np.append(False, blank[1:] & solid[:-1])
+        begins[(bound - length)[length > 0]] = True
+        begins[len(data) - PAD :] = False
+        start = np.flatnonzero(begins)
+        end = np.append(start[1:], len(data) - PAD)[: len(start)]
+        key, check = (hash_spans(data, start, end, np.uint64(s)) for s in (1, 2))
+        one, first, which = np.unique(key, return_index=True, return_inverse=True)
+        other = check[first]
+        if (other[which] != check).any():
+            return None  # two pieces of one hash
+        hit, at, size = self.known.find(one, other)
+        hit2, at2, size2 = self.recent.find(one, other)
+        at, size = np.where(hit2, at2, at), np.where(hit2, size2, size)
+        new = np.flatnonzero(~(hit | hit2))
+        before = self.filled
+        if len(new):
+            a, b = start[first[new]], end[first[new]]
+            at[new], size[new] = self._encode_new([data[x:y].tobytes() for x, y in zip(a.tolist(), b.tolist())], blank[a] & solid[b - 1])
+        # the pieces of all texts in order, with the end id behind each text
+        n_pieces = np.searchsorted(start, bound) - np.searchsorted(start, bound - length)
+        place = np.arange(len(start)) + np.repeat(np.arange(len(texts)), n_pieces)
+        from_, count = np.zeros(len(start) + len(texts), np.int64), np.ones(len(start) + len(texts), np.int64)
+        from_[place], count[place] = at[which], size[which]
+        stop = np.cumsum(count)
+        run = self.store[np.repeat(from_ - (stop - count), count) + np.arange(stop[-1] if len(stop) else 0)]
+        ends = np.cumsum(n_pieces + 1) - 1
+        sizes = np.diff(stop[ends], prepend=0)
+        if len(new):
+            if len(self.known.key) + len(self.recent.key) + len(new) <= CACHE_PIECES:
+                self.recent.add(one[new], other[new], at[new], size[new])
+                if len(self.recent.key) > RECENT_PIECES:
+                    self.known.add(self.recent.key, self.recent.check, self.recent.at, self.recent.size)
+                    self.recent = _Known()
+            else:
+                self.filled = before
+        return run, sizes
+
+    def _encode_new(self, pieces: list[bytes], joins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Put the ids of ``pieces`` into the store; place and number of each."""
+        length = np.array([len(p) for p in pieces], dtype=np.int64)
+        at, size = np.zeros(len(pieces), np.int64), np.zeros(len(pieces), np.int64)
+        joined, single = np.flatnonzero(joins), np.flatnonzero(~joins)
+        stop = np.cumsum(length[joined])
+        if len(joined):
+            cut = np.append(np.flatnonzero(np.diff(stop // JOINED_BYTES)) + 1, len(joined)).tolist()
+            strings = [b"".join([pieces[i] for i in joined[a:b].tolist()]).decode() for a, b in zip([0, *cut], cut)]
+            ids = np.concatenate(self._library(strings))
+            bytes_ = np.cumsum(self.width[ids])
+            last = np.minimum(np.searchsorted(bytes_, stop), len(bytes_) - 1)
+            if len(bytes_) and bytes_[-1] == stop[-1] and (bytes_[last] == stop).all():
+                base = self._put(ids)
+                size[joined] = np.diff(last, prepend=-1)
+                at[joined] = base + last + 1 - size[joined]
+            else:
+                single = np.arange(len(pieces))
+        ids = self._library([pieces[i].decode() for i in single.tolist()])
+        if ids:
+            size[single] = [len(i) for i in ids]
+            at[single] = self._put(np.concatenate(ids)) + np.cumsum(size[single]) - size[single]
+        return at, size
+
+    def _put(self, ids: np.ndarray) -> int:
+        base, self.filled = self.filled, self.filled + len(ids)
+        if self.filled > len(self.store):
+            self.store = np.concatenate([self.store, np.zeros(max(self.filled, len(self.store)), dtype=self.dtype)])
+        self.store[base : self.filled] = ids
+        return base
 
 
 def _open(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -101,17 +222,17 @@ class _RunWriter:
     def __init__(self, sink, dtype: np.dtype):
         self.dtype, self.kind = dtype, pa.from_numpy_dtype(dtype)
         self.out = pa.ipc.new_stream(sink, _schema(self.kind))
-        self.held: list[bytes] = []
-        self.size, self.full = 0, BATCH_SEQUENCES * SEQUENCE * dtype.itemsize
+        self.held: list[np.ndarray] = []
+        self.size, self.full = 0, BATCH_SEQUENCES * SEQUENCE
 
-    def add(self, ids: bytes) -> None:
+    def add(self, ids: np.ndarray) -> None:
         self.held.append(ids)
         self.size += len(ids)
         if self.size >= self.full:
             self._write(last=False)
 
     def _write(self, last: bool) -> None:
-        run = np.frombuffer(b"".join(self.held), dtype=self.dtype)
+        run = np.concatenate(self.held) if self.held else np.zeros(0, dtype=self.dtype)
         per = BATCH_SEQUENCES * SEQUENCE
         cut = len(run) if last else len(run) // per * per
         for at in range(0, cut, per):
@@ -127,8 +248,8 @@ class _RunWriter:
                 ],
                 schema=_schema(self.kind),
             ))
-        rest = run[cut:].tobytes()
-        self.held, self.size = ([rest] if rest else []), len(rest)
+        rest = run[cut:].copy()
+        self.held, self.size = ([rest] if len(rest) else []), len(rest)
 
     def close(self) -> None:
         self._write(last=True)
@@ -148,7 +269,6 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(tokenizer or default_tokenizer())
-        end = np.array([END_ID], dtype=encoder.dtype).tobytes()
         task = TaskContext.get()
         part, try_ = task.partitionId(), task.taskAttemptId()
         files, folder = _open(root)
@@ -161,15 +281,13 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
                 files.create_dir(folder, recursive=True)
                 sinks = [files.open_output_stream(f"{name}.{try_}") for name in names]
                 writer, places = _RunWriter(sinks[0], encoder.dtype), pa.ipc.new_stream(sinks[1], _PLACES)
-            coded = encoder.encode([t or "" for t in batch.column("text").to_pylist()])
-            sizes = np.array([len(c) // encoder.dtype.itemsize + 1 for c in coded], dtype=np.int64)
-            for ids in coded:
-                writer.add(ids + end)
+            ids, sizes = encoder.encode([t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()])
+            writer.add(ids)
             starts = at + np.cumsum(sizes) - sizes
             places.write_batch(pa.record_batch(
                 [batch.column("doc_id"), pa.array(starts), pa.array(sizes)], schema=_PLACES
             ))
-            at, n_docs = at + int(sizes.sum()), n_docs + len(coded)
+            at, n_docs = at + int(sizes.sum()), n_docs + batch.num_rows
         if writer is not None:
             writer.close()
             places.close()

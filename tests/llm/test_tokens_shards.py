@@ -1,5 +1,6 @@
 """Token files against the library itself, shards against their law."""
 
+import random
 import zlib
 
 import numpy as np
@@ -23,7 +24,6 @@ def test_ids_are_those_of_the_library(spark, docs, monkeypatch):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(tokens.default_tokenizer())
-    library.encode_special_tokens = True
     parts = tokens.write_tokens(docs)
     got = tokens.read_tokens(spark, parts).collect()
     assert len(got) == docs.count()
@@ -49,11 +49,44 @@ def test_rows_and_masks_are_views(spark, docs):
     assert sum(masks) == part["n_tokens"]
 
 
-def test_pieces_join_to_the_whole(spark):
-    encoder = tokens.Encoder.of(tokens.default_tokenizer())
-    texts = [t or "" for t in TEXTS]
-    assert encoder.encode(texts) == encoder._encode(texts)
-    assert encoder.encode(texts) == encoder._encode(texts)
+def test_pieces_join_to_the_whole():
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokens.default_tokenizer())
+    encoder = tokens.Encoder(tokens.default_tokenizer())
+    assert encoder.cuts
+    dice = random.Random(11)
+    some = ["a", "word", "it's", "don't", " ", "  ", "\n", "\t", "\r\n", "\xa0", "\x85", "\u3000", "\u2003", "\u1680", "\x1c", "\x0b", "<|endoftext|>", "é", "ß", "Àx", "你好", "🙂", "12", "!?", "\x00", "ñ"]
+    for size in (1, 3, 12, 400):
+        texts = ["".join(dice.choice(some) for _ in range(dice.randrange(size + 1))) for _ in range(60)] + TEXTS[:2]
+        for _ in range(2):  # anew and from memory
+            ids, sizes = encoder.encode([t.encode() for t in texts])
+            want = [library.encode(t, add_special_tokens=False).ids + [0] for t in texts]
+            assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == want
+    assert encoder.encode([])[1].tolist() == [] and encoder.encode([b"", b""])[0].tolist() == [0, 0]
+
+
+def test_special_tokens_are_those_of_the_library(spark):
+    docs = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "<|endoftext|>")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in tokens.encode_corpus(docs).collect())
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    assert got == [(1, 0, 5, crc([64, 220, 50256, 275, 0])), (2, 5, 2, crc([50256, 0]))]
+
+
+def test_a_full_memory_and_other_tokenizers_change_no_ids(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    texts = [" ".join(f"w{i * k % 97}x" for i in range(200)) for k in range(1, 6)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        monkeypatch.setattr(tokens, "CACHE_PIECES", 40)
+        monkeypatch.setattr(tokens, "RECENT_PIECES", 10)
+        path = public_tokenizers.path(name)
+        encoder, library = tokens.Encoder(path), Tokenizer.from_file(path)
+        assert encoder.cuts == name.startswith("byte")
+        for t in texts * 2:
+            ids, sizes = encoder.encode([t.encode()])
+            assert ids.tolist() == library.encode(t, add_special_tokens=False).ids + [0] and sizes.tolist() == [len(ids)]
 
 
 def test_runs_cross_record_batches(spark, monkeypatch):
