@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterable
 
@@ -39,11 +40,17 @@ def keep(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> DataFram
 
 
 def release(*kept: DataFrame) -> None:
-    """Delete tables that ``keep`` wrote, once everything made from them is written."""
+    """Delete tables that ``keep`` wrote, once everything made from them is written.
+
+    Collecting garbage in the driver lets Spark delete the shuffles of plans that are gone.
+    """
     for df in kept:
         context = df.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(df._kept_at)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    gc.collect()
+    if kept:
+        context._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starfold.llm.common import keep
+from starfold.llm.common import keep, release
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -31,9 +31,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = keep(large.filter("u <> v").distinct(), "edges")
+        release(e)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = keep(small.filter("u <> v").unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        release(large)
     # stars now: every node but the centres has one edge, to its centre
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()

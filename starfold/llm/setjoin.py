@@ -15,9 +15,10 @@ fills up, more shingles count as shared, which costs rows but changes no result.
 Groups, not pairs, are the result, so that large groups of near copies cost no square of
 rows: while shared prefix shingles promise many pairs, each shingle's documents are
 compared with one of them only (another in each round) and groups found so far are contracted.
-What remains is compared in full: pairs of rows for short lists, and for long lists blocks
-of bounded size, two to a task, in which only documents of different groups meet. No
-link between different groups is left unseen.
+What remains is tested in full: pairs of rows for short lists, and for long lists blocks of
+prefixes of bounded size, two to a task, in which only documents of different groups meet.
+Either way a pair must share as many prefix shingles as it calls for before whole sets are
+fetched, and those of named pairs only. No link between different groups is left unseen.
 
 Shingles and sets are 64-bit hashes; among ``n`` sets two different ones collide with probability
 below ``n * n / 2**65``.
@@ -39,8 +40,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from starfold.llm.common import keep, small_batches
+from starfold.llm.common import keep, release, small_batches
 from starfold.llm.graph import components
 
 #: Counters of the frequency sketch; deviations above the mean counter from which a frequency stands out.
@@ -50,9 +52,9 @@ LEAST_CELLS, MOST_CELLS, BYTES_A_CELL, PIECE = 1 << 20, 1 << 29, 8, 1 << 20
 #: Shingles a task holds before it hands on their cells.
 HELD = 4_000_000
 #: Longest ``l``; cost of verifying a candidate in rows of a prefix list.
-MOST_SHARED, VERIFY_COST = 4, 8.0
-#: Lists up to this length are compared as pairs of rows; longer ones in blocks of this many bytes.
-SHORT_LIST, BLOCK_BYTES = 24, 12 << 20
+MOST_SHARED, VERIFY_COST = 16, 8.0
+#: Lists up to this length are tested as pairs of rows; longer ones in blocks of so many rows and bytes at most.
+SHORT_LIST, BLOCK_ROWS, BLOCK_BYTES = 24, 8_192, 12 << 20
 #: Rounds with one centre per list, at most; they end when the lists promise few pairs, or when a
 #: round closes fewer than this share of the open rows.
 ROUNDS, LEAST_GAIN = 6, 0.1
@@ -237,14 +239,16 @@ def describe(docs: DataFrame, size: int) -> tuple[DataFrame, Order]:
                 counts += np.frombuffer(zlib.decompress(raw), dtype=np.int32)
         yield pa.RecordBatch.from_pydict({"once": pa.array([zlib.compress(counts.tobytes(), 1)], pa.binary())})
 
+    rows = keep(both.filter("piece IS NULL").select("doc_id", "n_shingles", "sid"), "set-names")
     counts = np.zeros(SKETCH, dtype=np.int64)
     for r in both.filter("piece = -1").select("once").repartition(16).mapInArrow(add, "once binary").collect():
         counts += np.frombuffer(zlib.decompress(r["once"]), dtype=np.int64)
-    return both.filter("piece IS NULL").select("doc_id", "n_shingles", "sid"), Order(counts, shared)
+    release(both)
+    return rows, Order(counts, shared)
 
 
 def prefix_rows(docs: DataFrame, size: int, limit: Threshold, order: Order) -> DataFrame:
-    """token, sid, nl (``n * 8 + l``) for every prefix shingle that different sets share."""
+    """token, sid, n for every prefix shingle that different sets share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()
@@ -258,19 +262,21 @@ def prefix_rows(docs: DataFrame, size: int, limit: Threshold, order: Order) -> D
                 if sid in done:
                     continue
                 done.add(sid)
-                first, shared = order.prefix(s, limit)
+                first, _ = order.prefix(s, limit)
                 tokens.append(first)
                 sids.append(np.full(len(first), sid, dtype=np.int64))
-                sizes.append(np.full(len(first), len(s) * 8 + shared, dtype=np.int64))
+                sizes.append(np.full(len(first), len(s), dtype=np.int64))
             if tokens:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(sids)), pa.array(np.concatenate(sizes))],
-                    names=["token", "sid", "nl"],
+                    names=["token", "sid", "n"],
                 )
 
-    every = keep(docs.select("text").mapInArrow(run, "token long, sid long, nl long"), "prefixes")
+    every = keep(docs.select("text").mapInArrow(run, "token long, sid long, n long"), "prefixes")
     shared = every.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo <> hi").select("token")
-    return keep(every.join(shared, "token").distinct(), "shared-prefixes")
+    out = keep(every.join(shared, "token").distinct(), "shared-prefixes")
+    release(every)
+    return out
 
 
 def fetch_sets(docs: DataFrame, wanted: DataFrame, size: int, limit: Threshold, order: Order) -> DataFrame:
@@ -280,12 +286,12 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, size: int, limit: Threshold,
     """
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask: dict[int, int] = {}
+        mask = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
         for batch in batches:
-            at = batch.column("sid").to_numpy().view(np.uint64) & np.uint64(FILTER_BITS - 1)
-            for byte, bit in zip((at >> np.uint64(3)).tolist(), (at & np.uint64(7)).tolist()):
-                mask[byte] = mask.get(byte, 0) | 1 << bit
-        yield pa.RecordBatch.from_pydict({"byte": pa.array(list(mask), pa.int32()), "bits": pa.array(list(mask.values()), pa.int32())})
+            at = batch.column("sid").to_numpy() & (FILTER_BITS - 1)
+            np.bitwise_or.at(mask, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+        byte = np.flatnonzero(mask)
+        yield pa.RecordBatch.from_pydict({"byte": pa.array(byte.astype(np.int32)), "bits": pa.array(mask[byte].astype(np.int32))})
 
     filled = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
     found = wanted.select("sid").mapInArrow(bits, "byte int, bits int").groupBy("byte").agg(F.bit_or("bits").alias("bits")).toArrow()
@@ -316,14 +322,22 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, size: int, limit: Threshold,
     return keep(picked.join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "picked-sets")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
-    """The linked ones of ``pairs`` (a, b).
+def _named(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets that ``pairs`` (written) name; with a list of them that is short enough to broadcast, no other set moves."""
+    ids = keep(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "named-sets")
+    return sets.join(F.broadcast(ids) if ids.count() <= SMALL_LIST else ids, "sid", "left_semi")
 
-    The multi-match test comes first and moves prefixes only; whole sets move for the pairs that pass it.
+
+def verified(pairs: DataFrame, sets: DataFrame, limit: Threshold, matched: bool = False) -> DataFrame:
+    """The linked ones of ``pairs`` (a, b; written).
+
+    The multi-match test comes first (unless ``matched`` says that it has been passed) and moves prefixes
+    only; whole sets move for the pairs that pass it.
     """
 
     def both(rows: DataFrame, *columns: str) -> DataFrame:
-        sides = [sets.select(F.col("sid").alias(k), F.struct(*columns).alias(v)) for k, v in (("a", "x"), ("b", "y"))]
+        some = _named(sets, rows)
+        sides = [some.select(F.col("sid").alias(k), F.struct(*columns).alias(v)) for k, v in (("a", "x"), ("b", "y"))]
         return rows.join(sides[0], "a").join(sides[1], "b").select("a", "b", "x", "y")
 
     def common(p: bytes, q: bytes) -> int:
@@ -348,7 +362,7 @@ def verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
 
         return run
 
-    near = both(pairs, "n", "prefix", "shared").mapInArrow(passing(match), "a long, b long")
+    near = pairs if matched else keep(both(pairs, "n", "prefix", "shared").mapInArrow(passing(match), "a long, b long"), "near-pairs")
     return both(near, "hashes").mapInArrow(passing(link), "a long, b long")
 
 
@@ -357,16 +371,17 @@ def _in_range(limit: Threshold, n, m):
     return (limit.den * F.least(n, m)) >= (limit.num * F.greatest(n, m))
 
 
-def _block_links(rows: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
-    """Links between different groups in long lists: ``rows`` (token, sid, comp, n), in blocks, two to a task.
+def _block_pairs(rows: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
+    """Pairs of different groups in long lists that pass the multi-match test.
 
-    In a task only documents outside the commonest group are compared, each with all that
-    are of another group; links inside what is already joined in the task are not sought.
+    ``rows`` (token, sid, comp, n; written) are dealt into blocks of their list, two blocks to a task, with
+    their prefixes. In a task only documents outside the commonest group look for others.
     """
-    spread = rows.groupBy("token").agg(F.sum(F.col("n") * 8 + 64).alias("bytes"))
-    parts = F.ceil(F.col("bytes") / BLOCK_BYTES).cast("int")
+    spread = keep(rows.groupBy("token").agg(F.count("*").alias("c"), F.sum(F.col("n") * 2 + 64).alias("bytes")), "long-lists")
+    parts = F.greatest(F.ceil(F.col("c") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    per = spread.select("token", parts.alias("parts"))
     placed = (
-        rows.join(spread.select("token", parts.alias("parts")), "token")
+        rows.join(F.broadcast(per) if spread.count() <= SMALL_LIST else per, "token")
         .withColumn("at", F.pmod(F.xxhash64("sid", "token"), F.col("parts")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select(
@@ -375,68 +390,58 @@ def _block_links(rows: DataFrame, sets: DataFrame, limit: Threshold) -> DataFram
     )
 
     def run(key, members):
-        sid = members.column("sid").to_numpy()
-        comp = members.column("comp").to_numpy()
-        at = members.column("at").to_numpy()
-        sets_ = [np.frombuffer(b.as_py(), dtype=np.uint64) for b in members.column("hashes")]
-        sizes = np.array([len(s) for s in sets_])
-        flat, owner = np.concatenate(sets_), np.repeat(np.arange(len(sets_)), sizes)
+        sid, comp, at, n, l = (members.column(c).to_numpy() for c in ("sid", "comp", "at", "n", "shared"))
+        prefixes = [np.frombuffer(b.as_py(), dtype=np.uint64) for b in members.column("prefix")]
+        flat, owner = np.concatenate(prefixes), np.repeat(np.arange(len(prefixes)), [len(p) for p in prefixes])
         order = np.argsort(flat, kind="stable")
         flat, owner = flat[order], owner[order]
-        top = {c: k for k, c in enumerate(np.unique(comp))}
-        group = np.array([top[c] for c in comp])
-        common = np.bincount(group).argmax()
-        up = list(range(len(top)))
-
-        def root(k: int) -> int:
-            while up[k] != k:
-                up[k] = up[up[k]]
-                k = up[k]
-            return k
-
+        _, group = np.unique(comp, return_inverse=True)
+        slack = l - -(-limit.num * n // limit.den)
         across = key[1].as_py() != key[2].as_py()
-        out = []
-        for x in np.flatnonzero(group != common):
-            lo = np.searchsorted(flat, sets_[x], side="left")
-            hi = np.searchsorted(flat, sets_[x], side="right")
-            wide = hi - lo
+        a, b = [], []
+        for x in np.flatnonzero(group != np.bincount(group).argmax()):
+            lo = np.searchsorted(flat, prefixes[x], side="left")
+            wide = np.searchsorted(flat, prefixes[x], side="right") - lo
             places = np.repeat(lo - np.concatenate([[0], np.cumsum(wide)[:-1]]), wide) + np.arange(wide.sum())
-            shared = np.bincount(owner[places], minlength=len(sets_))
-            ok = limit.linked(shared, sizes[x], sizes) & (group != group[x])
+            shared = np.bincount(owner[places], minlength=len(prefixes))
+            need = -(-limit.num * (n[x] + n) // (limit.num + limit.den))
+            ok = (shared >= np.maximum(need + np.minimum(slack[x], slack), 1)) & (group != group[x])
+            ok &= limit.den * np.minimum(n[x], n) >= limit.num * np.maximum(n[x], n)
             if across:
                 ok &= at != at[x]
-            for y in np.flatnonzero(ok):
-                a, b = root(group[x]), root(group[y])
-                if a != b:
-                    up[a] = b
-                    out.append((int(sid[x]), int(sid[y])))
-        return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
+            y = np.flatnonzero(ok)
+            a.append(np.minimum(sid[x], sid[y]))
+            b.append(np.maximum(sid[x], sid[y]))
+        none = [np.zeros(0, np.int64)]
+        return pa.table({"a": pa.array(np.concatenate(a or none)), "b": pa.array(np.concatenate(b or none))})
 
-    return placed.join(sets.select("sid", "hashes"), "sid").groupBy("token", "i", "j").applyInArrow(run, "a long, b long")
+    with_prefix = placed.join(sets.select("sid", "n", "shared", "prefix"), "sid")
+    return with_prefix.groupBy("token", "i", "j").applyInArrow(run, "a long, b long").distinct()
 
 
-def groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
+def memberships(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """doc_id, n_shingles, sid (name of the set, NULL if it is empty), component (a set of its group) of every row."""
     limit = Threshold(num, den)
     rows, order = describe(docs, size)
-    lists = prefix_rows(docs, size, limit, order).select(
-        "token", "sid", F.shiftright("nl", 3).alias("n")
-    )
+    lists = prefix_rows(docs, size, limit, order)
     wanted = keep(lists.select("sid").distinct(), "wanted-sets")
-    links = None
+    member = None
     if not wanted.isEmpty():
-        links = _links(lists, fetch_sets(docs, wanted, size, limit, order), limit)
-    by_set = rows.filter("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("first"))
-    if links is not None and not links.isEmpty():
+        sets = fetch_sets(docs, wanted, size, limit, order)
+        links = _links(lists, sets, limit)
         member = components(links).withColumnRenamed("node", "sid")
-        of = by_set.join(member, "sid", "left").withColumn("c", F.coalesce("component", "sid"))
-        least = of.groupBy("c").agg(F.min("first").alias("component_id"))
-        named = of.join(least, "c").select("sid", "component_id")
-    else:
-        named = by_set.withColumnRenamed("first", "component_id")
-    out = rows.join(named, "sid", "left")
-    return out.select(
+        release(sets)
+    release(lists, wanted)
+    if member is None:
+        return rows.withColumn("component", F.col("sid"))
+    return rows.join(member, "sid", "left").select("doc_id", "n_shingles", "sid", F.coalesce("component", "sid").alias("component"))
+
+
+def groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row of ``docs`` (doc_id, text)."""
+    rows = keep(memberships(docs, size, num, den), "memberships")
+    named = rows.filter("sid IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return rows.join(named, "component", "left").select(
         "doc_id", "n_shingles", F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
 
@@ -457,6 +462,9 @@ def _links(lists: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
             F.sum("c").alias("all"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")
         ).filter("pairs > 0")
         now = keep(now.join(left, "token"), "open-lists")
+        if turn:
+            release(held)
+        held = now
         promised = now.groupBy("token").agg(F.first("pairs").alias("p")).agg(F.sum("p")).first()[0] or 0
         before, open_rows = open_rows, now.count()
         if promised <= 2 * n_rows or turn == ROUNDS or turn and open_rows > (1 - LEAST_GAIN) * before:
@@ -479,25 +487,53 @@ def _links(lists: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
     pairs = a.join(b, "token").filter(
         (F.col("a") < F.col("b")) & (F.col("ka") != F.col("kb")) & _in_range(limit, F.col("na"), F.col("nb"))
     ).select("a", "b").distinct()
-    rest = verified(pairs.join(tried, ["a", "b"], "left_anti"), sets, limit)
-    return keep(links.unionByName(rest).unionByName(_block_links(long_.select("token", "sid", "comp", "n"), sets, limit)), "links")
+    fresh = keep(pairs.join(tried, ["a", "b"], "left_anti"), "short-pairs")
+    blocks = keep(_block_pairs(long_.select("token", "sid", "comp", "n"), sets, limit).join(tried, ["a", "b"], "left_anti"), "block-pairs")
+    rest = verified(fresh, sets, limit).unionByName(verified(blocks, sets, limit, matched=True))
+    return keep(links.unionByName(rest).distinct(), "links")
 
 
 def keep_first(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10) -> DataFrame:
-    """``docs`` without the documents of a group that have not its smallest doc_id; same columns.
+    """``docs`` without the documents of a group other than its first; same columns.
 
-    Rows that repeat a doc_id are one document, of which one row stays; rows without id all stay.
+    The first of a group is the one with the smallest doc_id (of several with that id, the one whose set
+    has the smallest name). Rows without words stay, as do rows without id; of rows with the same id and the
+    same set one stays (the one whose text hashes lowest). Texts that share an id but no group all stay.
     """
-    found = groups(docs, size, num, den).filter("doc_id IS NOT NULL")
+    known = memberships(docs, size, num, den).filter("doc_id IS NOT NULL")
+    first = known.filter("sid IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "sid")).alias("first"))
+    judged = known.join(first, "component", "left").select(
+        "doc_id", "sid", (F.col("sid").isNull() | (F.struct("doc_id", "sid") == F.col("first"))).alias("stays")
+    )
     per = keep(
-        found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first"), F.count("*").alias("rows")),
-        "decided",
+        judged.groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("stays").alias("all_stay"), F.max("stays").alias("some_stay")), "decided"
     )
-    drop = per.filter("NOT first").select(F.col("doc_id").alias("_drop"))
-    if drop.count() <= SMALL_LIST:
-        drop = F.broadcast(drop)
-    out = docs.join(drop, F.col("doc_id") == F.col("_drop"), "left_anti")
-    if per.filter("rows > 1").isEmpty():
-        return out
-    some = out.filter("doc_id IS NULL")
-    return out.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(some)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    once = per.filter("rows = 1 AND NOT all_stay").select(F.col("doc_id").alias("id"))
+    many = per.filter("rows > 1").select(F.col("doc_id").alias("id"))
+    n_once, n_many = per.agg(F.count_if((F.col("rows") == 1) & ~F.col("all_stay")), F.count_if(F.col("rows") > 1)).first()
+    small = lambda ids, n: F.broadcast(ids) if n <= SMALL_LIST else ids
+    id_ = F.col("row")["doc_id"].cast("long")
+    out = whole.join(small(once, n_once), id_ == F.col("id"), "left_anti")
+    if n_many:
+        own = keep(judged.join(small(many, n_many), F.col("doc_id") == F.col("id"), "left_semi").filter("stays").distinct(), "repeated-ids")
+        again = _with_set_id(whole.join(small(many, n_many), id_ == F.col("id"), "left_semi"), size)
+        kept = again.join(own, (id_ == F.col("doc_id")) & F.col("set").eqNullSafe(F.col("sid")), "left_semi")
+        best = F.struct(F.xxhash64(F.col("row")["text"]).alias("h"), F.col("row")["text"].alias("t"))
+        kept = kept.groupBy(id_.alias("id"), "set").agg(F.min_by("row", best).alias("row")).select("row")
+        out = out.join(small(many, n_many), id_ == F.col("id"), "left_anti").unionByName(kept)
+    return out.select("row.*")
+
+
+def _with_set_id(rows: DataFrame, size: int) -> DataFrame:
+    """``rows`` (row: struct with text) with the name of each text's set."""
+    texts = rows.withColumn("text", F.col("row")["text"])
+    schema = T.StructType([*texts.schema.fields, T.StructField("set", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, size) for t in batch.column("text").to_pylist()]
+            names = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, names], names=["row", "text", "set"])
+
+    return texts.mapInArrow(run, schema).drop("text")

@@ -59,8 +59,8 @@ def plain_sets(texts, size):
 @pytest.mark.parametrize("size,num,den,settings", [
     (3, 90, 100, {}),
     (5, 8, 10, {}),
-    (3, 6, 10, {"SHORT_LIST": 1, "ROUNDS": 0, "BLOCK_BYTES": 4000}),
-    (2, 7, 10, {"SHORT_LIST": 3, "ROUNDS": 2, "BLOCK_BYTES": 9000}),
+    (3, 6, 10, {"SHORT_LIST": 1, "ROUNDS": 0, "BLOCK_BYTES": 900}),
+    (2, 7, 10, {"SHORT_LIST": 3, "ROUNDS": 2, "BLOCK_ROWS": 7}),
     (3, 90, 100, {"MOST_SHARED": 1}),
 ])
 def test_groups_are_those_of_all_pairs(spark, monkeypatch, size, num, den, settings):
