@@ -3,27 +3,29 @@
 The items' words build one automaton. A document streams its words through it; the
 state gives the longest match that ends at each word. A match of ``window`` words or
 more hits its words; an item of fewer words is hit where it occurs whole. Items are
-cut into blocks of bounded size, one automaton each; with several blocks, documents
-pass over one block after the other.
+dealt into blocks of bounded size, one automaton each. With several blocks, each is a pass of
+its own over the texts, whose few hits are written; they are united by text (two hashes of 64
+bits and the length), so a worker holds one automaton at a time.
 
 Edge cases: a NULL or empty text has no words and no hits; an item without words (or
 NULL) is no window; an item without an id hits words but is not listed; items that
 share an id count once; without items nothing is hit; repeated documents are treated
-alike; other columns are kept and may have any name.
+alike; other columns are kept, as one struct, and may have any name.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starfold.llm.common import small_batches
+from starfold.llm.common import keep, small_batches
 
 WINDOW = 10
 #: Words of the items in one automaton (about twice as many states, some 150 MB at this bound).
@@ -35,13 +37,8 @@ _FOLD = bytes(
 )
 _WORD = re.compile(rb"[^ ]+")
 
-_SPAN = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))
-#: Columns the scan adds.
-ADDED = T.StructType([
-    T.StructField("_dc_words", T.LongType()),
-    T.StructField("_dc_spans", _SPAN),
-    T.StructField("_dc_items", T.ArrayType(T.StringType())),
-])
+_SPAN = "array<struct<first:bigint,last:bigint>>"
+_SPAN_TYPE = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -174,70 +171,97 @@ def _merged(marks: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str | None, list[bytes]]]]:
-    """The items in blocks of at most ``BLOCK_WORDS`` words (or one longer item), one at a time on the driver."""
-    block: list[tuple[str | None, list[bytes]]] = []
-    n = 0
-    for row in benchmark.select(F.col("item_id").cast("string").alias("i"), "text").toLocalIterator():
-        words = words_of(row["text"])
-        if not words:
-            continue
-        if block and n + len(words) > BLOCK_WORDS:
-            yield block
-            block, n = [], 0
-        block.append((row["i"], words))
-        n += len(words)
-    yield block
+def _blocks(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """The items (item, text, block) with words, dealt into blocks of about ``BLOCK_WORDS`` words, and the number of blocks."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = pa.array([len(words_of(t)) for t in batch.column("text").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, n], names=["item", "text", "n"])
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
+    counted = keep(items.mapInArrow(count, "item string, text string, n long").filter("n > 0"), "benchmark-items")
+    number = max(1, math.ceil((counted.agg(F.sum("n")).first()[0] or 0) / BLOCK_WORDS))
+    block = F.pmod(F.xxhash64("item", "text"), F.lit(number)).cast("int").alias("block")
+    return counted.select("item", "text", block), number
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, text: str = "text") -> DataFrame:
-    """``docs`` with the columns of ``ADDED``: number of words, hit spans (in words), ids of the items that occur."""
+    """row (a struct of the columns of ``docs``), n_words, spans (hit words, merged), items (ids that occur) of every row."""
     small_batches(docs.sparkSession)
-    out = docs
-    for number, block in enumerate(_blocks(benchmark)):
-        out = _pass(out, block, window, text, again=number > 0)
-    return out
+    items, blocks = _blocks(benchmark)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text}`").alias("text"))
+    if blocks == 1:
+        return _pass(rows, items, window).drop("text")
+    key = [F.xxhash64("text").alias("k1"), F.xxhash64("text", F.lit(6)).alias("k2"), F.length("text").alias("k3")]
+    texts = rows.select("text", *key)
+    found = []
+    for number in range(blocks):
+        hit = _pass(texts, items.filter(F.col("block") == number), window).filter(F.size("spans") > 0)
+        found.append(keep(hit.select("k1", "k2", "k3", "spans", "items").dropDuplicates(["k1", "k2", "k3"]), "benchmark-hits"))
+    all_ = found[0]
+    for more in found[1:]:
+        all_ = all_.unionByName(more)
+    united = all_.groupBy("k1", "k2", "k3").agg(
+        F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    )
+    joined = rows.select("row", "text", *key).join(united, ["k1", "k2", "k3"], "left")
+    return _counted(joined.select("row", "text", "spans", "items")).drop("text")
 
 
-def _pass(docs: DataFrame, block: list, window: int, text: str, again: bool) -> DataFrame:
-    columns = docs.columns
-    schema = docs.schema if again else T.StructType(docs.schema.fields + ADDED.fields)
-    at = columns.index(text)
+def _with_words(docs: DataFrame, added: Callable[[list[list[bytes]], pa.RecordBatch], tuple[list, list]]) -> DataFrame:
+    """``docs`` with n_words, and with the spans and items that ``added`` gives for the words of the texts of a batch."""
+    base = [f for f in docs.schema.fields if f.name not in ("spans", "items")]
+    schema = T.StructType([*base, *T._parse_datatype_string(f"n_words long, spans {_SPAN}, items array<string>").fields])
 
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Automaton.of(block, window)
-        types = [pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])), pa.list_(pa.string())]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = len(columns) - 3 * again
-            before = [batch.column(n + k).to_pylist() for k in (1, 2)] if again else None
-            added: tuple[list, list, list] = ([], [], [])
-            for k, value in enumerate(batch.column(at).to_pylist()):
-                words = words_of(value)
-                spans, items = automaton.match(words)
-                if before:
-                    spans = _merged(spans + [(s["first"], s["last"]) for s in before[0][k]])
-                    items = items.union(before[1][k])
-                added[0].append(len(words))
-                added[1].append([{"first": a, "last": b} for a, b in spans])
-                added[2].append(sorted(items))
-            arrays = batch.columns[:n] + [pa.array(v, t) for v, t in zip(added, types)]
-            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
+            words = [words_of(t) for t in batch.column("text").to_pylist()]
+            spans, items = added(words, batch)
+            new = [
+                pa.array([len(w) for w in words], pa.int64()),
+                pa.array([[{"first": a, "last": b} for a, b in s] for s in spans], _SPAN_TYPE),
+                pa.array([sorted(i) for i in items], pa.list_(pa.string())),
+            ]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in base), *new], names=[f.name for f in schema.fields])
+
+    return docs.mapInArrow(run, schema)
 
-    return docs.mapInArrow(match, schema)
+
+def _pass(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
+    """``docs`` (with text) scanned for one block of items, which goes through the driver: ``BLOCK_WORDS`` words, or one longer item."""
+    block = sorted(((r["item"], words_of(r["text"])) for r in items.collect()), key=repr)
+
+    def match(words: list[list[bytes]], _: pa.RecordBatch) -> tuple[list, list]:
+        automaton = Automaton.of(block, window)
+        found = [automaton.match(w) for w in words]
+        return [s for s, _ in found], [i for _, i in found]
+
+    return _with_words(docs, match)
+
+
+def _counted(docs: DataFrame) -> DataFrame:
+    """``docs`` (with text, spans, items of all blocks) with merged spans and n_words."""
+
+    def merge(_: list[list[bytes]], batch: pa.RecordBatch) -> tuple[list, list]:
+        spans = [_merged([(p["first"], p["last"]) for p in s or ()]) for s in batch.column("spans").to_pylist()]
+        return spans, [i or () for i in batch.column("items").to_pylist()]
+
+    return _with_words(docs, merge)
 
 
 def n_hit():
     """Hit words of a scanned document."""
-    return F.aggregate("_dc_spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
 
 
 def digest(scanned: DataFrame) -> DataFrame:
     return scanned.select(
-        "doc_id",
-        F.col("_dc_words").alias("n_words"),
+        F.col("row")["doc_id"].alias("doc_id"),
+        "n_words",
         n_hit().alias("n_hit"),
-        F.size("_dc_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("_dc_items", ","), 256).alias("items_sha256"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (n_hit() > 0).alias("contaminated"),
     )
 
@@ -265,26 +289,23 @@ def decontaminate(
     A document goes if more than ``coverage`` of its words are hit. In those that stay,
     spans of at least ``span_words`` hit words (default: every span) are cut out.
     """
-    names = docs.columns
     scanned = scan(docs, benchmark, window)
-    stays = F.col("_dc_words") * coverage >= n_hit()
-    kept = scanned.filter(stays)
+    kept = scanned.filter(F.col("n_words") * coverage >= n_hit())
     if coverage <= 0:
-        return kept.select(*[F.col(f"`{c}`") for c in names])
-    schema, at = docs.schema, names.index("text")
+        return kept.select("row.*")
+    schema, at = docs.schema, docs.columns.index("text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column(len(names) + 1).to_pylist()
+            arrays = batch.column("row").flatten()
             texts = [
                 without_spans(t, [s for s in own if s["last"] - s["first"] + 1 >= (span_words or 1)]) if own else t
-                for t, own in zip(batch.column(at).to_pylist(), spans)
+                for t, own in zip(arrays[at].to_pylist(), batch.column("spans").to_pylist())
             ]
-            arrays = list(batch.columns[: len(names)])
             arrays[at] = pa.array(texts, arrays[at].type)
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+            yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
 
-    return kept.mapInArrow(cut, schema)
+    return kept.select("row", "spans").mapInArrow(cut, schema)
 
 
 #: The query op6 in SQL.

@@ -44,7 +44,7 @@ def cases():
 def test_hits_are_those_of_a_plain_search(spark, monkeypatch, window, block):
     monkeypatch.setattr(dc, "BLOCK_WORDS", block)
     items, texts = cases()
-    docs = spark.createDataFrame([(i, t, "extra") for i, t in enumerate(texts)], "doc_id long, text string, item_id string")
+    docs = spark.createDataFrame([(i, t, "extra") for i, t in enumerate(texts)], "doc_id long, text string, item_id string").selectExpr("*", "1 AS row", "2 AS spans", "3 AS items", "4 AS n_words", "5 AS k1", "6 AS _dc_words")
     bench = spark.createDataFrame(items, "item_id long, text string").withColumnRenamed("spans", "s")
     got = dc.digest(dc.scan(docs, bench, window)).collect()
     assert len(got) == len(texts)
