@@ -2,7 +2,7 @@
 
 Words get log-odds of toxic against clean documents with a Dirichlet prior (the pooled
 counts, scaled), kept for words whose log-odds are large and stand out from their sampling
-error; all other words cost a constant. Near copies count once. One linear scan finds every maximal-scoring segment of
+error; all other words cost a constant. Copies count once. One linear scan finds every maximal-scoring segment of
 a document. A segment's score has an extreme-value law on clean text, whose two
 parameters come from clean training documents; segments that stand out from it add up,
 and a logistic curve turns the sum into the document's score.
@@ -27,13 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starfold.llm.common import id_hash, keep, small_batches
+from starfold.llm.common import id_hash, keep, small_batches, unused
 from starfold.llm.setjoin import shingles
 
 #: Labelled documents of each class that the model is fitted on, at most.
 SAMPLE = 4_000
-#: Words the model keeps, at most: those whose log-odds stand out most.
-VOCABULARY = 50_000
 #: Weight of the prior as a share of the pooled counts; least documents, standard scores and log-odds of a word.
 PRIOR, LEAST_DOCS, STANDS_OUT, LEAST_ODDS = 0.1, 3, 4.0, 1.0
 #: Score of every other word, and bounds of a word's own.
@@ -115,7 +113,7 @@ def training_ids(known: DataFrame, each: int = SAMPLE) -> DataFrame:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds ``SKETCHES`` least hashes of five-word shingles; near copies agree in most of them."""
+    """Adds ``SKETCHES`` least hashes of five-word shingles; copies, and most of the nearest ones, agree in all of them."""
     seeds = np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
     for batch in batches:
         least = []
@@ -126,16 +124,15 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> Model:
-    """The model of the labelled training documents; the driver holds at most ``VOCABULARY`` words and 2 ``each`` numbers."""
+    """The model of the labelled training documents; the driver holds words that stand out in 2 ``each`` documents, and a number for each of these."""
     small_batches(docs.sparkSession)
     known = keep(training_labels(labels), "toxic-labels")
     share = known.agg(F.avg("toxic")).first()[0] or 0.0
     ids = keep(training_ids(known, each), "toxic-ids")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull())
     rows = texts.join(ids, "doc_id").mapInArrow(_sketch, "doc_id long, text string, toxic int, m array<long>")
-    for k in range(SKETCHES):
-        one = F.min_by(F.struct(*rows.columns), F.struct("doc_id", F.xxhash64("text"))).alias("one")
-        rows = rows.groupBy("toxic", F.col("m")[k].alias("_k")).agg(one).select("one.*")
+    one = F.min_by(F.struct(*rows.columns), F.struct("doc_id", F.xxhash64("text"))).alias("one")
+    rows = rows.groupBy("toxic", "m").agg(one).select("one.*")
     rows = keep(rows, "toxic-sample").select("text", "toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> Model:
         F.sqrt(1 / (F.col("t") + prior) + 1 / (F.col("c") + prior)).alias("error"),
     )
     stands = F.abs(F.col("delta")) / F.col("error")
-    top = scored.filter((stands >= STANDS_OUT) & (F.abs("delta") >= LEAST_ODDS)).orderBy(stands.desc(), "word").limit(VOCABULARY).collect()
+    top = scored.filter((stands >= STANDS_OUT) & (F.abs("delta") >= LEAST_ODDS)).orderBy("word").collect()
     weights = {r["word"]: round(min(HIGH, max(LOW, r["delta"] + OTHER)), 4) for r in top}
     # under the same prior, so that a word unseen in clean text is rare there, not impossible
     clean = {r["word"]: (r["c"] + PRIOR * (r["c"] + r["t"])) / (totals["c"] + PRIOR * n) for r in top}
@@ -234,7 +231,7 @@ def _curve(x: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
 
 
 def add_score(docs: DataFrame, model: Model, text: str = "text", out: str = "_tox_score") -> DataFrame:
-    """``docs`` with the score of the whole text."""
+    """``docs`` with the score of the whole text; ``out`` must be no column of ``docs``."""
     small_batches(docs.sparkSession)
     at = docs.columns.index(text)
     schema = T.StructType(docs.schema.fields + [T.StructField(out, T.DoubleType())])
@@ -260,5 +257,5 @@ def digest(docs: DataFrame, model: Model) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """``docs`` without those whose score is ``least`` or more; same columns."""
-    scored = add_score(docs, fit(docs, labels))
-    return scored.filter(F.col("_tox_score") < least).drop("_tox_score")
+    out = unused(docs, "_tox_score")
+    return add_score(docs, fit(docs, labels), out=out).filter(F.col(out) < least).drop(out)
