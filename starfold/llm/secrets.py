@@ -35,6 +35,8 @@ MARKOV = "markov"
 TOKEN, LEAST = r"[A-Za-z0-9+/_-]{16,}", 16
 #: Documents with a fixed span that give the labelled samples, at most.
 SAMPLES = 2_000
+#: Matches of a text that are placed in one walk.
+SLICE = 256
 #: Weight, in counts, of a character's chance alone against its chance after another.
 BACKING = 8.0
 #: A token is random if its log ratio is at least this much per step, and in total.
@@ -56,17 +58,36 @@ def _found(text, kind: str, pattern: str, group: int, least: int):
                                              x["m"].alias("m")))
     start = F.struct(F.lit(0).alias("at"), _none().alias("out"))
 
+    def span(first, end, body):
+        return F.struct(first.alias("first"), end.alias("end"), F.lit(kind).alias("kind"), body.alias("body"))
+
     def walk(state, s):
         first = state["at"] + s["gap"]
-        span = F.array(F.struct(first.alias("first"), (first + s["n"]).alias("end"), F.lit(kind).alias("kind"), s["j"].alias("body")))
         fits = s["m"].isNotNull() & (F.length(s["j"]) >= least)
         return F.struct(
             (first + F.coalesce(s["n"], F.lit(0))).alias("at"),
-            F.when(fits, F.concat(state["out"], span)).otherwise(state["out"]).alias("out"),
+            F.when(fits, F.concat(state["out"], F.array(span(first, first + s["n"], s["j"])))).otherwise(state["out"]).alias("out"),
         )
 
-    spans = F.aggregate(sizes, start, walk)["out"]
-    return F.when(text.rlike(pattern), spans).otherwise(_none())
+    # Each step of a walk copies the spans so far, so it goes over short slices, which are then moved to their places.
+    def sliced(z):
+        starts = F.sequence(F.lit(1), F.greatest(F.size(z), F.lit(1)), F.lit(SLICE))
+        return F.transform(starts, lambda i: F.aggregate(F.slice(z, i, SLICE), start, walk))
+
+    before = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<int>)").alias("all"))
+
+    def joined(parts):
+        offsets = F.aggregate(
+            parts, before, lambda s, p: F.struct((s["at"] + p["at"]).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all"))
+        )["all"]
+        return F.flatten(F.zip_with(parts, offsets, lambda p, o: F.transform(p["out"], lambda s: span(s["first"] + o, s["end"] + o, s["body"]))))
+
+    return F.when(text.rlike(pattern), _let(_let(sizes, sliced), joined)).otherwise(_none())
+
+
+def _let(value, use):
+    """``use`` of ``value``, which is computed once a row however often it is named."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _none():

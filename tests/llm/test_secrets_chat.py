@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import pytest
 
@@ -45,6 +46,20 @@ def test_base_spans_are_those_of_a_plain_scan(docs):
         assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(kinds.count(k) for k in ("assign", "access", "hex"))
 
 
+@pytest.mark.parametrize("text", ["password=abcdefgh%06d " * 50_000 % tuple(range(50_000)), "Zq8xT2mVb7LpR4sKw9Yd " * 8_000])
+def test_many_spans_in_one_text(spark, text):
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    model = [0.0] * (129 * 128)
+    started = time.perf_counter()
+    r = secrets.digest(secrets.scan(frame, [2.0] * len(model))).first()
+    assert time.perf_counter() - started < 30
+    if text.startswith("password"):
+        want = plain(text)
+        assert (r["n_assign"], r["base_sha256"]) == (50_000, hashlib.sha256(want.encode()).hexdigest())
+    else:
+        assert r["spans"].count("markov") == 8_000 and r["spans"].endswith(f"markov:{21 * 7999}:{21 * 7999 + 20}")
+
+
 def test_models_tell_random_strings_from_identifiers(spark):
     dice = __import__("random").Random(3)
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
