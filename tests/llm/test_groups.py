@@ -89,10 +89,30 @@ def test_odd_rows(spark):
     kept = setjoin.keep_first(docs.selectExpr("*", "'x' AS rows", "2 AS first"))
     assert kept.columns == ["doc_id", "text", "rows", "first"]
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, -1, -1, 5, 6]
+    # different texts under one id are different documents; a repeated row is one
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [(1, text), (1, other), (1, other), (2, other + " end"), (3, text), (4, None), (4, None), (0, "only this")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "7 AS _drop", "8 AS row", "9 AS sid")
+    kept = setjoin.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"] or "") for r in kept.collect())) == sorted([(0, "only this"), (1, text), (1, other), (4, "")])
     none = docs.limit(0)
     assert setjoin.groups(none).count() == 0 and setjoin.keep_first(none).count() == 0
 
 
+def test_a_long_list_and_a_very_long_text(spark):
+    passage = " ".join(f"p{i}" for i in range(12))
+    rows = [(i, f"{passage} own{i} {passage.upper()} mine{i // 2}") for i in range(5000)]
+    rows += [(9000, " ".join(f"z{i % 4001}" for i in range(200_000))), (9001, " ".join(f"z{i % 4001}" for i in range(199_990)))]
+    sets = plain_sets([t for _, t in rows[:8]] + [t for _, t in rows[-2:]], 3)
+    got = {r["doc_id"]: r for r in setjoin.groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 8, 10).collect()}
+    linked = [[10 * len(x & y) >= 8 * len(x | y) for y in sets] for x in sets]
+    assert linked[-1][-2] and got[9001]["component_id"] == 9000 and got[9000]["n_shingles"] == len(sets[-2])
+    # two neighbours share their last word too; the others share the passage alone
+    assert linked[0][1] and not linked[0][2]
+    assert all(got[i]["component_id"] == i - i % 2 for i in range(5000))
+
+
 def test_prefixes_of_similar_sets_meet():
     dice = random.Random(4)
     limit, met = setjoin.Threshold(8, 10), 0
