@@ -12,8 +12,10 @@ from pyspark.ml.feature import HashingTF, Normalizer, RegexTokenizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from starfold.functions import text as tx
+from starfold.session import staged
 
 # Fixed values.
 BATCH_SIZE = 100
@@ -23,7 +25,7 @@ class Embedder(Protocol):
     model: str
 
     def embed(self, df: DataFrame) -> DataFrame:
-        """``(id, text)`` to ``(id, embedding)``."""
+        """Rows with ``id`` and ``text``, the text replaced by its ``embedding``; other columns are kept."""
 
 
 class HashingEmbedder:
@@ -39,9 +41,8 @@ class HashingEmbedder:
         ])
 
     def embed(self, df: DataFrame) -> DataFrame:
-        return self._stages.transform(df.select("id", "text")).select(
-            "id", vector_to_array("unit", "float32").alias("embedding")
-        )
+        kept = [c for c in df.columns if c != "text"]
+        return self._stages.transform(df).select(*kept, vector_to_array("unit", "float32").alias("embedding"))
 
 
 class BatchEmbedder:
@@ -57,6 +58,8 @@ class BatchEmbedder:
 
     def embed(self, df: DataFrame) -> DataFrame:
         fn, size = self.fn, self.batch_size
+        kept = [f for f in df.schema.fields if f.name != "text"]
+        schema = StructType([*kept, StructField("embedding", ArrayType(FloatType()))])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -67,19 +70,19 @@ class BatchEmbedder:
                         raise ValueError("the embedder must return one vector per text")
                     vectors = pa.FixedSizeListArray.from_arrays(rows.ravel(), rows.shape[1])
                     yield pa.RecordBatch.from_arrays(
-                        [part["id"], vectors.cast(pa.list_(pa.float32()))], ["id", "embedding"]
+                        [*(part[f.name] for f in kept), vectors.cast(pa.list_(pa.float32()))], schema.names
                     )
 
-        return df.select("id", "text").mapInArrow(run, "id bigint, embedding array<float>")
+        return df.mapInArrow(run, schema)
 
 
 def unembedded(reviews: DataFrame, vectors: DataFrame, force: bool = False) -> DataFrame:
     """Reviews with text that have no vector yet; with ``force`` all reviews with text."""
     todo = reviews.filter(tx.has_text(reviews))
     if not force:
-        # Ids first: the texts of reviews that have a vector are not moved.
+        # Ids first, written: Spark knows their size, so a short list is broadcast and no text is moved.
         ids = todo.select("id").join(vectors.select(F.col("review_id").alias("id")), "id", "left_anti")
-        todo = todo.join(ids, "id", "left_semi")
+        todo = todo.join(staged(ids, "backlog"), "id", "left_semi")
     return todo.select("id", "org_id", "text")
 
 
@@ -88,8 +91,7 @@ def embed_reviews(
 ) -> DataFrame:
     """Vectors of the backlog, as rows of the vector table, each with the org of its review."""
     todo = unembedded(reviews, vectors, force)
-    owner = todo.select("id", "org_id")
-    return embedder.embed(todo).join(owner, "id").select(
+    return embedder.embed(todo).select(
         F.col("id").alias("review_id"),
         "org_id",
         F.lit(embedder.model).alias("model"),

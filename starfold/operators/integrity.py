@@ -1,10 +1,11 @@
-"""Referential and uniqueness checks, as reports of the offending keys."""
+"""Referential and uniqueness checks: reports of the offending keys, and the split of a batch before it is written."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Fixed values: (table, column, referenced table, referenced column) and unique keys.
@@ -74,3 +75,40 @@ def repeated_keys(tables: dict[str, DataFrame]) -> DataFrame:
             )
         )
     return reduce(DataFrame.unionByName, parts)
+
+
+#: Column of the reasons that a quarantined row carries.
+REASONS = "reasons"
+
+
+def split_batch(
+    table: str, batch: DataFrame, tables: dict[str, DataFrame], order_by: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """``batch`` as accepted rows and quarantined rows; the latter say in ``reasons`` which rules they break.
+
+    Rules: references to tables in ``tables`` must be met (NULL refers to nothing; rows of the batch count
+    for a table's references to itself), key columns must not be NULL, and of rows with one key the
+    first by ``order_by`` is accepted. Both halves come from one pass: every reference joins the distinct
+    keys of its parent as a flag, so a hot parent is one row there.
+    """
+    rows, flags = batch, []
+    for n, (child, column, parent, key) in enumerate(REFERENCES):
+        if child != table or column not in batch.columns or parent not in tables:
+            continue
+        known = tables[parent].select(F.col(key).alias(f"_key{n}"))
+        if parent == table:
+            known = known.unionByName(batch.select(F.col(key).alias(f"_key{n}")))
+        known = known.filter(F.col(f"_key{n}").isNotNull()).distinct()
+        rows = rows.join(known, F.col(column) == F.col(f"_key{n}"), "left")
+        missing = F.col(column).isNotNull() & F.col(f"_key{n}").isNull()
+        flags.append(F.when(missing, F.lit(f"{column} not in {parent}")))
+    for keyed, columns in UNIQUE_KEYS:
+        if keyed == table and set(columns) <= set(batch.columns):
+            needed = [c for c in columns if not (table == "company_scores" and c == "topic_id")]
+            flags += [F.when(F.col(c).isNull(), F.lit(f"{c} is missing")) for c in needed]
+            place = Window.partitionBy(*columns).orderBy(*(order_by or columns))
+            complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in needed])
+            rows = rows.withColumn("_place", F.when(complete, F.row_number().over(place)))
+            flags.append(F.when(F.col("_place") > 1, F.lit(f"{'|'.join(columns)} repeated")))
+    judged = rows.select(*batch.columns, F.array_compact(F.array(*flags)).alias(REASONS) if flags else F.array().cast("array<string>").alias(REASONS))
+    return judged.filter(F.size(REASONS) == 0).drop(REASONS), judged.filter(F.size(REASONS) > 0)

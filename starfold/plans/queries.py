@@ -268,7 +268,7 @@ def _(s: Samples) -> DataFrame:
 # -- ingestion --------------------------------------------------------------------
 
 
-def _two_batches(s: Samples) -> tuple[DataFrame, DataFrame]:
+def two_batches(s: Samples) -> tuple[DataFrame, DataFrame]:
     """The bulk feed in two batches, the first one already reduced to a table."""
     early = F.col("l_shipdate") < F.lit(BULK_SPLIT).cast("timestamp_ntz")
     feed = s.bulk()
@@ -282,13 +282,13 @@ SELECT review_key, arg_min(org_id, o) AS org_id, arg_min(date, o) AS date, arg_m
        arg_max(struct_pack(v := business_response), o).v AS business_response
 FROM (SELECT *, (l_shipdate, l_suppkey, l_partkey) AS o FROM bulk) GROUP BY review_key""")
 def _(s: Samples) -> DataFrame:
-    current, batch = _two_batches(s)
+    current, batch = two_batches(s)
     return ingest.upsert_reviews(current, batch, BULK_ORDER).select(
         "review_key", "org_id", "date", "text", "stars", "business_response"
     )
 
 
-def _streamed(s: Samples):
+def streamed(s: Samples, partials: str | None = None):
     """A store that the feed was streamed into: the lines up to the split date, then the later ones."""
     from starfold.sources.store import Store
     from starfold.streaming import ingest as stream
@@ -297,7 +297,7 @@ def _streamed(s: Samples):
     early = F.col("l_shipdate") < F.lit(BULK_SPLIT).cast("timestamp_ntz")
     root = f"{shared_dir(s.spark)}/stream-{uuid.uuid4().hex}"
     store = Store(s.spark, f"{root}/tables", buckets=8)
-    step = stream.ReviewIngest(store, prepare=s.bulk, order_by=BULK_ORDER)
+    step = stream.ReviewIngest(store, prepare=s.bulk, order_by=BULK_ORDER, partials=partials)
     for landed in (lines.filter(early), lines.filter(~early)):
         landed.write.mode("append").parquet(f"{root}/landing")
         feed = s.spark.readStream.schema(lines.schema).parquet(f"{root}/landing")
@@ -308,7 +308,7 @@ def _streamed(s: Samples):
 @query("stream_ingest", SQL["review_upsert"].removeprefix(PRELUDE))
 def _(s: Samples) -> DataFrame:
     """The feed read as a stream and merged into a stored table, in two micro-batches."""
-    reviews = _streamed(s).read("reviews")
+    reviews = streamed(s).read("reviews")
     return reviews.select("review_key", "org_id", "date", "text", "stars", "business_response")
 
 
@@ -321,7 +321,7 @@ UNION ALL
 SELECT 2, count(*) FILTER (WHERE c1 = 0 AND c2 > 0), (sum(c2) - count(*) FILTER (WHERE c1 = 0 AND c2 > 0))::bigint FROM keyed
 """)
 def _(s: Samples) -> DataFrame:
-    current, batch = _two_batches(s)
+    current, batch = two_batches(s)
     early = F.col("l_shipdate") < F.lit(BULK_SPLIT).cast("timestamp_ntz")
     none = current.limit(0)
     first = ingest.upsert_counts(none, s.bulk().filter(early)).select(F.lit(1).alias("batch"), "*")
@@ -331,7 +331,7 @@ def _(s: Samples) -> DataFrame:
 @query("stream_log", SQL["review_upsert_counts"].removeprefix(PRELUDE))
 def _(s: Samples) -> DataFrame:
     """What the log says about the two micro-batches of the streamed feed."""
-    return _streamed(s).read("sync_log").groupBy(F.col("seq").cast("int").alias("batch")).agg(
+    return streamed(s).read("sync_log").groupBy(F.col("seq").cast("int").alias("batch")).agg(
         F.sum("reviews_added").alias("added"), F.sum("reviews_updated").alias("updated")
     )
 
@@ -406,7 +406,7 @@ def _(s: Samples) -> DataFrame:
         "companies": "n", "company_relations": "priority", "reviews": "id", "sync_log": "seq",
         "topic_templates": "id", "review_embeddings": "review_id", "review_topics": "topic_id",
     }
-    tables = _model(s)
+    tables = model(s)
     left = ingest.remove_orgs(tables, tables["companies"].filter(F.col("role") == "tracked"))
     out = None
     for name, key in keys.items():
@@ -418,7 +418,7 @@ def _(s: Samples) -> DataFrame:
     return out
 
 
-def _model(s: Samples) -> dict[str, DataFrame]:
+def model(s: Samples) -> dict[str, DataFrame]:
     return {
         "companies": s.companies(),
         "company_relations": s.relations(),
@@ -426,11 +426,16 @@ def _model(s: Samples) -> dict[str, DataFrame]:
         "sync_log": s.sync_log(),
         "topic_templates": s.topics(),
         "review_embeddings": s.vectors(),
-        "review_topics": _assigned(s, 0.3),
+        "review_topics": assigned(s, 0.3),
     }
 
 
-def _assigned(s: Samples, threshold: float, method: str = "blocks") -> DataFrame:
+def model_scores(s: Samples) -> DataFrame:
+    """Rows of the score table at ``AS_OF``."""
+    return scoring.score_rows(s.companies(), s.topics(), assigned(s, 0.1), s.reviews(), AS_OF)
+
+
+def assigned(s: Samples, threshold: float, method: str = "blocks") -> DataFrame:
     return similarity.classify(s.vectors(), s.reviews(), s.topics(), threshold, method=method)
 
 
@@ -476,7 +481,7 @@ WHERE org_id IN (SELECT org_id FROM companies WHERE role = 'mine')""")
 def _(s: Samples) -> DataFrame:
     mine = s.companies().filter(F.col("role") == "mine")
     fresh = similarity.classify(s.vectors().join(mine, "org_id", "left_semi"), None, s.topics(), 0.3)
-    return ingest.replace_assignments(_assigned(s, 0.1), fresh, s.reviews(), mine).withColumn(
+    return ingest.replace_assignments(assigned(s, 0.1), fresh, s.reviews(), mine).withColumn(
         "similarity", F.round("similarity", 6)
     )
 
@@ -488,10 +493,10 @@ def _(s: Samples) -> DataFrame:
     companies, mine = s.companies(), s.companies().filter(F.col("role") == "mine")
     topics = s.topics()
     old = schemas.conform(
-        scoring.score_rows(companies, topics, _assigned(s, 0.1), s.reviews(), "2025-06-01"), schemas.SCORES
+        scoring.score_rows(companies, topics, assigned(s, 0.1), s.reviews(), "2025-06-01"), schemas.SCORES
     )
     new = scoring.score_rows(
-        mine, topics.join(mine, "org_id", "left_semi"), _assigned(s, 0.1), s.reviews(), AS_OF
+        mine, topics.join(mine, "org_id", "left_semi"), assigned(s, 0.1), s.reviews(), AS_OF
     )
     return ingest.upsert_scores(old, new).drop("computed_at")
 
@@ -518,7 +523,7 @@ WHERE org_id NOT IN (SELECT org_id FROM companies) GROUP BY 3
 UNION ALL SELECT 'review_embeddings', 'review_id', review_id::varchar, count(*) FROM vectors GROUP BY 3
 """)
 def _(s: Samples) -> DataFrame:
-    tables = _model(s) | {
+    tables = model(s) | {
         "company_relations": s.proposed_relations(),
         "reviews": s.bulk_reviews().withColumn("id", F.lit(None).cast("bigint")),
     }
@@ -529,7 +534,7 @@ def _(s: Samples) -> DataFrame:
 @query("unique_violations", """
 SELECT 'reviews' AS table_name, review_key AS key, count(*) AS row_count FROM bulk GROUP BY 2 HAVING count(*) > 1""")
 def _(s: Samples) -> DataFrame:
-    return integrity.repeated_keys(_model(s) | {"reviews": s.bulk_reviews()})
+    return integrity.repeated_keys(model(s) | {"reviews": s.bulk_reviews()})
 
 
 @query("result_json", """
@@ -682,7 +687,7 @@ def _(s: Samples) -> DataFrame:
 # -- statistics -----------------------------------------------------------------------------
 
 
-def _stats_sql(companies: str, reviews: str, where: str = "") -> str:
+def stats_sql(companies: str, reviews: str, where: str = "") -> str:
     return f"""
 SELECT c.org_id, c.name, c.rating, count(r.org_id) AS total_reviews,
        floor(coalesce(avg(r.stars), 0) * 100 + 0.5) / 100 AS avg_stars,
@@ -691,17 +696,17 @@ SELECT c.org_id, c.name, c.rating, count(r.org_id) AS total_reviews,
 FROM {companies} c LEFT JOIN (SELECT * FROM {reviews} {where}) r ON r.org_id = c.org_id GROUP BY ALL"""
 
 
-@query("org_stats", _stats_sql("companies", "reviews"))
+@query("org_stats", stats_sql("companies", "reviews"))
 def _(s: Samples) -> DataFrame:
     return summary.org_stats(s.companies(), s.reviews())
 
 
-@query("org_stats_since", _stats_sql("companies", "reviews", "WHERE date >= '2025-11-20'"))
+@query("org_stats_since", stats_sql("companies", "reviews", "WHERE date >= '2025-11-20'"))
 def _(s: Samples) -> DataFrame:
     return summary.org_stats(s.companies(), s.reviews(), since="2025-11-20")
 
 
-@query("org_stats_bulk", _stats_sql("bulk_companies", "bulk"))
+@query("org_stats_bulk", stats_sql("bulk_companies", "bulk"))
 def _(s: Samples) -> DataFrame:
     return summary.org_stats(s.bulk_companies(), s.bulk_reviews())
 
@@ -715,7 +720,7 @@ def _(s: Samples) -> DataFrame:
     return summary.star_histogram(s.companies(), s.reviews())
 
 
-def _trend_sql(label: str, reviews: str = "reviews", limit: int | None = None) -> str:
+def trend_sql(label: str, reviews: str = "reviews", limit: int | None = None) -> str:
     top = f"QUALIFY row_number() OVER (PARTITION BY org_id ORDER BY period DESC NULLS LAST) <= {limit}" if limit else ""
     return f"""
 , days AS (SELECT *, date::date AS d FROM {reviews} WHERE date IS NOT NULL)
@@ -723,22 +728,22 @@ SELECT org_id, {label} AS period, count(*) AS review_count, round(avg(stars), 2)
 FROM days GROUP BY 1, 2 {top}"""
 
 
-@query("trends_month", _trend_sql("strftime(d, '%Y-%m')"))
+@query("trends_month", trend_sql("strftime(d, '%Y-%m')"))
 def _(s: Samples) -> DataFrame:
     return summary.trends(s.reviews(), "month")
 
 
-@query("trends_week", _trend_sql("strftime(d, '%Y-W%W')"))
+@query("trends_week", trend_sql("strftime(d, '%Y-W%W')"))
 def _(s: Samples) -> DataFrame:
     return summary.trends(s.reviews(), "week")
 
 
-@query("trends_quarter", _trend_sql("year(d) || '-Q' || quarter(d)", limit=4))
+@query("trends_quarter", trend_sql("year(d) || '-Q' || quarter(d)", limit=4))
 def _(s: Samples) -> DataFrame:
     return summary.trends(s.reviews(), "quarter", limit=4)
 
 
-@query("trends_week_bulk", _trend_sql("strftime(d, '%Y-W%W')", "bulk"))
+@query("trends_week_bulk", trend_sql("strftime(d, '%Y-W%W')", "bulk"))
 def _(s: Samples) -> DataFrame:
     return summary.trends(s.bulk_reviews(), "week")
 
@@ -819,17 +824,17 @@ def _assigned_sql(name: str) -> str:
 
 @query("classify_030", _assigned_sql("assigned030"))
 def _(s: Samples) -> DataFrame:
-    return _assigned(s, 0.3, "blocks").withColumn("similarity", F.round("similarity", 6))
+    return assigned(s, 0.3, "blocks").withColumn("similarity", F.round("similarity", 6))
 
 
 @query("classify_010", _assigned_sql("assigned010"))
 def _(s: Samples) -> DataFrame:
-    return _assigned(s, 0.1, "blocks").withColumn("similarity", F.round("similarity", 6))
+    return assigned(s, 0.1, "blocks").withColumn("similarity", F.round("similarity", 6))
 
 
 @query("classify_pairs", _assigned_sql("assigned010"))
 def _(s: Samples) -> DataFrame:
-    return _assigned(s, 0.1, "pairs").withColumn("similarity", F.round("similarity", 6))
+    return assigned(s, 0.1, "pairs").withColumn("similarity", F.round("similarity", 6))
 
 
 @query("vector_mismatches", """
@@ -869,7 +874,8 @@ class LengthEmbedder:
     def embed(self, df: DataFrame) -> DataFrame:
         text = F.col("text")
         without = lambda c: F.length(text) - F.length(F.replace(text, F.lit(c)))
-        return df.select("id", F.array(F.length(text), without("a"), without(" ")).cast("array<float>").alias("embedding"))
+        vector = F.array(F.length(text), without("a"), without(" ")).cast("array<float>")
+        return df.select(*[c for c in df.columns if c != "text"], vector.alias("embedding"))
 
 
 _LENGTHS = """[length({t}), length({t}) - length(replace({t}, 'a', '')), length({t}) - length(replace({t}, ' ', ''))]"""
@@ -933,13 +939,13 @@ def _(s: Samples) -> DataFrame:
 SELECT review_id, topic_id FROM matches
 QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY similarity DESC, topic_id) <= 3""")
 def _(s: Samples) -> DataFrame:
-    return _assigned(s, -1.0).select("review_id", "topic_id")
+    return assigned(s, -1.0).select("review_id", "topic_id")
 
 
 @query("classified_counts", """
 SELECT c.org_id, (SELECT count(DISTINCT review_id) FROM assigned030 a WHERE a.org_id = c.org_id) AS classified FROM companies c""")
 def _(s: Samples) -> DataFrame:
-    return topic_ops.classified_counts(s.companies(), s.reviews(), _assigned(s, 0.3))
+    return topic_ops.classified_counts(s.companies(), s.reviews(), assigned(s, 0.3))
 
 
 @query("unembedded", """
@@ -1022,7 +1028,7 @@ _LEAVES = """
 @query("topic_stats", _LEAVES + """
 SELECT org_id, topic_id, parent_id, name, n AS review_count, floor(m * 10 + 0.5) / 10 AS avg_stars FROM leaves""")
 def _(s: Samples) -> DataFrame:
-    return topic_ops.topic_stats(s.topics(), _assigned(s, 0.1), s.reviews())
+    return topic_ops.topic_stats(s.topics(), assigned(s, 0.1), s.reviews())
 
 
 @query("topic_tree", _LEAVES + """
@@ -1036,7 +1042,7 @@ UNION ALL
 SELECT l.org_id, h.rank, 1, l.topic_id, l.parent_id, l.name, l.n, floor(l.m * 10 + 0.5) / 10
 FROM leaves l JOIN ranked h ON h.topic_id = l.parent_id""")
 def _(s: Samples) -> DataFrame:
-    return topic_ops.topic_tree(s.topics(), _assigned(s, 0.1), s.reviews())
+    return topic_ops.topic_tree(s.topics(), assigned(s, 0.1), s.reviews())
 
 
 # -- scores ------------------------------------------------------------------------------------------
@@ -1046,7 +1052,7 @@ def _(s: Samples) -> DataFrame:
 SELECT org_id, topic_id, name, t10 / 10.0::double AS score, n AS review_count, {CONFIDENCE} AS confidence
 FROM leaf_scores WHERE as_of = '{AS_OF}'""")
 def _(s: Samples) -> DataFrame:
-    return scoring.subtopic_scores(s.topics(), _assigned(s, 0.1), s.reviews(), AS_OF)
+    return scoring.subtopic_scores(s.topics(), assigned(s, 0.1), s.reviews(), AS_OF)
 
 
 _RANKED = f"""
@@ -1059,20 +1065,20 @@ _RANKED = f"""
 @query("parent_score", _RANKED + f"""
 SELECT org_id, rank, topic_id, name, t10 / 10.0::double AS score, n AS review_count, {CONFIDENCE} AS confidence FROM ranked""")
 def _(s: Samples) -> DataFrame:
-    return scoring.parent_scores(s.topics(), _assigned(s, 0.1), s.reviews(), AS_OF)
+    return scoring.parent_scores(s.topics(), assigned(s, 0.1), s.reviews(), AS_OF)
 
 
 @query("overall_score", f"""
 SELECT org_id, name, t10 / 10.0::double AS overall_score, n AS total_reviews FROM overall_scores WHERE as_of = '{AS_OF}'""")
 def _(s: Samples) -> DataFrame:
-    return scoring.overall_scores(s.companies(), s.topics(), _assigned(s, 0.1), s.reviews(), AS_OF)
+    return scoring.overall_scores(s.companies(), s.topics(), assigned(s, 0.1), s.reviews(), AS_OF)
 
 
 @query("score_full", f"""
 SELECT org_id, topic_id, t10 / 10.0::double AS score, n AS review_count, {CONFIDENCE} AS confidence
 FROM score_rows WHERE as_of = '{AS_OF}'""")
 def _(s: Samples) -> DataFrame:
-    return scoring.score_rows(s.companies(), s.topics(), _assigned(s, 0.1), s.reviews(), AS_OF)
+    return scoring.score_rows(s.companies(), s.topics(), assigned(s, 0.1), s.reviews(), AS_OF)
 
 
 @query("score_compare", _RANKED + """
@@ -1086,7 +1092,7 @@ SELECT org_a, org_b, row_number() OVER (PARTITION BY org_a, org_b ORDER BY ra NU
        CASE WHEN ta - tb >= 5 THEN '✅' WHEN ta - tb <= -5 THEN '❌' ELSE '' END AS marker
 FROM both_sides""")
 def _(s: Samples) -> DataFrame:
-    heads = scoring.parent_scores(s.topics(), _assigned(s, 0.1), s.reviews(), AS_OF)
+    heads = scoring.parent_scores(s.topics(), assigned(s, 0.1), s.reviews(), AS_OF)
     pairs = s.relations().select(
         F.col("company_org_id").alias("org_a"), F.col("competitor_org_id").alias("org_b")
     )
@@ -1130,3 +1136,6 @@ def _add_sql(name: str, text: str) -> None:
 
 for _name, _text in SQL_TEXTS.items():
     _add_sql(_name, _text)
+
+
+from starfold.plans import stored_queries  # noqa: E402,F401  (registers its queries here)

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Timestamps are compared and printed in UTC; AQE re-plans joins from measured
 #: sizes (broadcast only below the threshold) and splits skewed join partitions.
@@ -47,6 +48,14 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def staged(rows: DataFrame, name: str) -> DataFrame:
+    """Write ``rows`` to the shared folder and read them back: computed once, and of a size that Spark knows."""
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the package to the Python workers, once per Spark application.
 

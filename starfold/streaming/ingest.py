@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StringType, StructField, StructType
 
 from starfold import schemas
-from starfold.operators import embedding, ingest, normalize, similarity
+from starfold.operators import embedding, ingest, normalize, partials, similarity
 from starfold.operators.embedding import Embedder
 from starfold.sources.store import Batch, Store
 
@@ -52,6 +52,20 @@ def keyed_reviews(raw: DataFrame) -> DataFrame:
     return ingest.with_review_key(normalize.normalize_reviews(raw, extra=RAW_ORDER))
 
 
+def rejected_lines(rejects: DataFrame) -> DataFrame:
+    """``(org_id, lines)`` of rejected lines; a line that is no object names its org where its text still does."""
+    named = F.nullif(F.regexp_extract(F.col(CORRUPT), r'"org_id"\s*:\s*"([^"\\]*)"', 1), F.lit(""))
+    return (
+        rejects.select(F.coalesce("org_id", named).alias("org_id")).filter(F.col("org_id").isNotNull())
+        .groupBy("org_id").agg(F.count(F.lit(1)).alias("lines"))
+    )
+
+
+def read_partials(spark: SparkSession, folder: str) -> DataFrame:
+    """The partials of all batches in ``folder``."""
+    return spark.read.schema(partials.SCHEMA).parquet(folder)
+
+
 class ReviewIngest:
     """What one micro-batch does. ``prepare`` turns a batch into keyed reviews."""
 
@@ -62,9 +76,11 @@ class ReviewIngest:
         order_by: Sequence[str] = RAW_ORDER,
         embedder: Embedder | None = None,
         threshold: float = similarity.THRESHOLD,
+        partials: str | None = None,
     ):
+        """``partials`` names a folder that takes the signed partial sums of every batch."""
         self.store, self.prepare, self.order_by = store, prepare, order_by
-        self.embedder, self.threshold = embedder, threshold
+        self.embedder, self.threshold, self.partials = embedder, threshold, partials
 
     def __call__(self, rows: DataFrame, batch_id: int) -> None:
         """``foreachBatch`` entry. Batch numbers count per stream, that is per checkpoint."""
@@ -73,41 +89,62 @@ class ReviewIngest:
 
     def apply(self, rows: DataFrame, batch: Batch) -> None:
         store, (source, number) = self.store, batch
-        place = f"{source}/{number}"
+        place, rejects = f"{source}/{number}", None
         if CORRUPT in rows.columns:
             # Lines are numbered where they are read: within a block the numbers follow the file.
             lines = rows.withColumn("line", F.monotonically_increasing_id())
             rows = store.stage(f"arrived/{place}", lines)
             unusable = F.col("org_id").isNull() | F.col(CORRUPT).isNotNull()
-            store.stage(f"rejects/{place}", rows.filter(unusable))
+            rejects = store.stage(f"rejects/{place}", rows.filter(unusable))
             rows = rows.filter(~unusable).drop(CORRUPT)
         now = F.current_timestamp()
         keyed = self.prepare(rows).withColumn("first_seen_at", now).withColumn("updated_at", now)
         reduced = store.stage(f"reviews/{place}", ingest.reduce_batch(keyed, self.order_by))
         parts = store.touched(reduced)
         store.merge_reviews(reduced, batch, parts)
-        self._log(reduced, batch, parts)
+        self._log(reduced, batch, parts, rejects)
+        if self.partials is not None:
+            self._add_partials(reduced, batch, parts)
         if self.embedder is not None:
             self._embed_and_classify(reduced, batch, parts)
         for kind in ("arrived", "reviews", "stored", "vectors"):
             store.unstage(f"{kind}/{place}")
 
-    def _log(self, reduced: DataFrame, batch: Batch, parts: list[int]) -> None:
-        """One log row per org, counted against the table as it was before the batch."""
+    def _add_partials(self, reduced: DataFrame, batch: Batch, parts: list[int]) -> None:
+        """The batch's signed partials, in a partition of their own: a batch delivered again writes the same partition."""
+        known = self.store.read("reviews", self.store.version_before("reviews", batch), parts)
+        found = partials.of_batch(known, reduced)
+        (
+            found.withColumn("source", F.lit(batch[0])).withColumn("number", F.lit(batch[1]))
+            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "number").parquet(self.partials)
+        )
+
+    def _log(self, reduced: DataFrame, batch: Batch, parts: list[int], rejects: DataFrame | None = None) -> None:
+        """One log row per org, counted against the table as it was before the batch.
+
+        An org of which the batch holds unreadable lines only gets an ``error`` row; where some lines
+        were readable the row stays ``ok`` and says how many were not.
+        """
         store = self.store
         before = store.read("reviews", store.version_before("reviews", batch), parts)
         counts = ingest.counts_of_staged(before, reduced, ["org_id"])
         modes = ingest.sync_mode(counts, store.read("sync_log"))
         stamp: Column = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-        entries = modes.join(counts, "org_id").select(
+        done = modes.join(counts, "org_id")
+        bad = rejected_lines(rejects) if rejects is not None else reduced.sparkSession.createDataFrame([], "org_id string, lines bigint")
+        both = done.join(bad, "org_id", "full")
+        failed = F.col("sync_type").isNull()
+        none = F.lit(0).cast("bigint")
+        entries = both.select(
             F.lit(store.manifest("sync_log")["version"] + 1).cast("bigint").alias("seq"),
             "org_id",
-            "sync_type",
-            F.col("added").alias("reviews_added"),
-            F.col("updated").alias("reviews_updated"),
+            F.coalesce("sync_type", F.lit("incremental")).alias("sync_type"),
+            F.coalesce("added", none).alias("reviews_added"),
+            F.coalesce("updated", none).alias("reviews_updated"),
             stamp.alias("started_at"),
             stamp.alias("finished_at"),
-            F.lit("ok").alias("status"),
+            F.when(failed, "error").otherwise("ok").alias("status"),
+            F.when(F.col("lines") > 0, F.concat(F.col("lines").cast("string"), F.lit(" unreadable lines"))).alias("error_message"),
         )
         store.append("sync_log", entries, batch)
 
