@@ -14,6 +14,8 @@ from starfold.plans.queries import PRELUDE, SQL, query
 from starfold.session import shared_dir, staged
 from starfold.sources.orgtable import OrgTable
 from starfold.sources.samples import AS_OF, BULK_ORDER, Samples
+from starfold.sources.textindex import TextIndex
+from starfold.sources.vectorclusters import VectorClusters
 from starfold.streaming import ingest as stream
 from starfold.streaming import model as streamed_model
 
@@ -356,3 +358,32 @@ def _(s: Samples) -> DataFrame:
         part = left[name].select(F.lit(name).alias("table_name"), said.alias("key"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+# -- searches that skip what cannot match ------------------------------------------------
+
+
+@query("search_text_indexed", SQL["search_text"].removeprefix(PRELUDE))
+def _(s: Samples) -> DataFrame:
+    """Text search that reads the buckets with all trigrams of the query."""
+    return TextIndex(s.spark, _folder(s, "text-index"), 64).create(s.reviews()).search("The_onEd")
+
+
+@query("search_text_indexed_filtered", SQL["search_text_filtered"].removeprefix(PRELUDE))
+def _(s: Samples) -> DataFrame:
+    return TextIndex(s.spark, _folder(s, "text-index"), 64).create(s.reviews()).search("RE%thE", org_id="src7", stars="2-4")
+
+
+@query("semantic_search_pruned", SQL["semantic_search"].removeprefix(PRELUDE))
+def _(s: Samples) -> DataFrame:
+    """Exact search by meaning that reads the clusters whose bound allows it."""
+    clusters = VectorClusters(s.spark, _folder(s, "clusters"), 16).create(s.vectors())
+    found, _ = clusters.search(s.reviews(), base.QUERY_VECTOR)
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
+@query("semantic_search_pruned_filtered", SQL["semantic_search_filtered"].removeprefix(PRELUDE))
+def _(s: Samples) -> DataFrame:
+    clusters = VectorClusters(s.spark, _folder(s, "clusters"), 16).create(s.vectors())
+    found, _ = clusters.search(s.reviews(), base.QUERY_VECTOR, org_id="src5", stars="3-5")
+    return found.withColumn("similarity", F.round("similarity", 6))
