@@ -18,7 +18,7 @@ compared with one of them only (another in each round) and groups found so far a
 What remains is tested in full: pairs of rows for short lists, and for long lists blocks of
 prefixes of bounded size, two to a task, in which only documents of different groups meet.
 Either way a pair must share as many prefix shingles as it calls for before whole sets are
-fetched, and those of named pairs only. No link between different groups is left unseen.
+moved, and those of named sets only. No link between different groups is left unseen.
 
 Shingles and sets are 64-bit hashes; among ``n`` sets two different ones collide with probability
 below ``n * n / 2**65``.
@@ -322,21 +322,20 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, size: int, limit: Threshold,
     return keep(picked.join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "picked-sets")
 
 
-def _named(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The sets that ``pairs`` (written) name; with a list of them that is short enough to broadcast, no other set moves."""
-    ids = keep(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "named-sets")
+def _named(sets: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """The sets that ``rows`` (written) name; with a list of them that is short enough to broadcast, no other set moves."""
+    ids = keep(rows.select(F.explode(F.array(*columns)).alias("sid")).distinct(), "named-sets")
     return sets.join(F.broadcast(ids) if ids.count() <= SMALL_LIST else ids, "sid", "left_semi")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, limit: Threshold, matched: bool = False) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
     """The linked ones of ``pairs`` (a, b; written).
 
-    The multi-match test comes first (unless ``matched`` says that it has been passed) and moves prefixes
-    only; whole sets move for the pairs that pass it.
+    The multi-match test comes first and moves prefixes only; whole sets move for the pairs that pass it.
     """
 
     def both(rows: DataFrame, *columns: str) -> DataFrame:
-        some = _named(sets, rows)
+        some = _named(sets, rows, "a", "b")
         sides = [some.select(F.col("sid").alias(k), F.struct(*columns).alias(v)) for k, v in (("a", "x"), ("b", "y"))]
         return rows.join(sides[0], "a").join(sides[1], "b").select("a", "b", "x", "y")
 
@@ -362,7 +361,7 @@ def verified(pairs: DataFrame, sets: DataFrame, limit: Threshold, matched: bool
 
         return run
 
-    near = pairs if matched else keep(both(pairs, "n", "prefix", "shared").mapInArrow(passing(match), "a long, b long"), "near-pairs")
+    near = keep(both(pairs, "n", "prefix", "shared").mapInArrow(passing(match), "a long, b long"), "near-pairs")
     return both(near, "hashes").mapInArrow(passing(link), "a long, b long")
 
 
@@ -371,11 +370,52 @@ def _in_range(limit: Threshold, n, m):
     return (limit.den * F.least(n, m)) >= (limit.num * F.greatest(n, m))
 
 
-def _block_pairs(rows: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
-    """Pairs of different groups in long lists that pass the multi-match test.
+def _candidates(x: int, token: int, prefixes: list, flat: np.ndarray, owner: np.ndarray, n: np.ndarray, slack: np.ndarray, limit: Threshold) -> np.ndarray:
+    """Which sets pass the multi-match test with set ``x`` and meet it in no list of a smaller token."""
+    lo = np.searchsorted(flat, prefixes[x], side="left")
+    wide = np.searchsorted(flat, prefixes[x], side="right") - lo
+    places = np.repeat(lo - np.concatenate([[0], np.cumsum(wide)[:-1]]), wide) + np.arange(wide.sum())
+    shared = np.bincount(owner[places], minlength=len(prefixes))
+    least = np.zeros(len(prefixes), dtype=np.uint64)
+    least[owner[places][::-1]] = flat[places][::-1]  # tokens rise, so the smallest is written last
+    need = -(-limit.num * (n[x] + n) // (limit.num + limit.den))
+    ok = (shared >= np.maximum(need + np.minimum(slack[x], slack), 1)) & (least == np.uint64(token))
+    return ok & (limit.den * np.minimum(n[x], n) >= limit.num * np.maximum(n[x], n))
+
+
+class _Block:
+    """Members of two blocks of one list, as they come to a task."""
+
+    def __init__(self, key: tuple, members: pa.Table, limit: Threshold):
+        self.limit, self.token = limit, np.int64(key[0].as_py()).view(np.uint64)
+        self.sid, self.comp, self.at, self.n, l = (members.column(c).to_numpy() for c in ("sid", "comp", "at", "n", "shared"))
+        self.prefixes = [np.sort(np.frombuffer(b.as_py(), dtype=np.uint64)) for b in members.column("prefix")]
+        self.flat, self.owner = self._index(self.prefixes)
+        _, self.group = np.unique(self.comp, return_inverse=True)
+        self.slack = l - -(-limit.num * self.n // limit.den)
+        self.across = key[1].as_py() != key[2].as_py()
+
+    @staticmethod
+    def _index(sets: list) -> tuple[np.ndarray, np.ndarray]:
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(flat, kind="stable")
+        return flat[order], owner[order]
+
+    def seekers(self) -> np.ndarray:
+        """Members outside the commonest group."""
+        return np.flatnonzero(self.group != np.bincount(self.group).argmax())
+
+    def candidates(self, x: int) -> np.ndarray:
+        ok = _candidates(x, self.token, self.prefixes, self.flat, self.owner, self.n, self.slack, self.limit) & (self.group != self.group[x])
+        return ok & (self.at != self.at[x]) if self.across else ok
+
 
-    ``rows`` (token, sid, comp, n; written) are dealt into blocks of their list, two blocks to a task, with
-    their prefixes. In a task only documents outside the commonest group look for others.
+def _block_links(rows: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
+    """Links between different groups in long lists, enough to join what any link joins.
+
+    ``rows`` (token, sid, comp, n; written) are dealt into blocks of their list, two blocks to a task. First
+    with their prefixes: members that pass the multi-match test with one of another group stay. Then these
+    alone with whole sets: a member that its task has joined to another is not compared with it again.
     """
     spread = keep(rows.groupBy("token").agg(F.count("*").alias("c"), F.sum(F.col("n") * 2 + 64).alias("bytes")), "long-lists")
     parts = F.greatest(F.ceil(F.col("c") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
@@ -388,35 +428,51 @@ def _block_pairs(rows: DataFrame, sets: DataFrame, limit: Threshold) -> DataFram
             "token", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "sid", "comp",
         )
     )
-
-    def run(key, members):
-        sid, comp, at, n, l = (members.column(c).to_numpy() for c in ("sid", "comp", "at", "n", "shared"))
-        prefixes = [np.frombuffer(b.as_py(), dtype=np.uint64) for b in members.column("prefix")]
-        flat, owner = np.concatenate(prefixes), np.repeat(np.arange(len(prefixes)), [len(p) for p in prefixes])
-        order = np.argsort(flat, kind="stable")
-        flat, owner = flat[order], owner[order]
-        _, group = np.unique(comp, return_inverse=True)
-        slack = l - -(-limit.num * n // limit.den)
-        across = key[1].as_py() != key[2].as_py()
-        a, b = [], []
-        for x in np.flatnonzero(group != np.bincount(group).argmax()):
-            lo = np.searchsorted(flat, prefixes[x], side="left")
-            wide = np.searchsorted(flat, prefixes[x], side="right") - lo
+    fields = ["token", "i", "j", "at", "sid", "comp"]
+
+    def stay(key, members):
+        block = _Block(key, members, limit)
+        open_ = np.zeros(len(block.sid), dtype=bool)
+        for x in block.seekers():
+            found = block.candidates(x)
+            if found.any():
+                open_ |= found
+                open_[x] = True
+        return members.select(fields).filter(pa.array(open_))
+
+    def link(key, members):
+        block = _Block(key, members, limit)
+        whole = [np.frombuffer(b.as_py(), dtype=np.uint64) for b in members.column("hashes")]
+        flat, owner = block._index(whole)
+        up = list(range(int(block.group.max()) + 1))
+
+        def root(k: int) -> int:
+            while up[k] != k:
+                up[k] = up[up[k]]
+                k = up[k]
+            return k
+
+        out = []
+        for x in block.seekers():
+            ok = block.candidates(x)
+            if not ok.any():
+                continue
+            lo = np.searchsorted(flat, whole[x], side="left")
+            wide = np.searchsorted(flat, whole[x], side="right") - lo
             places = np.repeat(lo - np.concatenate([[0], np.cumsum(wide)[:-1]]), wide) + np.arange(wide.sum())
-            shared = np.bincount(owner[places], minlength=len(prefixes))
-            need = -(-limit.num * (n[x] + n) // (limit.num + limit.den))
-            ok = (shared >= np.maximum(need + np.minimum(slack[x], slack), 1)) & (group != group[x])
-            ok &= limit.den * np.minimum(n[x], n) >= limit.num * np.maximum(n[x], n)
-            if across:
-                ok &= at != at[x]
-            y = np.flatnonzero(ok)
-            a.append(np.minimum(sid[x], sid[y]))
-            b.append(np.maximum(sid[x], sid[y]))
-        none = [np.zeros(0, np.int64)]
-        return pa.table({"a": pa.array(np.concatenate(a or none)), "b": pa.array(np.concatenate(b or none))})
+            shared = np.bincount(owner[places], minlength=len(whole))
+            for y in np.flatnonzero(ok & limit.linked(shared, block.n[x], block.n)):
+                a, b = root(block.group[x]), root(block.group[y])
+                if a != b:
+                    up[a] = b
+                    out.append((int(block.sid[x]), int(block.sid[y])))
+        return pa.table({"a": pa.array([min(o) for o in out], pa.int64()), "b": pa.array([max(o) for o in out], pa.int64())})
 
     with_prefix = placed.join(sets.select("sid", "n", "shared", "prefix"), "sid")
-    return with_prefix.groupBy("token", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    left = keep(
+        with_prefix.groupBy("token", "i", "j").applyInArrow(stay, "token long, i int, j int, at int, sid long, comp long"), "open-blocks"
+    )
+    return left.join(_named(sets, left, "sid"), "sid").groupBy("token", "i", "j").applyInArrow(link, "a long, b long")
 
 
 def memberships(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -488,8 +544,7 @@ def _links(lists: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
         (F.col("a") < F.col("b")) & (F.col("ka") != F.col("kb")) & _in_range(limit, F.col("na"), F.col("nb"))
     ).select("a", "b").distinct()
     fresh = keep(pairs.join(tried, ["a", "b"], "left_anti"), "short-pairs")
-    blocks = keep(_block_pairs(long_.select("token", "sid", "comp", "n"), sets, limit).join(tried, ["a", "b"], "left_anti"), "block-pairs")
-    rest = verified(fresh, sets, limit).unionByName(verified(blocks, sets, limit, matched=True))
+    rest = verified(fresh, sets, limit).unionByName(_block_links(long_.select("token", "sid", "comp", "n"), sets, limit))
     return keep(links.unionByName(rest).distinct(), "links")
 
 

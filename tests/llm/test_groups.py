@@ -101,12 +101,12 @@ def test_odd_rows(spark):
 
 
 def test_a_long_list_and_a_very_long_text(spark):
-    passage = " ".join(f"p{i}" for i in range(12))
+    passage = " ".join(f"p{i}" for i in range(20))
     rows = [(i, f"{passage} own{i} {passage.upper()} mine{i // 2}") for i in range(5000)]
     rows += [(9000, " ".join(f"z{i % 4001}" for i in range(200_000))), (9001, " ".join(f"z{i % 4001}" for i in range(199_990)))]
     sets = plain_sets([t for _, t in rows[:8]] + [t for _, t in rows[-2:]], 3)
-    got = {r["doc_id"]: r for r in setjoin.groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 8, 10).collect()}
-    linked = [[10 * len(x & y) >= 8 * len(x | y) for y in sets] for x in sets]
+    got = {r["doc_id"]: r for r in setjoin.groups(spark.createDataFrame(rows, "doc_id long, text string"), 3, 75, 100).collect()}
+    linked = [[100 * len(x & y) >= 75 * len(x | y) for y in sets] for x in sets]
     assert linked[-1][-2] and got[9001]["component_id"] == 9000 and got[9000]["n_shingles"] == len(sets[-2])
     # two neighbours share their last word too; the others share the passage alone
     assert linked[0][1] and not linked[0][2]
