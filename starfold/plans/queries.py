@@ -353,6 +353,35 @@ def _(s: Samples) -> DataFrame:
     return ingest.upsert_companies(s.current_companies(), s.incoming_companies())
 
 
+@query("company_upsert_fields", """
+, cur AS (
+  SELECT 's' || s_suppkey AS org_id, s_name AS name, 'nation ' || s_nationkey AS address,
+         CASE WHEN s_suppkey % 2 = 0 THEN ['a', s_name] END AS categories, 'cafe' AS service_type, 'mine' AS role FROM supplier
+), inc AS (
+  SELECT 's' || (s_suppkey + 1) AS org_id, CASE WHEN s_suppkey % 3 = 0 THEN 'at ' || s_name END AS address,
+         CASE WHEN s_suppkey % 4 = 0 THEN [s_name] END AS categories, CASE WHEN s_suppkey % 5 = 0 THEN 'auto_service' END AS service_type FROM supplier
+)
+SELECT org_id, cur.name AS name, coalesce(inc.address, cur.address) AS address,
+       array_to_string(coalesce(inc.categories, cur.categories), '|') AS categories,
+       coalesce(inc.service_type, cur.service_type) AS service_type,
+       CASE WHEN inc.org_id IS NULL THEN cur.role ELSE 'tracked' END AS role
+FROM cur FULL JOIN inc USING (org_id)""")
+def _(s: Samples) -> DataFrame:
+    """Address, categories and service type of known companies survive NULLs; an absent role is the default."""
+    k, name = F.col("s_suppkey"), F.col("s_name")
+    rows = s.raw("supplier")
+    current = rows.select(
+        F.concat(F.lit("s"), k.cast("string")).alias("org_id"), name.alias("name"), F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")).alias("address"),
+        F.when(k % 2 == 0, F.array(F.lit("a"), name)).alias("categories"), F.lit("cafe").alias("service_type"), F.lit("mine").alias("role"),
+    )
+    incoming = rows.select(
+        F.concat(F.lit("s"), (k + 1).cast("string")).alias("org_id"), F.when(k % 3 == 0, F.concat(F.lit("at "), name)).alias("address"),
+        F.when(k % 4 == 0, F.array(name)).alias("categories"), F.when(k % 5 == 0, F.lit("auto_service")).alias("service_type"),
+    )
+    merged = ingest.upsert_companies(current, incoming)
+    return merged.withColumn("categories", F.when(F.col("categories").isNotNull(), F.array_join("categories", "|")))
+
+
 _KNOWN = """company_org_id IN (SELECT org_id FROM companies) AND competitor_org_id IN (SELECT org_id FROM companies)"""
 
 
@@ -849,7 +878,7 @@ def _(s: Samples) -> DataFrame:
 
 @query("has_vectors", "SELECT count(*) > 0 AS any_vectors FROM vectors")
 def _(s: Samples) -> DataFrame:
-    return s.spark.createDataFrame([(similarity.has_vectors(s.vectors()),)], "any_vectors boolean")
+    return s.vectors().select("review_id").limit(1).agg((F.count(F.lit(1)) > 0).alias("any_vectors"))
 
 
 @query("vectors_save", """
@@ -1045,6 +1074,24 @@ def _(s: Samples) -> DataFrame:
     return topic_ops.topic_tree(s.topics(), assigned(s, 0.1), s.reviews())
 
 
+@query("topic_tree_json", _LEAVES + """
+, heads AS (
+  SELECT t.org_id, t.id AS topic_id, t.name, t.position, coalesce(sum(l.n), 0)::bigint AS review_count,
+         floor(coalesce(sum(l.m * l.n) / nullif(sum(l.n), 0), 0) * 10 + 0.5) / 10 AS avg_stars,
+         coalesce(list({'topic_id': l.topic_id, 'name': l.name, 'review_count': l.n, 'avg_stars': floor(l.m * 10 + 0.5) / 10}
+                       ORDER BY l.position, l.topic_id) FILTER (l.topic_id IS NOT NULL), []) AS children
+  FROM topics t LEFT JOIN (SELECT l.*, t.position FROM leaves l JOIN topics t ON t.id = l.topic_id) l ON l.parent_id = t.id
+  WHERE t.parent_id IS NULL GROUP BY ALL)
+SELECT org_id, row_number() OVER (PARTITION BY org_id ORDER BY review_count DESC, position, topic_id)::int AS rank,
+       to_json({'topic_id': topic_id, 'name': name, 'review_count': review_count, 'avg_stars': avg_stars, 'children': children})::varchar AS json
+FROM heads""")
+def _(s: Samples) -> DataFrame:
+    """Every parent topic as one JSON object with its subtopics in document order."""
+    tree = topic_ops.topic_tree_nested(s.topics(), assigned(s, 0.1), s.reviews())
+    shown = F.struct("topic_id", "name", "review_count", "avg_stars", "children")
+    return tree.select("org_id", "rank", F.to_json(shown).alias("json"))
+
+
 # -- scores ------------------------------------------------------------------------------------------
 
 
