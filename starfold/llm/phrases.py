@@ -27,14 +27,19 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from starfold.llm.common import keep, release, small_batches
+from starfold.llm.common import keep, partitions, release, small_batches
+from starfold.llm.spans import PAD, hash_spans, pair
 
 #: Least count of a phrase; a longer one covers it at this share of its count; phrases reported of a language.
 LEAST, COVER, TOP = 30, (80, 100), 2_000
 #: Bits of the bitmap of words and pairs that may be frequent (a full bitmap prunes nothing; results stay the same).
 FILTER_BITS = 27
+#: Bits of a hash that are counted, and those of them that name a range (of ``FILTER_BITS - PART_BITS`` bits in the bitmap, three at least).
+KEY_BITS, PART_BITS = 40, 12
 #: Bytes of text worked on at once, hashes held by a task before they are passed on, edges of a stored path.
 BLOCK, HELD, STRETCH = 1 << 22, 1 << 22, 1_024
+#: Difference of the second hash's seed.
+LANE = 0x94D049BB133111EB
 #: Copies of a word's count, so that a common word's phrases meet it in several tasks.
 SALTS = 16
 
@@ -45,14 +50,6 @@ _KIND = np.zeros(256, dtype=np.uint8)
 _KIND[[0x20, 0x09]] = _BLANK
 _KIND[[ord(c) for c in ".,;:!?\n\x0b\x0c\r"]] = _BREAK
 _BREAKS = [bytes([c]) for c in b".,;:!?\n\x0b\x0c\r"]
-_M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
-_TAIL = np.array([(1 << (8 * k)) - 1 for k in range(8)] + [(1 << 64) - 1], dtype=np.uint64)
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(32))) * _M1
-    h = (h ^ (h >> np.uint64(29))) * _M2
-    return h ^ (h >> np.uint64(32))
 
 
 def _stretches(raw: bytes, most: int) -> Iterator[bytes]:
@@ -72,9 +69,9 @@ class Words:
     """The words of one block of texts: places in the lower-cased bytes, languages, links and hashes."""
 
     def __init__(self, raw: list[bytes], langs: list[int]):
-        data = np.frombuffer(b"\n".join(raw) + b"\n" + bytes(8), dtype=np.uint8)
+        data = np.frombuffer(b"\n".join(raw) + b"\n" + bytes(PAD), dtype=np.uint8)
         kind = _KIND[data]
-        kind[-8:] = _BREAK
+        kind[-PAD:] = _BREAK
         self.data = _LOWER[data]
         word = (kind == 0).view(np.int8)
         edge = np.diff(word, prepend=np.int8(0))
@@ -87,17 +84,7 @@ class Words:
 
     def hashes(self, seeds: list[int], lane: int = 0) -> np.ndarray:
         """Hash of every word with its language (``seeds`` has one a language)."""
-        eight = np.ndarray((len(self.data) - 7,), dtype="<u8", buffer=self.data, strides=(1,))
-        size = self.end - self.start
-        h = _mix(np.array(seeds, dtype=np.uint64)[self.lang] + size.astype(np.uint64) * _M3 + np.uint64(lane) * _M2)
-        at, rows = self.start.copy(), np.arange(len(size))
-        left = size
-        while len(rows):
-            part = eight[at] & _TAIL[np.minimum(left, 8)]
-            h[rows] = _mix(h[rows] ^ (part * _M2 + _M3))
-            more = left > 8
-            rows, at, left = rows[more], at[more] + 8, left[more] - 8
-        return h
+        return hash_spans(self.data, self.start, self.end, np.array(seeds, dtype=np.uint64)[self.lang] ^ np.uint64(lane * LANE))
 
     def strings(self, which: np.ndarray) -> pa.Array:
         return pa.array([self.data[a:b].tobytes() for a, b in zip(self.start[which].tolist(), self.end[which].tolist())], pa.binary()).cast(pa.string())
@@ -106,7 +93,7 @@ class Words:
 def _pairs(h: np.ndarray, link: np.ndarray) -> np.ndarray:
     """Hash of the pair that begins at each linked word."""
     at = np.flatnonzero(link)
-    return _mix(h[at] * _M3 + _mix(h[at + 1] + _M1))
+    return pair(h[at], h[at + 1])
 
 
 def _seed(lang: str) -> int:
@@ -144,52 +131,91 @@ def _tally(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The bytes of whole numbers, all lowest ones first: the upper ones are alike and compress."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _from_planes(raw: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, dtype=np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def may_be_frequent(texts: DataFrame, least: int, bits: int = FILTER_BITS) -> np.ndarray:
-    """Bitmap (``bits`` sets its fixed size) of the hashes of words and pairs that occur ``least`` times or more."""
+    """Bitmap (``bits`` sets its fixed size) of the hashes of words and pairs that occur ``least`` times or more.
+
+    Tasks count the upper ``KEY_BITS`` bits of hashes, which are passed on in packed ranges; a range is also a page of
+    the bitmap. Counts stop at what two bytes hold, and so does the threshold.
+    """
+    inside, page = KEY_BITS - PART_BITS, 1 << (bits - PART_BITS)
+    most = (1 << 16) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
 
-        def out():
-            keys, counts = _tally(held)
-            for at in range(0, len(keys), 1 << 16):
-                yield pa.RecordBatch.from_pydict({"key": pa.array(keys[at : at + (1 << 16)].view(np.int64)), "n": pa.array(counts[at : at + (1 << 16)])})
+        def out(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+            edges = np.searchsorted(keys, np.arange((1 << PART_BITS) + 1, dtype=np.uint64) << np.uint64(inside))
+            parts = np.flatnonzero(np.diff(edges))
+            own = (keys & np.uint64((1 << inside) - 1)).astype(np.uint32)
+            counts = np.minimum(counts, most).astype(np.uint16)
+            spans = [slice(a, b) for a, b in zip(edges[parts], edges[parts + 1])]
+            return pa.RecordBatch.from_pydict({
+                "part": pa.array(parts.astype(np.int32)),
+                "keys": pa.array([_planes(np.diff(own[x], prepend=np.uint32(0))) for x in spans], pa.binary()),
+                "counts": pa.array([_planes(counts[x]) for x in spans], pa.binary()),
+            })
 
         for words, names in _blocks(batches):
             h = words.hashes([_seed(n) for n in names])
             for keys in (h, _pairs(h, words.link)):
-                u, c = np.unique(keys, return_counts=True)
+                u, c = np.unique(keys >> np.uint64(64 - KEY_BITS), return_counts=True)
                 held.append((u, c.astype(np.int64)))
                 size += len(u)
             if size > HELD:
                 held = [_tally(held)]
                 size = len(held[0][0])
                 if size > HELD // 2:
-                    yield from out()
+                    yield out(*held[0])
                     held, size = [], 0
         if held:
-            yield from out()
+            yield out(*_tally(held))
 
-    seen = texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    slot = F.col("key").bitwiseAND((1 << bits) - 1)
-    page = 1 << min(bits, 19)
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, size = None, [], 0
 
-    def pack(key: tuple, tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = np.zeros(page, dtype=bool)
-        for t in tables:
-            marks[t.column("slot").to_numpy() % page] = True
-        yield pa.RecordBatch.from_pydict({"page": pa.array([key[0].as_py()], pa.int64()), "bits": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary())})
+        def done() -> pa.RecordBatch:
+            keys, counts = _tally(held)
+            marks = np.zeros(page, dtype=bool)
+            marks[keys[counts >= min(least, most)] >> np.uint32(inside + PART_BITS - bits)] = True
+            return pa.RecordBatch.from_pydict({
+                "part": pa.array([now], pa.int32()), "bits": pa.array([np.packbits(marks, bitorder="little").tobytes()], pa.binary()),
+            })
+
+        for batch in batches:
+            for part, keys, counts in zip(*(batch.column(c).to_pylist() for c in ("part", "keys", "counts"))):
+                if part != now:
+                    if held:
+                        yield done()
+                    now, held, size = part, [], 0
+                held.append((np.cumsum(_from_planes(keys, np.uint32), dtype=np.uint32), _from_planes(counts, np.uint16).astype(np.int64)))
+                size += len(held[-1][0])
+                if len(held) > 1 and size > HELD:
+                    held = [_tally(held)]
+                    size = len(held[0][0]) // 2
+        if held:
+            yield done()
 
-    pages = seen.select(slot.alias("slot")).select("slot", (F.col("slot") / page).cast("long").alias("page"))
+    packed = texts.mapInArrow(run, "part int, keys binary, counts binary")
+    ranged = packed.repartition(partitions(texts.sparkSession), "part").sortWithinPartitions("part")
     marks = np.zeros((1 << bits) // 8, dtype=np.uint8)
-    for r in pages.groupBy("page").applyInArrow(pack, "page long, bits binary").toLocalIterator():
-        marks[r["page"] * page // 8 :][: page // 8] = np.frombuffer(r["bits"], dtype=np.uint8)
+    for r in ranged.mapInArrow(merge, "part int, bits binary").toLocalIterator():
+        marks[r["part"] * page // 8 :][: page // 8] = np.frombuffer(r["bits"], dtype=np.uint8)
     return marks
 
 
 def _marked(marks: np.ndarray, h: np.ndarray) -> np.ndarray:
-    slot = (h & np.uint64(len(marks) * 8 - 1)).astype(np.int64)
+    slot = (h >> np.uint64(64 - (len(marks) * 8).bit_length() + 1)).astype(np.int64)
     return (marks[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
@@ -348,6 +374,7 @@ def collocations(docs: DataFrame, least: int = LEAST, cover: tuple[int, int] = C
         uncovered.select("lang", "gram", F.col("n").alias("a"), "size").unionByName(four.select("lang", "gram", F.col("n").alias("a"), F.lit(4).alias("size"))),
         "phrases-candidates",
     )
+    release(paths)
     return _scored(candidates, counts, parts, least)
 
 

@@ -60,12 +60,31 @@ def corpus(seed, docs=60):
     return rows
 
 
-@pytest.mark.parametrize("seed,bits", [(1, 27), (2, 27), (3, 4)])
+@pytest.mark.parametrize("seed,bits", [(1, 27), (2, 15)])
 def test_counts_and_ranks_are_exact(spark, seed, bits):
     rows = corpus(seed)
     assert mined(spark, rows, 4, bits=bits) == brute(rows, 4)
 
 
+def test_a_full_bitmap_changes_nothing(spark, monkeypatch):
+    rows = corpus(3)
+    monkeypatch.setattr(phrases, "may_be_frequent", lambda *a: np.full(16, 255, np.uint8))
+    assert mined(spark, rows, 4) == brute(rows, 4)
+
+
+def test_the_bitmap_holds_what_is_frequent_and_little_else(spark):
+    rows = [(l or "und", t) for l, t in corpus(4)]
+    frame = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    marks = phrases.may_be_frequent(frame, 6)
+    names = sorted({l for l, _ in rows})
+    words = phrases.Words([t.encode() for _, t in rows], [names.index(l) for l, _ in rows])
+    h = words.hashes([phrases._seed(n) for n in names])
+    for keys in (h, phrases._pairs(h, words.link)):
+        u, c = np.unique(keys, return_counts=True)
+        assert (phrases._marked(marks, u) == (c >= 6)).all()
+    assert phrases.may_be_frequent(frame, 1 << 40).any() == False  # noqa: E712
+
+
 def test_odd_rows(spark):
     rows = [("en", None), ("en", ""), (None, " \t ."), ("fr", "a a a a a a a a a a a a"), ("xx", "ab ab. ab ab ab, ab")] * 3
     rows += [("de", "eins zwei drei vier fünf sechs eins zwei drei vier fünf sechs eins zwei drei " * 40)]
