@@ -49,13 +49,20 @@ def label(source):
 
 
 def targets(
-    sizes: dict[str, int], weights: tuple[int, ...] = WEIGHTS, share: Fraction = SHARE, repeats: int = REPEATS
+    sizes: dict[str, int],
+    weights: tuple[int, ...] = WEIGHTS,
+    share: Fraction = SHARE,
+    repeats: int = REPEATS,
+    total: int | None = None,
 ) -> dict[str, Fraction]:
-    """Share ``share`` of all tokens by cyclic weights in label order; nobody above ``repeats`` times its size."""
+    """Share ``share`` of all tokens by cyclic weights in label order; nobody above ``repeats`` times its size.
+
+    ``total`` counts every document once; it is less than the sum of ``sizes`` where sources overlap.
+    """
     order = sorted(sizes)
     weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
     out: dict[str, Fraction] = {}
-    rest, open_ = share * sum(sizes.values()), set(order)
+    rest, open_ = share * (sum(sizes.values()) if total is None else total), set(order)
     while open_:
         level = rest / sum(weight[s] for s in open_)
         above = {s for s in open_ if weight[s] * level > repeats * sizes[s]}
@@ -151,7 +158,7 @@ class Mix:
         for p, size in sizes.items():
             for source in p:
                 self.source_size[source] = self.source_size.get(source, 0) + size
-        self.target = targets(self.source_size, repeats=repeats)
+        self.target = targets(self.source_size, repeats=repeats, total=sum(sizes.values()))
         self.routed = route(sizes, self.target, repeats)
         self.thresholds = self._thresholds(spark, rows, sizes)
 
