@@ -225,7 +225,7 @@ def mix(docs: DataFrame) -> DataFrame:
     keyed = docs.select(
         F.struct(*names).alias("doc"), F.array(label(F.col("source"))).alias("pattern"), seeded("doc_id").alias("h")
     )
-    taken = mixed.takes(keyed).filter("times > 0")
+    taken = mixed.takes(keyed).filter((F.col("times") > 0) & F.col("doc")["text"].rlike(WORDS))
     return taken.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).select("doc.*")
 
 

@@ -2,7 +2,7 @@
 
 Words get log-odds of toxic against clean documents with a Dirichlet prior (the pooled
 counts, scaled), kept for words whose log-odds are large and stand out from their sampling
-error; all other words cost a constant. Copies count once. One linear scan finds every maximal-scoring segment of
+error; all other words cost a constant. Of copies a few count (``COPIES``). One linear scan finds every maximal-scoring segment of
 a document. A segment's score has an extreme-value law on clean text, whose two
 parameters come from clean training documents; segments that stand out from it add up,
 and a logistic curve turns the sum into the document's score.
@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,6 +38,8 @@ PRIOR, LEAST_DOCS, STANDS_OUT, LEAST_ODDS = 0.1, 3, 4.0, 1.0
 OTHER, LOW, HIGH = -0.25, -3.0, 6.0
 #: Least hashes that near copies among the labelled documents are found by.
 SKETCHES = 4
+#: Copies of one document that the sample keeps, so that a large group of copies does not rule it.
+COPIES = 16
 #: A segment counts if clean text has one like it in fewer than this many documents of its length.
 RARE = 0.05
 
@@ -131,8 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> Model:
     ids = keep(training_ids(known, each), "toxic-ids")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull())
     rows = texts.join(ids, "doc_id").mapInArrow(_sketch, "doc_id long, text string, toxic int, m array<long>")
-    one = F.min_by(F.struct(*rows.columns), F.struct("doc_id", F.xxhash64("text"))).alias("one")
-    rows = rows.groupBy("toxic", "m").agg(one).select("one.*")
+    place = Window.partitionBy("toxic", "m").orderBy("doc_id", F.xxhash64("text"))
+    rows = rows.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= COPIES)
     rows = keep(rows, "toxic-sample").select("text", "toxic")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
