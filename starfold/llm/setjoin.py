@@ -50,7 +50,7 @@ SKETCH, DEVIATIONS = 1 << 19, 6.0
 #: Bounds of the bitmap's cells, bytes of text for each cell, and cells of one of the pieces it is made in.
 LEAST_CELLS, MOST_CELLS, BYTES_A_CELL, PIECE = 1 << 20, 1 << 29, 8, 1 << 20
 #: Shingles a task holds before it hands on their cells.
-HELD = 4_000_000
+HELD = 2_000_000
 #: Longest ``l``; cost of verifying a candidate in rows of a prefix list.
 MOST_SHARED, VERIFY_COST = 16, 8.0
 #: Lists up to this length are tested as pairs of rows; longer ones in blocks of so many rows and bytes at most.
@@ -413,11 +413,11 @@ class _Block:
 def _block_links(rows: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
     """Links between different groups in long lists, enough to join what any link joins.
 
-    ``rows`` (token, sid, comp, n; written) are dealt into blocks of their list, two blocks to a task. First
+    ``rows`` (token, sid, comp, n; written) are dealt into blocks of their list, sized by whole sets, two to a task. First
     with their prefixes: members that pass the multi-match test with one of another group stay. Then these
     alone with whole sets: a member that its task has joined to another is not compared with it again.
     """
-    spread = keep(rows.groupBy("token").agg(F.count("*").alias("c"), F.sum(F.col("n") * 2 + 64).alias("bytes")), "long-lists")
+    spread = keep(rows.groupBy("token").agg(F.count("*").alias("c"), F.sum(F.col("n") * 8 + 64).alias("bytes")), "long-lists")
     parts = F.greatest(F.ceil(F.col("c") / BLOCK_ROWS), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
     per = spread.select("token", parts.alias("parts"))
     placed = (
