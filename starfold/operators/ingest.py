@@ -2,9 +2,8 @@
 
 Every function maps current rows plus incoming rows to the new rows; storing
 them is left to the caller. Incoming rows are reduced per key first (partial
-aggregation absorbs a hot key before the shuffle). The current table is then
-only joined to that reduced side: Spark broadcasts it when it is measured to be
-small, and the table streams through without a shuffle.
+aggregation absorbs a hot key before the shuffle). Reduced rows lie by key, so
+joining them to the current table moves only the table's rows, once.
 """
 
 from __future__ import annotations
@@ -51,22 +50,17 @@ def reduce_batch(batch: DataFrame, order_by: Sequence[str]) -> DataFrame:
     )
 
 
-def _known_keys(current: DataFrame, reduced: DataFrame) -> DataFrame:
-    """Keys of the reduced batch that the table already holds.
-
-    Only the key column of the table is read, and it is probed against the
-    batch, so a batch small enough to broadcast leaves it unshuffled.
-    """
-    return current.select(REVIEW_KEY).join(reduced.select(REVIEW_KEY), REVIEW_KEY, "left_semi")
-
-
 def _moving(current: DataFrame, reduced: DataFrame) -> list[str]:
     have = set(reduced.columns)
     return [c for c in current.columns if c in MUTABLE and c in have]
 
 
-def merge_reduced(current: DataFrame, reduced: DataFrame) -> DataFrame:
-    """Current reviews with a reduced batch merged in, by one join that reads each side once."""
+def merge_reduced(current: DataFrame, reduced: DataFrame, changes: bool = False) -> DataFrame:
+    """Current reviews with a reduced batch merged in, by one join that reads each side once.
+
+    With ``changes`` the rows carry ``change`` (``schemas.CHANGE``), from which counts and partial sums follow
+    without another join; ``current`` are stored reviews then.
+    """
     have, moving = set(reduced.columns), set(_moving(current, reduced))
     hit = F.col("inc._hit")
 
@@ -79,32 +73,24 @@ def merge_reduced(current: DataFrame, reduced: DataFrame) -> DataFrame:
             return F.when(F.col("cur._old"), F.col(f"cur.{c}")).otherwise(F.col(f"inc.{c}")).alias(c)
         return F.col(f"cur.{c}").alias(c)
 
+    change = []
+    if changes:
+        known = F.coalesce("cur._old", F.lit(False))
+        moved = known & ~F.col("inc.org_id").eqNullSafe(F.col("cur.org_id"))
+        seen = F.struct(
+            F.col("inc.n").alias("rows"),
+            F.when(moved, F.col("inc.org_id")).alias("org_id"),
+            known.alias("known"),
+            F.col("cur.stars").alias("stars"),
+            F.when(known, F.col("cur.business_response").isNotNull()).alias("responded"),
+            F.col("cur.has_text").alias("has_text"),
+        )
+        change = [F.when(hit, seen).cast(schemas.CHANGE).alias("change")]
     return (
         current.withColumn("_old", F.lit(True)).alias("cur")
         .join(reduced.withColumn("_hit", F.lit(True)).alias("inc"), REVIEW_KEY, "full")
-        .select(*[pick(c) for c in current.columns])
-    )
-
-
-def merge_staged(current: DataFrame, staged: DataFrame) -> DataFrame:
-    """The same for a reduced batch that is stored and therefore cheap to read repeatedly.
-
-    Spark knows its size: when it fits a broadcast, the current table is only
-    probed and streams through without a shuffle.
-    """
-    moving = _moving(current, staged)
-    incoming = staged.select(
-        REVIEW_KEY, F.lit(True).alias("_hit"), *[F.col(c).alias(f"_new_{c}") for c in moving]
+        .select(*[pick(c) for c in current.columns], *change)
     )
-    kept = current.join(incoming, REVIEW_KEY, "left").select(*[
-        F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
-        if c in moving
-        else F.col(c)
-        for c in current.columns
-    ])
-    fresh = staged.join(_known_keys(current, staged), REVIEW_KEY, "left_anti")
-    merged = kept.unionByName(schemas.conform(fresh, current.schema))
-    return merged.na.fill(0, ["likes", "dislikes"])
 
 
 def upsert_reviews(current: DataFrame, batch: DataFrame, order_by: Sequence[str]) -> DataFrame:
@@ -121,10 +107,10 @@ def _counts(joined: DataFrame, by: Sequence[str]) -> DataFrame:
     return joined.groupBy(*by).agg(*totals) if by else joined.agg(*totals)
 
 
-def counts_of_staged(current: DataFrame, staged: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Rows added and updated by a stored reduced batch: the first row of an unknown key adds, all others update."""
-    known = _known_keys(current, staged).withColumn("_known", F.lit(1))
-    return _counts(staged.select(*by, REVIEW_KEY, "n").join(known, REVIEW_KEY, "left"), by)
+def counts_of_changes(changed: DataFrame) -> DataFrame:
+    """Rows that a merged batch added and updated, per org it named: the first row of an unknown key adds, all others update."""
+    org = F.coalesce("change.org_id", "org_id").alias("org_id")
+    return _counts(changed.select(org, F.col("change.rows").alias("n"), F.when(F.col("change.known"), 1).alias("_known")), ["org_id"])
 
 
 def upsert_counts(current: DataFrame, batch: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -86,6 +86,16 @@ def of_batch(known: DataFrame, reduced: DataFrame) -> DataFrame:
     return merge(_signed(after, 1).unionByName(_signed(taken, -1)))
 
 
+def of_changes(changed: DataFrame) -> DataFrame:
+    """The same from the stored reviews that a merged batch named, which carry their ``change``: nothing is joined."""
+    kept = ("org_id", "date")
+    after = changed.select(*kept, "stars", "business_response", "has_text")
+    taken = changed.filter("change.known").select(
+        *kept, "change.stars", F.when(F.col("change.responded"), F.lit("")).alias("business_response"), "change.has_text"
+    )
+    return merge(_signed(after, 1).unionByName(_signed(taken, -1)))
+
+
 def org_stats(companies: DataFrame, parts: DataFrame) -> DataFrame:
     """``summary.org_stats`` of the reviews that the partials stand for."""
     rated = F.col("star").isNotNull()

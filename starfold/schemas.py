@@ -65,6 +65,17 @@ REVIEWS = _fields(
 #: Reviews as stored: with a flag that spares readers the text column.
 STORED_REVIEWS = T.StructType([*REVIEWS.fields, T.StructField("has_text", T.BooleanType(), True)])
 
+#: What the batch that wrote a stored review changed of it: how many of its rows had the key, their org if it is not the
+#: review's, whether the table held the review, and what it counted for then. NULL where the batch did not name the review.
+CHANGE = _fields(
+    ("rows", _L, True),
+    ("org_id", _S, True),
+    ("known", T.BooleanType(), True),
+    ("stars", _D, True),
+    ("responded", T.BooleanType(), True),
+    ("has_text", T.BooleanType(), True),
+)
+
 SYNC_LOG = _fields(
     ("seq", _L, False),
     ("org_id", _S, True),

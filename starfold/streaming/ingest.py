@@ -1,7 +1,8 @@
 """Incremental ingestion: new files in a landing folder are merged as they arrive.
 
-Each micro-batch is reduced per review key and staged, then merged into the
-review table, logged per org, and optionally embedded and classified. Every
+Each micro-batch is reduced per review key and merged into the review table in
+one step. The rows written say what the batch changed, and from these it is logged
+per org, and optionally summed, embedded and classified. Every
 table records the batch number it has applied, so a batch that is delivered
 again after a failure changes nothing twice.
 """
@@ -98,40 +99,37 @@ class ReviewIngest:
             rejects = store.stage(f"rejects/{place}", rows.filter(unusable))
             rows = rows.filter(~unusable).drop(CORRUPT)
         now = F.current_timestamp()
-        keyed = self.prepare(rows).withColumn("first_seen_at", now).withColumn("updated_at", now)
-        reduced = store.stage(f"reviews/{place}", ingest.reduce_batch(keyed, self.order_by))
-        parts = store.touched(reduced)
-        store.merge_reviews(reduced, batch, parts)
-        self._log(reduced, batch, parts, rejects)
+        keyed = self.prepare(rows)
+        reduced = ingest.reduce_batch(keyed, self.order_by).withColumn("first_seen_at", now).withColumn("updated_at", now)
+        store.merge_reviews(reduced, batch, keyed)
+        changed = store.changes(batch)
+        self._log(changed, batch, rejects)
         if self.partials is not None:
-            self._add_partials(reduced, batch, parts)
+            self._add_partials(changed, batch)
         if self.embedder is not None:
-            self._embed_and_classify(reduced, batch, parts)
-        for kind in ("arrived", "reviews", "stored", "vectors"):
+            self._embed_and_classify(changed, batch)
+        for kind in ("arrived", "stored", "vectors"):
             store.unstage(f"{kind}/{place}")
 
-    def _add_partials(self, reduced: DataFrame, batch: Batch, parts: list[int]) -> None:
+    def _add_partials(self, changed: DataFrame, batch: Batch) -> None:
         """The batch's signed partials, in a partition of their own: a batch delivered again writes the same partition."""
-        known = self.store.read("reviews", self.store.version_before("reviews", batch), parts)
-        found = partials.of_batch(known, reduced)
         (
-            found.withColumn("source", F.lit(batch[0])).withColumn("number", F.lit(batch[1]))
+            partials.of_changes(changed).withColumn("source", F.lit(batch[0])).withColumn("number", F.lit(batch[1]))
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("source", "number").parquet(self.partials)
         )
 
-    def _log(self, reduced: DataFrame, batch: Batch, parts: list[int], rejects: DataFrame | None = None) -> None:
+    def _log(self, changed: DataFrame, batch: Batch, rejects: DataFrame | None = None) -> None:
         """One log row per org, counted against the table as it was before the batch.
 
         An org of which the batch holds unreadable lines only gets an ``error`` row; where some lines
         were readable the row stays ``ok`` and says how many were not.
         """
         store = self.store
-        before = store.read("reviews", store.version_before("reviews", batch), parts)
-        counts = ingest.counts_of_staged(before, reduced, ["org_id"])
+        counts = ingest.counts_of_changes(changed)
         modes = ingest.sync_mode(counts, store.read("sync_log"))
         stamp: Column = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'")
         done = modes.join(counts, "org_id")
-        bad = rejected_lines(rejects) if rejects is not None else reduced.sparkSession.createDataFrame([], "org_id string, lines bigint")
+        bad = rejected_lines(rejects) if rejects is not None else changed.sparkSession.createDataFrame([], "org_id string, lines bigint")
         both = done.join(bad, "org_id", "full")
         failed = F.col("sync_type").isNull()
         none = F.lit(0).cast("bigint")
@@ -148,19 +146,14 @@ class ReviewIngest:
         )
         store.append("sync_log", entries, batch)
 
-    def _embed_and_classify(self, reduced: DataFrame, batch: Batch, parts: list[int]) -> None:
+    def _embed_and_classify(self, changed: DataFrame, batch: Batch) -> None:
         """Embed the batch's reviews that have no vector yet, and assign those.
 
         The batch is staged in narrow form, so the large tables are probed by
         id against a side of known size and never shuffled for one batch.
         """
         store, place = self.store, f"{batch[0]}/{batch[1]}"
-        rows = store.stage(
-            f"stored/{place}",
-            store.read("reviews", parts=parts)
-            .join(reduced.select(ingest.REVIEW_KEY), ingest.REVIEW_KEY, "left_semi")
-            .select("id", "org_id", "text"),
-        )
+        rows = store.stage(f"stored/{place}", changed.select("id", "org_id", "text"))
         vectors = store.read("review_embeddings", store.version_before("review_embeddings", batch))
         done = vectors.select("review_id").join(
             rows.select(F.col("id").alias("review_id")), "review_id", "left_semi"

@@ -6,6 +6,7 @@ from build import bag, batch, companies, reviews
 from pyspark.sql import functions as F
 
 from starfold.operators import ingest, partials, summary
+from starfold.sources.store import Store
 
 ORDER = ("seq",)
 
@@ -61,6 +62,21 @@ def test_a_changed_star_moves_and_an_unchanged_row_counts_once(spark):
     assert partials.of_batch(one, same.limit(0)).count() == 0
 
 
+def test_changes_of_a_merge_give_the_same_partials_and_counts(spark, tmp_path):
+    store = Store(spark, str(tmp_path), buckets=2)
+    for number, rows in enumerate(several_batches(3)):
+        reduced = ingest.reduce_batch(batch(spark, *rows), ORDER)
+        known = store.read("reviews")
+        store.merge_reviews(reduced, ("s", number))
+        changed = store.changes(("s", number))
+        assert bag(partials.of_changes(changed)) == bag(partials.of_batch(known, reduced))
+        # an org is charged with the rows that named it, also where the review belongs to another one
+        want = ingest._counts(reduced.join(known.select("review_key", F.lit(1).alias("_known")), "review_key", "left"), ["org_id"])
+        assert bag(ingest.counts_of_changes(changed)) == bag(want)
+    assert bag(store.changes(("s", 0)), "review_key") == bag(
+        ingest.reduce_batch(batch(spark, *several_batches(3)[0]), ORDER), "review_key")
+
+
 def test_reports_read_partials_alone(spark, tmp_path):
     parts = partials.from_reviews(reviews(spark, {"review_url": "a"}))
     parts.write.parquet(f"{tmp_path}/p")
