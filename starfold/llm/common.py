@@ -40,17 +40,19 @@ def keep(df: DataFrame, name: str, partition_by: Iterable[str] = ()) -> DataFram
 
 
 def release(*kept: DataFrame) -> None:
-    """Delete tables that ``keep`` wrote, once everything made from them is written.
-
-    Collecting garbage in the driver lets Spark delete the shuffles of plans that are gone.
-    """
+    """Delete tables that ``keep`` wrote, once everything made from them is written; the shuffles of plans that are gone go as well."""
     for df in kept:
         context = df.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(df._kept_at)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
     if kept:
-        context._jvm.System.gc()
+        drop_shuffles(kept[0].sparkSession)
+
+
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffles of plans that are gone: it does once the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from starfold.llm.common import keep, partitions, release, small_batches
+from starfold.llm.common import drop_shuffles, keep, partitions, release, small_batches
 from starfold.llm.spans import PAD, hash_spans, pair
 
 #: Least count of a phrase; a longer one covers it at this share of its count; phrases reported of a language.
@@ -299,6 +299,7 @@ def flows(parts: DataFrame) -> dict[int, DataFrame]:
     for size in (3, 2, 1):
         into = above.select("lang", F.substring_index("gram", " ", size).alias("gram"), "n").unionByName(of(size))
         above = out[size] = keep(into.groupBy("lang", "gram").agg(F.sum("n").alias("n")), f"phrases-{size}")
+        drop_shuffles(parts.sparkSession)
     return out
 
 
@@ -349,7 +350,10 @@ def collocations(docs: DataFrame, least: int = LEAST, cover: tuple[int, int] = C
     """lang, phrase, a, l, r, n, score of every phrase that no longer one covers."""
     small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    parts = keep(graph(texts, may_be_frequent(texts, least, bits)), "phrases-graph")
+    marks = may_be_frequent(texts, least, bits)
+    drop_shuffles(docs.sparkSession)  # of the hashes, before the edges move
+    parts = keep(graph(texts, marks), "phrases-graph")
+    drop_shuffles(docs.sparkSession)
     counts = flows(parts)
     frequent = F.col("n") >= least
     paths = keep(compact(parts.filter((F.col("size") == 4) & frequent).select("lang", "gram", "n")), "phrases-paths")

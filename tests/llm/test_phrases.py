@@ -120,3 +120,17 @@ def test_paths_are_compacted(spark):
     assert all(len(r["words"]) == len(r["weights"]) + 3 for r in paths)
     first = min(paths, key=lambda r: r["stretch"])
     assert first["words"][:4] == ["w0", "w1", "w2", "w3"] and first["weights"][5] == 3 and first["weights"][6] == 2
+
+
+def test_shuffles_of_earlier_steps_are_dropped_before_the_next_one(spark, monkeypatch):
+    order = []
+
+    def watch(name):
+        step = getattr(phrases, name)
+        monkeypatch.setattr(phrases, name, lambda *given: (order.append(name), step(*given))[1])
+
+    for name in ("may_be_frequent", "graph", "flows", "drop_shuffles"):
+        watch(name)
+    docs = spark.createDataFrame([("en", "a b c d. a b c e")] * 40, "lang string, text string")
+    assert phrases.collocations(docs).count() == len(brute([("en", "a b c d. a b c e")] * 40, 30))
+    assert order == ["may_be_frequent", "drop_shuffles", "graph", "drop_shuffles", "flows"] + 3 * ["drop_shuffles"]
