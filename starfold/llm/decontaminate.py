@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starfold.llm.common import keep, small_batches
+from starfold.llm.common import keep, small_batches, trimmed
 
 WINDOW = 10
 #: Words of the items in one automaton (about twice as many states, some 150 MB at this bound).
@@ -180,7 +180,7 @@ def _blocks(benchmark: DataFrame) -> tuple[DataFrame, int]:
             yield pa.RecordBatch.from_arrays([*batch.columns, n], names=["item", "text", "n"])
 
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
-    counted = keep(items.mapInArrow(count, "item string, text string, n long").filter("n > 0"), "benchmark-items")
+    counted = keep(items.mapInArrow(trimmed(count), "item string, text string, n long").filter("n > 0"), "benchmark-items")
     number = max(1, math.ceil((counted.agg(F.sum("n")).first()[0] or 0) / BLOCK_WORDS))
     block = F.pmod(F.xxhash64("item", "text"), F.lit(number)).cast("int").alias("block")
     return counted.select("item", "text", block), number
@@ -225,7 +225,7 @@ def _with_words(docs: DataFrame, added: Callable[[list[list[bytes]], pa.RecordBa
             ]
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in base), *new], names=[f.name for f in schema.fields])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def _pass(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
@@ -305,7 +305,7 @@ def decontaminate(
             arrays[at] = pa.array(texts, arrays[at].type)
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
 
-    return kept.select("row", "spans").mapInArrow(cut, schema)
+    return kept.select("row", "spans").mapInArrow(trimmed(cut), schema)
 
 
 #: The query op6 in SQL.

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starfold.llm.common import keep, release, small_batches
+from starfold.llm.common import give_back, keep, release, small_batches, trimmed
 from starfold.llm.graph import components
 
 #: Counters of the frequency sketch; deviations above the mean counter from which a frequency stands out.
@@ -211,7 +211,7 @@ def describe(docs: DataFrame, size: int) -> tuple[DataFrame, Order]:
             yield from hand_on()
         yield batch_of(1, piece=[-1], once=[zlib.compress(counts.tobytes(), 1)])
 
-    both = keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema), "sets")
+    both = keep(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(trimmed(run), schema), "sets")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[int, list[np.ndarray]] = {}
@@ -227,7 +227,7 @@ def describe(docs: DataFrame, size: int) -> tuple[DataFrame, Order]:
         })
 
     pieces = both.filter("piece >= 0").select("piece", "once", "twice")
-    merged = pieces.repartition(min(cells // PIECE, 512), "piece").mapInArrow(merge, "piece int, twice binary")
+    merged = pieces.repartition(min(cells // PIECE, 512), "piece").mapInArrow(trimmed(merge), "piece int, twice binary")
     shared = np.zeros(cells // 8, dtype=np.uint8)
     for r in merged.collect():  # as many bytes as the bitmap has, at most
         shared[r["piece"] * PIECE // 8 : (r["piece"] + 1) * PIECE // 8] = _unpacked(r["twice"])
@@ -241,7 +241,7 @@ def describe(docs: DataFrame, size: int) -> tuple[DataFrame, Order]:
 
     rows = keep(both.filter("piece IS NULL").select("doc_id", "n_shingles", "sid"), "set-names")
     counts = np.zeros(SKETCH, dtype=np.int64)
-    for r in both.filter("piece = -1").select("once").repartition(16).mapInArrow(add, "once binary").collect():
+    for r in both.filter("piece = -1").select("once").repartition(16).mapInArrow(trimmed(add), "once binary").collect():
         counts += np.frombuffer(zlib.decompress(r["once"]), dtype=np.int64)
     release(both)
     return rows, Order(counts, shared)
@@ -272,7 +272,7 @@ def prefix_rows(docs: DataFrame, size: int, limit: Threshold, order: Order) -> D
                     names=["token", "sid", "n"],
                 )
 
-    every = keep(docs.select("text").mapInArrow(run, "token long, sid long, n long"), "prefixes")
+    every = keep(docs.select("text").mapInArrow(trimmed(run), "token long, sid long, n long"), "prefixes")
     shared = every.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo <> hi").select("token")
     out = keep(every.join(shared, "token").distinct(), "shared-prefixes")
     release(every)
@@ -294,7 +294,7 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, size: int, limit: Threshold,
         yield pa.RecordBatch.from_pydict({"byte": pa.array(byte.astype(np.int32)), "bits": pa.array(mask[byte].astype(np.int32))})
 
     filled = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    found = wanted.select("sid").mapInArrow(bits, "byte int, bits int").groupBy("byte").agg(F.bit_or("bits").alias("bits")).toArrow()
+    found = wanted.select("sid").mapInArrow(trimmed(bits), "byte int, bits int").groupBy("byte").agg(F.bit_or("bits").alias("bits")).toArrow()
     filled[found.column("byte").to_numpy()] = found.column("bits").to_numpy()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +318,7 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, size: int, limit: Threshold,
                     [pa.array(c, k) for c, k in zip(columns, kinds)], names=["sid", "n", "hashes", "prefix", "shared"]
                 )
 
-    picked = docs.select("text").mapInArrow(run, "sid long, n long, hashes binary, prefix binary, shared int")
+    picked = docs.select("text").mapInArrow(trimmed(run), "sid long, n long, hashes binary, prefix binary, shared int")
     return keep(picked.join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "picked-sets")
 
 
@@ -361,8 +361,8 @@ def verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
 
         return run
 
-    near = keep(both(pairs, "n", "prefix", "shared").mapInArrow(passing(match), "a long, b long"), "near-pairs")
-    return both(near, "hashes").mapInArrow(passing(link), "a long, b long")
+    near = keep(both(pairs, "n", "prefix", "shared").mapInArrow(trimmed(passing(match)), "a long, b long"), "near-pairs")
+    return both(near, "hashes").mapInArrow(trimmed(passing(link)), "a long, b long")
 
 
 def _in_range(limit: Threshold, n, m):
@@ -438,6 +438,9 @@ def _block_links(rows: DataFrame, sets: DataFrame, limit: Threshold) -> DataFram
             if found.any():
                 open_ |= found
                 open_[x] = True
+        if members.nbytes > BLOCK_BYTES // 8:
+            del block
+            give_back()
         return members.select(fields).filter(pa.array(open_))
 
     def link(key, members):
@@ -466,6 +469,9 @@ def _block_links(rows: DataFrame, sets: DataFrame, limit: Threshold) -> DataFram
                 if a != b:
                     up[a] = b
                     out.append((int(block.sid[x]), int(block.sid[y])))
+        if members.nbytes > BLOCK_BYTES // 8:
+            del block, whole, flat, owner
+            give_back()
         return pa.table({"a": pa.array([min(o) for o in out], pa.int64()), "b": pa.array([max(o) for o in out], pa.int64())})
 
     with_prefix = placed.join(sets.select("sid", "n", "shared", "prefix"), "sid")
@@ -591,4 +597,4 @@ def _with_set_id(rows: DataFrame, size: int) -> DataFrame:
             names = pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, names], names=["row", "text", "set"])
 
-    return texts.mapInArrow(run, schema).drop("text")
+    return texts.mapInArrow(trimmed(run), schema).drop("text")

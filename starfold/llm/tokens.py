@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from starfold.llm.common import keep, partitions, small_batches, work_path
+from starfold.llm.common import keep, partitions, small_batches, trimmed, work_path
 from starfold.llm.spans import PAD, hash_spans
 
 SEQUENCE, BATCH_SEQUENCES, END_ID = 1024, 256, 0
@@ -303,7 +303,7 @@ def write_tokens(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
         .repartitionByRange(partitions(spark), "doc_id", "tie")
         .sortWithinPartitions("doc_id", "tie")
         .select("doc_id", "text")
-        .mapInArrow(write, "part int, path string, n_docs long, n_tokens long")
+        .mapInArrow(trimmed(write), "part int, path string, n_docs long, n_tokens long")
     )
     return keep(written, "token-parts")
 
@@ -373,7 +373,7 @@ def read_tokens(spark: SparkSession, parts: DataFrame) -> DataFrame:
                         "row_in_file": pa.array(starts),
                     })
 
-    return files.mapInArrow(read, schema).drop("row_in_file")
+    return files.mapInArrow(trimmed(read), schema).drop("row_in_file")
 
 
 def encode_corpus(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from starfold.llm.common import id_hash, keep, small_batches, unused
+from starfold.llm.common import id_hash, keep, small_batches, trimmed, unused
 from starfold.llm.setjoin import shingles
 
 #: Labelled documents of each class that the model is fitted on, at most.
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> Model:
     share = known.agg(F.avg("toxic")).first()[0] or 0.0
     ids = keep(training_ids(known, each), "toxic-ids")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.col("text").isNotNull())
-    rows = texts.join(ids, "doc_id").mapInArrow(_sketch, "doc_id long, text string, toxic int, m array<long>")
+    rows = texts.join(ids, "doc_id").mapInArrow(trimmed(_sketch), "doc_id long, text string, toxic int, m array<long>")
     place = Window.partitionBy("toxic", "m").orderBy("doc_id", F.xxhash64("text"))
     rows = rows.withColumn("place", F.row_number().over(place)).filter(F.col("place") <= COPIES)
     rows = keep(rows, "toxic-sample").select("text", "toxic")
@@ -153,7 +153,7 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> Model:
 
     per_side = lambda k: F.sum(F.when(F.col("side") == k, F.col("docs")).otherwise(0)).cast("double")
     words = keep(
-        rows.mapInArrow(count, "word string, side int, docs long").groupBy("word").agg(per_side(0).alias("c"), per_side(1).alias("t")),
+        rows.mapInArrow(trimmed(count), "word string, side int, docs long").groupBy("word").agg(per_side(0).alias("c"), per_side(1).alias("t")),
         "toxic-words",
     )
     totals = words.agg(F.sum("c").alias("c"), F.sum("t").alias("t")).first()
@@ -183,7 +183,7 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> Model:
                 "toxic": batch.column("toxic"), "n": pa.array([len(w) for w in texts], pa.int64()), "s": pa.array(top_, pa.float64()),
             })
 
-    seen = rows.mapInArrow(best, "toxic int, n long, s double").collect()
+    seen = rows.mapInArrow(trimmed(best), "toxic int, n long, s double").collect()
     standard = [rate * r["s"] - math.log(r["n"]) for r in seen if r["toxic"] == 0 and r["n"]]
     # the mean of the law is its place plus Euler's constant; the median bears labels that err
     space = math.exp(float(np.median(standard)) + math.log(math.log(2))) if standard else 1.0
@@ -194,7 +194,7 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = SAMPLE) -> Model:
             x = [law.evidence(words_of(t))[0] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic"), "x": pa.array(x, pa.float64())})
 
-    points = rows.mapInArrow(weigh, "toxic int, x double").collect()
+    points = rows.mapInArrow(trimmed(weigh), "toxic int, x double").collect()
     x = np.array([math.log1p(r["x"]) for r in points])
     slope, offset = _curve(x, np.array([r["toxic"] for r in points], dtype=float), share)
     return Model(weights, rate, law.space, slope, offset)
@@ -244,7 +244,7 @@ def add_score(docs: DataFrame, model: Model, text: str = "text", out: str = "_to
             scores = [model.score(words_of(t)) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def digest(docs: DataFrame, model: Model) -> DataFrame:

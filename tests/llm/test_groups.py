@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from starfold.llm import setjoin, vectorgraph
+from starfold.llm import common, setjoin, vectorgraph
 from starfold.llm.graph import components
 
 
@@ -239,3 +239,14 @@ def test_no_vectors(spark):
     odd = spark.createDataFrame([(None, [1.0, 1.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
     got = sorted((r["vec_id"] or -1, r["n_links"], r["component_id"] or -1, r["kept"]) for r in vectorgraph.near_duplicates(odd)[0].collect())
     assert got == [(-1, 0, -1, True), (2, 1, 2, True), (2, 1, 2, True)]
+
+
+def test_workers_give_memory_back_after_the_last_batch(monkeypatch):
+    told = []
+    monkeypatch.setattr(common, "give_back", lambda: told.append("back"))
+    run = common.trimmed(lambda batches: (told.append(b) or b for b in batches))
+    assert list(run(iter("ab"))) == ["a", "b"] and told == ["a", "b", "back"]
+    part = run(iter("cd"))
+    next(part)
+    part.close()
+    assert told[3:] == ["c", "back"]
