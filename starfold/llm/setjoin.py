@@ -9,8 +9,9 @@ each; every document picks its own ``l`` (and so its prefix) by the cost that th
 estimates for it: rows to look at and candidates to verify. A pair is verified if its
 prefixes share at least the smaller of the two ``l`` (more if the sizes say so).
 
-The bitmap has about as many cells as the texts have shingles, at most ``MOST_CELLS``; where it
-fills up, more shingles count as shared, which costs rows but changes no result.
+The bitmap has about as many cells as the texts have shingles, whatever their number, at most
+``MOST_CELLS``; where it fills up, more shingles count as shared, which costs rows but changes no
+result. Tasks hand on the cells they meet as the gaps between them.
 
 Groups, not pairs, are the result, so that large groups of near copies cost no square of
 rows: while shared prefix shingles promise many pairs, each shingle's documents are
@@ -18,7 +19,9 @@ compared with one of them only (another in each round) and groups found so far a
 What remains is tested in full: pairs of rows for short lists, and for long lists blocks of
 prefixes of bounded size, two to a task, in which only documents of different groups meet.
 Either way a pair must share as many prefix shingles as it calls for before whole sets are
-moved, and those of named sets only. No link between different groups is left unseen.
+moved, and those of named sets only; for pairs of rows, the shingles of both by ranges of hashes must
+also leave room for a link. Whole sets stay in the files of the tasks that made them; copies of
+one set in several of them are told apart by their place. No link between different groups is left unseen.
 
 Shingles and sets are 64-bit hashes; among ``n`` sets two different ones collide with probability
 below ``n * n / 2**65``.
@@ -34,11 +37,12 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,9 +52,9 @@ from starfold.llm.graph import components
 #: Counters of the frequency sketch; deviations above the mean counter from which a frequency stands out.
 SKETCH, DEVIATIONS = 1 << 19, 6.0
 #: Bounds of the bitmap's cells, bytes of text for each cell, and cells of one of the pieces it is made in.
-LEAST_CELLS, MOST_CELLS, BYTES_A_CELL, PIECE = 1 << 20, 1 << 29, 8, 1 << 20
-#: Shingles a task holds before it hands on their cells.
-HELD = 2_000_000
+LEAST_CELLS, MOST_CELLS, BYTES_A_CELL, PIECE = 1 << 20, 1 << 29, 6, 1 << 20
+#: Cells (4 bytes each) a task holds before it hands them on.
+HELD = 4_000_000
 #: Longest ``l``; cost of verifying a candidate in rows of a prefix list.
 MOST_SHARED, VERIFY_COST = 16, 8.0
 #: Lists up to this length are tested as pairs of rows; longer ones in blocks of so many rows and bytes at most.
@@ -62,6 +66,8 @@ ROUNDS, LEAST_GAIN = 6, 0.1
 SMALL_LIST = 1_000_000
 #: Bits of the filter that picks the sets to be fetched.
 FILTER_BITS = 1 << 25
+#: Ranges of hashes (a power of two) in which the shingles of a set are counted.
+RANGES = 128
 
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -95,7 +101,7 @@ def shingles(text: str | None, size: int) -> np.ndarray:
 
 
 def _cell(h: np.ndarray, cells: int) -> np.ndarray:
-    return (h & np.uint64(cells - 1)).astype(np.int64)
+    return (h % np.uint64(cells)).astype(np.int64)
 
 
 def set_id(hashes: np.ndarray) -> int:
@@ -154,13 +160,31 @@ class Order:
 
 
 def _packed(cells: np.ndarray) -> bytes:
-    bits = np.zeros(PIECE, dtype=np.uint8)
-    bits[cells] = 1
-    return zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)
+    """Rising cells of a piece as the numbers of cells between them; a byte 255 stands for 255 and goes on."""
+    gaps = np.diff(cells, prepend=-1) - 1
+    wide = gaps // 255
+    out = np.full(len(gaps) + wide.sum(), 255, dtype=np.uint8)
+    out[np.arange(len(gaps)) + np.cumsum(wide)] = gaps % 255
+    coder = zlib.compressobj(strategy=zlib.Z_HUFFMAN_ONLY)
+    return coder.compress(out.tobytes()) + coder.flush()
 
 
 def _unpacked(raw: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(raw), dtype=np.uint8)
+    gaps = np.frombuffer(zlib.decompress(raw), dtype=np.uint8)
+    ends = gaps < 255
+    return np.cumsum(gaps + ends.astype(np.int64))[ends] - 1
+
+
+def _in_ranges(s: np.ndarray) -> bytes:
+    """How many shingles of a set are in each range of hashes, in as few bytes as hold them."""
+    counts = np.bincount((s >> np.uint64(65 - RANGES.bit_length())).astype(np.int64), minlength=RANGES)
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
+
+
+def _most_common(p: bytes, q: bytes) -> int:
+    """Shingles that two sets can share at most, by their counts in ranges."""
+    p, q = (np.frombuffer(raw, dtype=np.uint8 if len(raw) == RANGES else np.uint32) for raw in (p, q))
+    return int(np.minimum(p, q).sum(dtype=np.int64))
 
 
 def describe(docs: DataFrame, size: int) -> tuple[DataFrame, Order]:
@@ -168,9 +192,7 @@ def describe(docs: DataFrame, size: int) -> tuple[DataFrame, Order]:
     spark = docs.sparkSession
     small_batches(spark)
     total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    cells = LEAST_CELLS
-    while cells < min(MOST_CELLS, total // BYTES_A_CELL):
-        cells *= 2
+    cells = -(-min(max(LEAST_CELLS, total // BYTES_A_CELL), MOST_CELLS) // PIECE) * PIECE
     kinds = {"doc_id": pa.int64(), "n_shingles": pa.int64(), "sid": pa.int64(), "piece": pa.int32(), "once": pa.binary(), "twice": pa.binary()}
     schema = "doc_id long, n_shingles long, sid long, piece int, once binary, twice binary"
 
@@ -183,13 +205,13 @@ def describe(docs: DataFrame, size: int) -> tuple[DataFrame, Order]:
         counts, done, held = np.zeros(SKETCH, dtype=np.int32), set(), []
 
         def hand_on() -> Iterator[pa.RecordBatch]:
-            at, times = np.unique(np.concatenate([_cell(h, cells) for h in held]), return_counts=True)
+            at, times = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
-            edges = np.searchsorted(at, np.arange(0, cells + 1, PIECE))
+            edges = np.searchsorted(at, np.arange(0, cells + 1, PIECE, dtype=np.uint32))
             for k in range(len(edges) - 1):
                 part = slice(edges[k], edges[k + 1])
                 if edges[k] < edges[k + 1]:
-                    own = at[part] - k * PIECE
+                    own = at[part].astype(np.int64) - k * PIECE
                     yield batch_of(1, piece=[k], once=[_packed(own)], twice=[_packed(own[times[part] > 1])])
 
         for batch in batches:
@@ -200,7 +222,7 @@ def describe(docs: DataFrame, size: int) -> tuple[DataFrame, Order]:
                 if name is not None and name not in done:
                     done.add(name)
                     fresh.append(s)
-            held += fresh
+            held += [_cell(s, cells).astype(np.uint32) for s in fresh]
             yield batch_of(len(sets), doc_id=batch.column("doc_id"), n_shingles=[len(s) for s in sets], sid=names)
             if fresh:
                 at, times = np.unique(_cell(np.concatenate(fresh), SKETCH), return_counts=True)
@@ -218,19 +240,20 @@ def describe(docs: DataFrame, size: int) -> tuple[DataFrame, Order]:
         for batch in batches:
             for k, once, twice in zip(*(batch.column(c).to_pylist() for c in ("piece", "once", "twice"))):
                 one, two = _unpacked(once), _unpacked(twice)
-                old = seen.setdefault(k, [np.zeros_like(one), np.zeros_like(one)])
-                old[1] |= two | (old[0] & one)
-                old[0] |= one
+                old = seen.setdefault(k, [np.zeros(PIECE, dtype=bool), np.zeros(PIECE, dtype=bool)])
+                old[1][two] = True
+                old[1][one[old[0][one]]] = True
+                old[0][one] = True
         yield pa.RecordBatch.from_pydict({
             "piece": pa.array(list(seen), pa.int32()),
-            "twice": pa.array([zlib.compress(v[1].tobytes(), 1) for v in seen.values()], pa.binary()),
+            "twice": pa.array([zlib.compress(np.packbits(v[1], bitorder="little").tobytes(), 1) for v in seen.values()], pa.binary()),
         })
 
     pieces = both.filter("piece >= 0").select("piece", "once", "twice")
     merged = pieces.repartition(min(cells // PIECE, 512), "piece").mapInArrow(trimmed(merge), "piece int, twice binary")
     shared = np.zeros(cells // 8, dtype=np.uint8)
     for r in merged.collect():  # as many bytes as the bitmap has, at most
-        shared[r["piece"] * PIECE // 8 : (r["piece"] + 1) * PIECE // 8] = _unpacked(r["twice"])
+        shared[r["piece"] * PIECE // 8 : (r["piece"] + 1) * PIECE // 8] = np.frombuffer(zlib.decompress(r["twice"]), dtype=np.uint8)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, dtype=np.int64)
@@ -273,16 +296,32 @@ def prefix_rows(docs: DataFrame, size: int, limit: Threshold, order: Order) -> D
                 )
 
     every = keep(docs.select("text").mapInArrow(trimmed(run), "token long, sid long, n long"), "prefixes")
-    shared = every.groupBy("token").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).filter("lo <> hi").select("token")
-    out = keep(every.join(shared, "token").distinct(), "shared-prefixes")
+    sets = Window.partitionBy("token").orderBy("sid")
+    near = every.repartition("token").distinct().select("*", F.lag("sid").over(sets).alias("lo"), F.lead("sid").over(sets).alias("hi"))
+    out = keep(near.filter("lo IS NOT NULL OR hi IS NOT NULL").select("token", "sid", "n"), "shared-prefixes")
+    del near
     release(every)
     return out
 
 
-def fetch_sets(docs: DataFrame, wanted: DataFrame, size: int, limit: Threshold, order: Order) -> DataFrame:
-    """sid, n, hashes (8 bytes each, sorted), prefix (likewise) and shared of the sets in ``wanted`` (distinct sid).
+class Sets(NamedTuple):
+    """Sets as tasks wrote them (with ``place``, a number of its own for each row), and the place of each sid to read it from."""
+
+    rows: DataFrame
+    places: DataFrame
+
+    def named(self, rows: DataFrame, *columns: str) -> DataFrame:
+        """The sets that ``rows`` (written) name, once each; with a list of places that is short enough to broadcast, no other set moves."""
+        ids = rows.select(F.explode(F.array(*columns)).alias("sid")).distinct()
+        at = keep(self.places.join(ids, "sid", "left_semi").select("place"), "named-sets")
+        return self.rows.join(F.broadcast(at) if at.count() <= SMALL_LIST else at, "place", "left_semi")
 
-    A bitmap of fixed size picks them from the texts in tasks; what it lets through besides is dropped by a join.
+
+def fetch_sets(docs: DataFrame, wanted: DataFrame, size: int, limit: Threshold, order: Order) -> Sets:
+    """sid, n, hashes (8 bytes each, sorted), prefix (likewise), shared and ranges of the sets in ``wanted`` (distinct sid).
+
+    A bitmap of fixed size picks them from the texts in tasks, which write them; what it lets through besides, and
+    copies of a set that another task wrote, stay where they are and are read from no place.
     """
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,32 +349,27 @@ def fetch_sets(docs: DataFrame, wanted: DataFrame, size: int, limit: Threshold,
                 if sid not in done and filled[at >> 3] >> (at & 7) & 1:
                     done.add(sid)
                     first, shared = order.prefix(s, limit)
-                    out.append((sid, len(s), s.tobytes(), first.tobytes(), shared))
+                    out.append((sid, len(s), s.tobytes(), first.tobytes(), shared, _in_ranges(s)))
             if out:
                 columns = zip(*out)
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32())
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, kinds)], names=["sid", "n", "hashes", "prefix", "shared"]
+                    [pa.array(c, k) for c, k in zip(columns, kinds)], names=["sid", "n", "hashes", "prefix", "shared", "ranges"]
                 )
 
-    picked = docs.select("text").mapInArrow(trimmed(run), "sid long, n long, hashes binary, prefix binary, shared int")
-    return keep(picked.join(wanted.select("sid"), "sid", "left_semi").dropDuplicates(["sid"]), "picked-sets")
-
+    picked = docs.select("text").mapInArrow(trimmed(run), "sid long, n long, hashes binary, prefix binary, shared int, ranges binary")
+    rows = keep(picked.withColumn("place", F.monotonically_increasing_id()), "picked-sets")
+    return Sets(rows, keep(rows.groupBy("sid").agg(F.min("place").alias("place")), "set-places"))
 
-def _named(sets: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
-    """The sets that ``rows`` (written) name; with a list of them that is short enough to broadcast, no other set moves."""
-    ids = keep(rows.select(F.explode(F.array(*columns)).alias("sid")).distinct(), "named-sets")
-    return sets.join(F.broadcast(ids) if ids.count() <= SMALL_LIST else ids, "sid", "left_semi")
 
-
-def verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
+def verified(pairs: DataFrame, sets: Sets, limit: Threshold) -> DataFrame:
     """The linked ones of ``pairs`` (a, b; written).
 
-    The multi-match test comes first and moves prefixes only; whole sets move for the pairs that pass it.
+    The multi-match test and the counts in ranges come first and move no whole set; whole sets move for the pairs that pass them.
     """
 
     def both(rows: DataFrame, *columns: str) -> DataFrame:
-        some = _named(sets, rows, "a", "b")
+        some = sets.named(rows, "a", "b")
         sides = [some.select(F.col("sid").alias(k), F.struct(*columns).alias(v)) for k, v in (("a", "x"), ("b", "y"))]
         return rows.join(sides[0], "a").join(sides[1], "b").select("a", "b", "x", "y")
 
@@ -347,7 +381,7 @@ def verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
         # the prefix that ends first lacks at most what its set may lack of the pair's need
         need = limit.least_of_pair(x["n"], y["n"])
         calls = min(need - limit.least_shared(z["n"]) + z["shared"] for z in (x, y))
-        return common(x["prefix"], y["prefix"]) >= calls
+        return limit.linked(_most_common(x["ranges"], y["ranges"]), x["n"], y["n"]) and common(x["prefix"], y["prefix"]) >= calls
 
     def link(x: dict, y: dict) -> bool:
         return limit.linked(common(x["hashes"], y["hashes"]), len(x["hashes"]) // 8, len(y["hashes"]) // 8)
@@ -361,7 +395,7 @@ def verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
 
         return run
 
-    near = keep(both(pairs, "n", "prefix", "shared").mapInArrow(trimmed(passing(match)), "a long, b long"), "near-pairs")
+    near = keep(both(pairs, "n", "prefix", "shared", "ranges").mapInArrow(trimmed(passing(match)), "a long, b long"), "near-pairs")
     return both(near, "hashes").mapInArrow(trimmed(passing(link)), "a long, b long")
 
 
@@ -410,7 +444,7 @@ class _Block:
         return ok & (self.at != self.at[x]) if self.across else ok
 
 
-def _block_links(rows: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
+def _block_links(rows: DataFrame, sets: Sets, limit: Threshold) -> DataFrame:
     """Links between different groups in long lists, enough to join what any link joins.
 
     ``rows`` (token, sid, comp, n; written) are dealt into blocks of their list, sized by whole sets, two to a task. First
@@ -474,11 +508,11 @@ def _block_links(rows: DataFrame, sets: DataFrame, limit: Threshold) -> DataFram
             give_back()
         return pa.table({"a": pa.array([min(o) for o in out], pa.int64()), "b": pa.array([max(o) for o in out], pa.int64())})
 
-    with_prefix = placed.join(sets.select("sid", "n", "shared", "prefix"), "sid")
+    with_prefix = placed.join(sets.named(rows, "sid").select("sid", "n", "shared", "prefix"), "sid")
     left = keep(
         with_prefix.groupBy("token", "i", "j").applyInArrow(stay, "token long, i int, j int, at int, sid long, comp long"), "open-blocks"
     )
-    return left.join(_named(sets, left, "sid"), "sid").groupBy("token", "i", "j").applyInArrow(link, "a long, b long")
+    return left.join(sets.named(left, "sid").select("sid", "n", "shared", "prefix", "hashes"), "sid").groupBy("token", "i", "j").applyInArrow(link, "a long, b long")
 
 
 def memberships(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10) -> DataFrame:
@@ -492,7 +526,7 @@ def memberships(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10) ->
         sets = fetch_sets(docs, wanted, size, limit, order)
         links = _links(lists, sets, limit)
         member = components(links).withColumnRenamed("node", "sid")
-        release(sets)
+        release(*sets)
     release(lists, wanted)
     if member is None:
         return rows.withColumn("component", F.col("sid"))
@@ -508,7 +542,7 @@ def groups(docs: DataFrame, size: int = 5, num: int = 8, den: int = 10) -> DataF
     )
 
 
-def _links(lists: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
+def _links(lists: DataFrame, sets: Sets, limit: Threshold) -> DataFrame:
     """Links whose components are those of all links."""
     spark = lists.sparkSession
     links = spark.createDataFrame([], "a long, b long")
@@ -518,10 +552,14 @@ def _links(lists: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
     for turn in range(ROUNDS + 1):
         if turn:
             member = components(links).withColumnRenamed("node", "sid")
-            now = lists.join(member, "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
-        per = now.groupBy("token", "comp").agg(F.count("*").alias("c"))
+            # groups only grow: a list without pairs of different groups gets none
+            now = held.select("token", "sid", "n").join(member, "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
+        hub = F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), F.col("sid").alias("s"), F.col("comp").alias("k"), F.col("n").alias("m"))
+        per = now.select("token", "comp", F.lit(1).alias("c"), hub.alias("hub"))  # at first each set is its own group
+        if turn:
+            per = per.repartition("token").groupBy("token", "comp").agg(F.count("*").alias("c"), F.min("hub").alias("hub"))
         left = per.groupBy("token").agg(
-            F.sum("c").alias("all"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs")
+            F.sum("c").alias("all"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"), F.min("hub").alias("hub")
         ).filter("pairs > 0")
         now = keep(now.join(left, "token"), "open-lists")
         if turn:
@@ -531,10 +569,7 @@ def _links(lists: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
         before, open_rows = open_rows, now.count()
         if promised <= 2 * n_rows or turn == ROUNDS or turn and open_rows > (1 - LEAST_GAIN) * before:
             break
-        centre = now.groupBy("token").agg(
-            F.min_by(F.struct(F.col("sid").alias("s"), F.col("comp").alias("k"), F.col("n").alias("m")), F.xxhash64("sid", F.lit(turn))).alias("hub")
-        )
-        spokes = now.join(centre, "token").filter(
+        spokes = now.filter(
             (F.col("comp") != F.col("hub.k")) & _in_range(limit, F.col("n"), F.col("hub.m"))
         ).select(F.least("sid", "hub.s").alias("a"), F.greatest("sid", "hub.s").alias("b")).distinct()
         fresh = keep(spokes.join(tried, ["a", "b"], "left_anti"), "spokes")

@@ -137,6 +137,56 @@ def test_prefixes_of_similar_sets_meet():
     assert met > 50
 
 
+def test_cells_are_packed_as_gaps():
+    dice = np.random.default_rng(5)
+    for share in (0.9, 1 / 64, 1e-4):
+        cells = np.flatnonzero(dice.random(setjoin.PIECE) < share)
+        raw = setjoin._packed(cells)
+        assert setjoin._unpacked(raw).tolist() == cells.tolist()
+        if share == 1 / 64:
+            assert len(raw) < 1.1 * len(cells)
+    assert setjoin._unpacked(setjoin._packed(np.array([0, 255, 256, 1000, setjoin.PIECE - 1]))).tolist() == [0, 255, 256, 1000, setjoin.PIECE - 1]
+
+
+def test_sets_stay_where_they_are_written(spark, monkeypatch):
+    plans, keep = {}, setjoin.keep
+
+    def seen(df, name, *more):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(df, name, *more)
+
+    monkeypatch.setattr(setjoin, "keep", seen)
+    monkeypatch.setattr(setjoin, "LEAST_CELLS", 1)
+    monkeypatch.setattr(setjoin, "BYTES_A_CELL", 1)
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join([*base, f"end{k % 3}"]) for k in range(60)]  # three sets, in all tasks
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    limit = setjoin.Threshold(90, 100)
+    monkeypatch.setattr(setjoin, "PIECE", 1 << 10)
+    rows, order = setjoin.describe(docs, 3)
+    total = sum(map(len, texts))
+    assert total <= len(order.bits) * 8 < total + setjoin.PIECE  # as many cells as asked for, not a power of two
+    lists = setjoin.prefix_rows(docs, 3, limit, order)
+    wanted = lists.select("sid").distinct()
+    sets = setjoin.fetch_sets(docs, wanted, 3, limit, order)
+    assert "hashpartitioning" not in plans["picked-sets"]
+    assert plans["shared-prefixes"].count("Exchange hashpartitioning") == 1
+    ids = sorted(r["sid"] for r in wanted.collect())
+    pairs = spark.createDataFrame([(ids[0], ids[1]), (ids[0], ids[2])], "a long, b long")
+    assert len(ids) == 3 and sorted(r["sid"] for r in sets.named(pairs, "a", "b").collect()) == ids
+    assert {tuple(r) for r in setjoin.verified(pairs, sets, limit).collect()} == {(ids[0], ids[1]), (ids[0], ids[2])}
+
+
+def test_counts_in_ranges_bound_what_sets_share():
+    dice = np.random.default_rng(6)
+    for n in (1, 40, 3000, 60_000):
+        s, t = (np.unique(dice.integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2)) for _ in range(2))
+        t = np.unique(np.concatenate([s[: n // 2], t[n // 2 :]]))
+        bound = setjoin._most_common(setjoin._in_ranges(s), setjoin._in_ranges(t))
+        assert len(np.intersect1d(s, t)) <= bound <= min(len(s), len(t))
+        assert setjoin._most_common(setjoin._in_ranges(s), setjoin._in_ranges(s)) == len(s)
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(7, k) for k in range(8, 40)] + [(3, 3), (200, -5)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
